@@ -55,7 +55,7 @@ class _ResponseCurve:
         for age in range(years):
             step = left if age == years - 1 else left * rate
             left -= step
-            yield age, round(step, 6)
+            yield age, step
 
 
 def response_curve_rows(params: DataFrame, total: Column | str, rate: Column | str, years: Column | str) -> DataFrame:

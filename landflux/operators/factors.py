@@ -20,35 +20,41 @@ _SCOPE = ["country_id", "zone", "land_use"]
 
 
 def _lookup(
-    factor: DataFrame, params: list[str], keys: list[str], period: tuple[int, int]
+    factor: DataFrame,
+    params: list[str],
+    tier: int,
+    period: tuple[int, int],
+    with_unc: bool = False,
 ) -> DataFrame:
-    """One row per key and year of a tier, one column per parameter.
+    """One row per key and year of a tier, one column ``_t<tier>_<param>`` per parameter.
 
     Validity is settled first; of several ranges that hold a year the one that
     began last wins.
     """
-    scope = F.lit(True)
-    for column in _SCOPE:
-        scope = scope & (F.col(column).isNotNull() if column in keys else F.col(column).isNull())
-    low = F.greatest("valid_from", F.lit(period[0]))
-    high = F.least("valid_to", F.lit(period[1]))
-    values = []
-    for param in params:
-        mine = F.col("param") == param
-        row = F.struct("value", "rel_unc")
-        values.append(F.max_by(F.when(mine, row), F.when(mine, F.col("valid_from"))).alias(param))
+    keys = TIERS[tier - 1]
+    scope = " and ".join(f"{c} is {'not ' if c in keys else ''}null" for c in _SCOPE)
+    listed = ", ".join(f"'{p}'" for p in params)
+    low, high = f"greatest(valid_from, {period[0]})", f"least(valid_to, {period[1]})"
+    picks = {"": "value", "_unc": "rel_unc"} if with_unc else {"": "value"}
     return (
-        factor.filter(F.col("param").isin(*params) & scope & (low <= high))
-        .select(
-            *keys,
+        factor.filter(f"param in ({listed}) and {scope} and {low} <= {high}")
+        .selectExpr(
+            *[f"{k} as _k_{k}" for k in keys],
+            f"explode(sequence({low}, {high})) as _k_year",
             "param",
-            "value",
-            "rel_unc",
             "valid_from",
-            F.explode(F.sequence(low, high)).alias("year"),
+            *picks.values(),
+        )
+        .groupBy(*[f"_k_{k}" for k in keys], "_k_year")
+        .agg(
+            *[
+                F.expr(
+                    f"max_by({column}, valid_from) filter (where param = '{p}') as _t{tier}_{p}{suffix}"
+                )
+                for p in params
+                for suffix, column in picks.items()
+            ]
         )
-        .groupBy(*keys, "year")
-        .agg(*values)
     )
 
 
@@ -70,31 +76,25 @@ def resolve_factors(
     added columns; ``with_tier`` adds ``<name>_tier`` (1 to 4) and ``<name>_unc``.
     """
     names = names or {}
+    columns = df.columns
     on = {"country_id": "country_id", "zone": "zone", "land_use": land_use}
+    tiers = [n for n, keys in enumerate(TIERS, start=1) if all(on[k] in columns for k in keys)]
     out = df
-    found: list[int] = []
-    for tier, keys in enumerate(TIERS, start=1):
-        if any(on[k] not in df.columns for k in keys):
-            continue
-        lookup = _lookup(factor, params, keys, period).select(
-            *[F.col(k).alias(f"_k_{k}") for k in keys],
-            F.col("year").alias("_k_year"),
-            *[F.col(p).alias(f"_t{tier}_{p}") for p in params],
-        )
-        match = F.col(year) == F.col("_k_year")
-        for k in keys:
-            match = match & (F.col(on[k]) == F.col(f"_k_{k}"))
-        out = out.join(lookup, match, "left").drop("_k_year", *[f"_k_{k}" for k in keys])
-        found.append(tier)
-    added: list[Column] = []
+    for tier in tiers:
+        keys = TIERS[tier - 1]
+        match = " and ".join([f"{year} = _k_year", *[f"{on[k]} = _k_{k}" for k in keys]])
+        drop = ["_k_year", *[f"_k_{k}" for k in keys]]
+        lookup = _lookup(factor, params, tier, period, with_tier)
+        out = out.join(lookup, F.expr(match), "left").drop(*drop)
+    added = []
     for p in params:
         name = names.get(p, p)
-        best = F.coalesce(*[F.col(f"_t{t}_{p}") for t in found])
-        added.append(best.getField("value").alias(name))
+        added.append(f"coalesce({', '.join(f'_t{t}_{p}' for t in tiers)}) as {name}")
         if with_tier:
-            tier_no = F.coalesce(*[F.when(F.col(f"_t{t}_{p}").isNotNull(), F.lit(t)) for t in found])
-            added += [tier_no.alias(f"{name}_tier"), best.getField("rel_unc").alias(f"{name}_unc")]
-    return out.select(*df.columns, *added)
+            for suffix, value in (("tier", "{t}"), ("unc", "_t{t}_{p}_unc")):
+                cases = [f"when _t{t}_{p} is not null then {value.format(t=t, p=p)}" for t in tiers]
+                added.append(f"case {' '.join(cases)} end as {name}_{suffix}")
+    return out.selectExpr(*columns, *added)
 
 
 def resolve_factor(df: DataFrame, factor: DataFrame, param: str, **options) -> DataFrame:
@@ -106,11 +106,10 @@ def factor_in_force(
     df: DataFrame, factor: DataFrame, param: str, year: str = "year", period: tuple[int, int] = PERIOD
 ) -> DataFrame:
     """The factor whose validity holds the row's year, matched on class alone."""
-    lookup = _lookup(factor, [param], ["land_use"], period)
-    lookup = lookup.withColumnRenamed("year", "_k_year")
-    return (
-        df.join(lookup, (df[year] == F.col("_k_year")) & (df["land_use"] == lookup["land_use"]), "left")
-        .select(*[df[c] for c in df.columns], F.col(f"{param}.value").alias(param))
+    columns = df.columns
+    match = F.expr(f"{year} = _k_year and land_use = _k_land_use")
+    return df.join(_lookup(factor, [param], 3, period), match, "left").selectExpr(
+        *columns, f"_t3_{param} as {param}"
     )
 
 

@@ -6,12 +6,14 @@ most one row per year after ``dominant_land_use``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from landflux.sources.schemas import LAND_USES
 
-BY_UNIT = Window.partitionBy("unit_id").orderBy("year")
+
+def _by_unit() -> WindowSpec:
+    return Window.partitionBy("unit_id").orderBy("year")
 
 
 def dominant_land_use(obs: DataFrame, classes: list[str] = LAND_USES) -> DataFrame:
@@ -42,9 +44,9 @@ def transitions(state: DataFrame) -> DataFrame:
         state.filter("land_use is not null")
         .select(
             "unit_id",
-            F.lag("year").over(BY_UNIT).alias("year_from"),
+            F.lag("year").over(_by_unit()).alias("year_from"),
             "year",
-            F.lag("land_use").over(BY_UNIT).alias("use_from"),
+            F.lag("land_use").over(_by_unit()).alias("use_from"),
             F.col("land_use").alias("use_to"),
             *extra,
         )
@@ -62,7 +64,7 @@ def changes(state: DataFrame) -> DataFrame:
             "year",
             "use_from",
             "use_to",
-            F.lead("year").over(BY_UNIT).alias("next_change"),
+            F.lead("year").over(_by_unit()).alias("next_change"),
         )
     )
 
@@ -79,12 +81,12 @@ def transition_matrix(state: DataFrame, units: DataFrame, by: list[str] | None =
 
 
 def _spell_number() -> Column:
-    return F.sum(F.col("_new").cast("int")).over(BY_UNIT)
+    return F.sum(F.col("_new").cast("int")).over(_by_unit())
 
 
 def land_use_spells(state: DataFrame) -> DataFrame:
     """Runs of one class in successive rows of a unit."""
-    changed = ~F.col("land_use").eqNullSafe(F.lag("land_use").over(BY_UNIT))
+    changed = ~F.col("land_use").eqNullSafe(F.lag("land_use").over(_by_unit()))
     return (
         state.filter("land_use is not null")
         .select("unit_id", "year", "land_use", changed.alias("_new"))
@@ -97,10 +99,10 @@ def land_use_spells(state: DataFrame) -> DataFrame:
 
 def remaining_or_converted(state: DataFrame, period: int = 20) -> DataFrame:
     """Whether a unit-year counts as remaining in its class or as converted to it."""
-    before = F.lag("land_use").over(BY_UNIT)
+    before = F.lag("land_use").over(_by_unit())
     is_change = F.col("_before").isNotNull() & (F.col("_before") != F.col("land_use"))
     changed = F.struct("year", F.col("_before").alias("use"))
-    last = F.last(F.when(is_change, changed), ignorenulls=True).over(BY_UNIT)
+    last = F.last(F.when(is_change, changed), ignorenulls=True).over(_by_unit())
     recent = F.col("_last").isNotNull() & (F.col("year") - F.col("_last.year") < period)
     return (
         state.filter("land_use is not null")
@@ -167,21 +169,19 @@ def provider_confusion(obs: DataFrame) -> DataFrame:
     The pairs are counted, not made: with n providers for one class and m for
     another there are n*m pairs, and n*(n-1)/2 within a class.
     """
-    cells = []
-    for i, a in enumerate(LAND_USES):
-        for b in LAND_USES[i:]:
-            n, m = F.col(f"_{a}"), F.col(f"_{b}")
-            pairs = (n * (n - 1) / 2).cast("bigint") if a == b else n * m
-            cells.append(F.struct(F.lit(a).alias("use_a"), F.lit(b).alias("use_b"), pairs.alias("pairs")))
+    cells = [(a, b) for i, a in enumerate(LAND_USES) for b in LAND_USES[i:]]
+
+    def pairs(a: str, b: str) -> Column:
+        n, m = F.col(f"_{a}"), F.col(f"_{b}")
+        return (n * (n - 1) / 2).cast("bigint") if a == b else n * m
+
     # summed before they are turned to rows: a year has one row of 21 counts
     sums = _class_votes(obs).groupBy("year").agg(
-        *[F.sum(c.getField("pairs")).alias(f"_p{k}") for k, c in enumerate(cells)]
+        *[F.sum(pairs(a, b)).alias(f"_{a}_{b}") for a, b in cells]
     )
     rows = [
-        F.struct(
-            c.getField("use_a").alias("use_a"), c.getField("use_b").alias("use_b"), F.col(f"_p{k}").alias("pairs")
-        )
-        for k, c in enumerate(cells)
+        F.struct(F.lit(a).alias("use_a"), F.lit(b).alias("use_b"), F.col(f"_{a}_{b}").alias("pairs"))
+        for a, b in cells
     ]
     return (
         sums.select("year", F.explode(F.array(*rows)).alias("r"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 SCALE = 10_000  # values are compared as whole ten-thousandths
 # Groups of up to this many rows go through the built-in percentile.
-SMALL_GROUP = 1_000_000
+SMALL_GROUP = 200_000
 
 
 def _descend(counts: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame:

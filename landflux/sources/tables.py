@@ -54,6 +54,10 @@ class LandTables:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
 
+    def stream_path(self, name: str) -> str:
+        """The same place as a pattern: a stream takes a single file only in that form."""
+        return f"{self.folder}/{name}.parque[t]"
+
     def _dated(self, df: DataFrame, column: str) -> DataFrame:
         if self.since:
             df = df.filter(F.col(column) >= F.lit(self.since).cast("timestamp_ntz"))

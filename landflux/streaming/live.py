@@ -14,6 +14,9 @@ from landflux.sources.schemas import STORED
 from landflux.sources.tables import readings_from_events
 
 
+BUDGET_UPDATE = "tower_id bigint, shard int, step bigint, n bigint, units bigint"
+
+
 def stream_readings(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """Tower readings from event files, as they come."""
     source = spark.readStream.schema(STORED["events"])
@@ -58,7 +61,7 @@ def running_budget_stream(readings: DataFrame, shards: int = 8) -> DataFrame:
     )
     return fixed.groupBy("tower_id", "shard").applyInPandasWithState(
         add,
-        "tower_id bigint, shard int, step bigint, n bigint, units bigint",
+        BUDGET_UPDATE,
         "step bigint, n bigint, units bigint",
         "update",
         GroupStateTimeout.NoTimeout,
@@ -78,11 +81,21 @@ def latest_budgets(updates: DataFrame) -> DataFrame:
 def ledger_sink(
     closed: DataFrame, path: str, checkpoint: str, available_now: bool = True
 ) -> StreamingQuery:
-    """Write closed windows, one folder per batch.
+    """Write closed windows, one folder per batch; every window is stored once."""
+    return _folder_per_batch(closed, path, checkpoint, "append", available_now)
 
-    A batch that runs again after a failure overwrites its own folder and no
-    other, so every window is stored once.
-    """
+
+def update_sink(
+    updates: DataFrame, path: str, checkpoint: str, available_now: bool = True
+) -> StreamingQuery:
+    """Write every update of a running state, one folder per batch."""
+    return _folder_per_batch(updates, path, checkpoint, "update", available_now)
+
+
+def _folder_per_batch(
+    df: DataFrame, path: str, checkpoint: str, mode: str, available_now: bool
+) -> StreamingQuery:
+    """A batch that runs again after a failure overwrites its own folder and no other."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
         (
@@ -94,7 +107,7 @@ def ledger_sink(
         )
 
     writer = (
-        closed.writeStream.outputMode("append")
+        df.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .foreachBatch(store)
     )
