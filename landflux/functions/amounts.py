@@ -36,6 +36,11 @@ def amount(value: Column) -> Column:
     return rounded(value, 4).cast(MONEY)
 
 
+def amount_sql(expression: str) -> str:
+    """The same for an expression given as text."""
+    return f"cast(floor(({expression}) * 10000D + 0.5D) / 10000D as {MONEY})"
+
+
 def to_unit(df: DataFrame, column: str, source: str, target: str, out: str | None = None) -> DataFrame:
     if source == target:
         ratio = 1.0

@@ -7,12 +7,10 @@ to them, so a unit with very many events is reduced on the map side.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from landflux.functions.amounts import CO2_PER_C, amount
+from landflux.functions.amounts import CO2_PER_C, amount, amount_sql
 from landflux.operators.factors import resolve_factors
 from landflux.operators.land import changes, land_use_spells
 from landflux.sources.schemas import LEDGER_COLUMNS, MONEY
@@ -21,7 +19,7 @@ ATTRIBUTES = ["country_id", "zone"]
 
 
 def _unit_columns(units: DataFrame) -> DataFrame:
-    return units.select("unit_id", *ATTRIBUTES, F.col("area_ha").cast("double").alias("area"))
+    return units.selectExpr("unit_id", *ATTRIBUTES, "cast(area_ha as double) as area")
 
 
 def unit_years(state: DataFrame, units: DataFrame) -> DataFrame:
@@ -35,43 +33,33 @@ def unit_changes(state: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def _before_and_after(df: DataFrame, factor: DataFrame, params: list[str]) -> DataFrame:
-    df = resolve_factors(
-        df, factor, params, land_use="use_from", names={p: f"{p}_from" for p in params}
-    )
-    return resolve_factors(df, factor, params, land_use="use_to", names={p: f"{p}_to" for p in params})
+    for side in ("from", "to"):
+        names = {p: f"{p}_{side}" for p in params}
+        df = resolve_factors(df, factor, params, land_use=f"use_{side}", names=names)
+    return df
 
 
-def _legacy_years(period: int, until: int) -> Column:
+def _legacy_years(period: int, until: int) -> str:
     """Years a change acts in: ``period`` of them, cut at the unit's next change."""
-    last = F.least(
-        F.col("year") + period - 1,
-        F.coalesce(F.col("next_change") - 1, F.lit(until)),
-        F.lit(until),
+    return (
+        f"explode(sequence(year, least(year + {period - 1}, "
+        f"coalesce(next_change - 1, {until}), {until}))) as year"
     )
-    return F.explode(F.sequence(F.col("year"), last))
 
 
-def _part(pool: str | Column, value: Column, gas: str | Column = "CO2") -> Column:
-    return F.struct(
-        (F.lit(pool) if isinstance(pool, str) else pool).alias("pool"),
-        (F.lit(gas) if isinstance(gas, str) else gas).alias("gas"),
-        amount(value).alias("amount"),
-    )
+def _part(pool: str, value: str, gas: str = "CO2") -> str:
+    """One ledger row of an entry: ``pool`` is a name or, after ``=``, a column."""
+    pool = pool[1:] if pool.startswith("=") else f"'{pool}'"
+    return f"struct({pool} as pool, '{gas}' as gas, {amount_sql(value)} as amount)"
 
 
-def _entries(df: DataFrame, process: str, parts: Iterable[Column], unit: str = "tC") -> DataFrame:
+def _entries(df: DataFrame, process: str, parts: list[str], unit: str = "tC") -> DataFrame:
     return (
-        df.select("unit_id", "year", F.explode(F.array(*parts)).alias("p"))
-        .select(
-            "unit_id",
-            F.col("year").cast("int").alias("year"),
-            "p.pool",
-            F.lit(process).alias("process"),
-            "p.gas",
-            "p.amount",
-            F.lit(unit).alias("unit"),
-        )
+        df.selectExpr("unit_id", "cast(year as int) as year", f"inline(array({', '.join(parts)}))")
         .filter("amount is not null")
+        .selectExpr(
+            "unit_id", "year", "pool", f"'{process}' as process", "gas", "amount", f"'{unit}' as unit"
+        )
     )
 
 
@@ -80,18 +68,17 @@ def biomass_gain(state: DataFrame, units: DataFrame, factor: DataFrame) -> DataF
     df = resolve_factors(
         unit_years(state, units), factor, ["growth", "root_ratio", "carbon_fraction"]
     )
-    above = F.col("area") * F.col("growth") * F.col("carbon_fraction")
-    return _entries(
-        df, "growth", [_part("AGB", above), _part("BGB", above * F.col("root_ratio"))]
-    )
+    above = "area * growth * carbon_fraction"
+    return _entries(df, "growth", [_part("AGB", above), _part("BGB", f"{above} * root_ratio")])
 
 
 def harvest_carbon(disturbance: DataFrame, units: DataFrame, factor: DataFrame) -> DataFrame:
     """Carbon above ground in the wood cut per unit and year, with its factors."""
     cut = (
         disturbance.filter("kind = 'harvest'")
-        .groupBy("unit_id", F.year("event_date").alias("year"))
-        .agg(F.sum("volume_m3").cast("double").alias("volume"))
+        .selectExpr("unit_id", "year(event_date) as year", "volume_m3")
+        .groupBy("unit_id", "year")
+        .agg(F.expr("cast(sum(volume_m3) as double) as volume"))
         .join(_unit_columns(units), "unit_id")
         .withColumn("land_use", F.lit("forest"))
     )
@@ -105,26 +92,25 @@ def harvest_carbon(disturbance: DataFrame, units: DataFrame, factor: DataFrame)
         "debris_years",
     ]
     df = resolve_factors(cut, factor, params)
-    return df.withColumn("carbon", F.col("volume") * F.col("expansion") * F.col("carbon_fraction"))
+    return df.withColumn("carbon", F.expr("volume * expansion * carbon_fraction"))
 
 
 def harvest_loss(disturbance: DataFrame, units: DataFrame, factor: DataFrame) -> DataFrame:
     """Ledger rows: biomass lost to harvest."""
-    lost = -F.col("carbon")
     return _entries(
         harvest_carbon(disturbance, units, factor),
         "harvest",
-        [_part("AGB", lost), _part("BGB", lost * F.col("root_ratio"))],
+        [_part("AGB", "-carbon"), _part("BGB", "-carbon * root_ratio")],
     )
 
 
 def burned_units(disturbance: DataFrame, state: DataFrame, units: DataFrame) -> DataFrame:
     """Unit-years with fire; severities of one year add up to at most 1."""
-    total = F.sum(F.col("severity").cast(MONEY)).cast("double")
     fires = (
         disturbance.filter("kind = 'fire'")
-        .groupBy("unit_id", F.year("event_date").alias("year"))
-        .agg(F.least(total, F.lit(1.0)).alias("severity"))
+        .selectExpr("unit_id", "year(event_date) as year", f"cast(severity as {MONEY}) as severity")
+        .groupBy("unit_id", "year")
+        .agg(F.expr("least(cast(sum(severity) as double), 1D) as severity"))
     )
     return unit_years(state, units).join(fires, ["unit_id", "year"])
 
@@ -136,8 +122,8 @@ def disturbance_loss(
     df = resolve_factors(
         burned_units(disturbance, state, units), factor, ["biomass", "root_ratio"]
     )
-    above = -(F.col("area") * F.col("biomass") * F.col("severity"))
-    return _entries(df, "fire", [_part("AGB", above), _part("BGB", above * F.col("root_ratio"))])
+    above = "-(area * biomass * severity)"
+    return _entries(df, "fire", [_part("AGB", above), _part("BGB", f"{above} * root_ratio")])
 
 
 def gain_loss(ledger: DataFrame) -> DataFrame:
@@ -188,8 +174,7 @@ def stock_difference(surveys: DataFrame, units: DataFrame) -> DataFrame:
 def conversion_biomass(state: DataFrame, units: DataFrame, factor: DataFrame) -> DataFrame:
     """Ledger rows: biomass after minus before, in the year of a change of class."""
     df = _before_and_after(unit_changes(state, units), factor, ["biomass"])
-    change = (F.col("biomass_to") - F.col("biomass_from")) * F.col("area")
-    return _entries(df, "conversion", [_part("AGB", change)])
+    return _entries(df, "conversion", [_part("AGB", "(biomass_to - biomass_from) * area")])
 
 
 def dom_conversion(
@@ -197,19 +182,13 @@ def dom_conversion(
 ) -> DataFrame:
     """Ledger rows: dead wood and litter moving to the new class's level over ``period`` years."""
     df = _before_and_after(unit_changes(state, units), factor, ["dead_wood", "litter"])
-
-    def step(p: str) -> Column:
-        return (F.col(f"{p}_to") - F.col(f"{p}_from")) * F.col("area") / float(period)
-
-    df = df.select(
+    df = df.selectExpr(
         "unit_id",
-        step("dead_wood").alias("dw"),
-        step("litter").alias("litter"),
-        _legacy_years(period, until).alias("year"),
-    )
-    return _entries(
-        df, "conversion", [_part("DW", F.col("dw")), _part("LITTER", F.col("litter"))]
+        f"(dead_wood_to - dead_wood_from) * area / {period}D as dw",
+        f"(litter_to - litter_from) * area / {period}D as litter",
+        _legacy_years(period, until),
     )
+    return _entries(df, "conversion", [_part("DW", "dw"), _part("LITTER", "litter")])
 
 
 SOIL = ["soc_ref", "soc_land_use", "soc_management", "soc_input"]
@@ -220,22 +199,18 @@ def soil_mineral(
 ) -> DataFrame:
     """Ledger rows: mineral soil moving to the new class's level over ``period`` years."""
     df = _before_and_after(unit_changes(state, units), factor, SOIL)
-
-    def stock(side: str) -> Column:
-        a, b, c, d = (F.col(f"{p}_{side}") for p in SOIL)
-        return a * b * c * d
-
-    step = (stock("to") - stock("from")) * F.col("area") / float(period)
-    df = df.select("unit_id", step.alias("soc"), _legacy_years(period, until).alias("year"))
-    return _entries(df, "conversion", [_part("SOC", F.col("soc"))])
+    now, before = (" * ".join(f"{p}_{side}" for p in SOIL) for side in ("to", "from"))
+    df = df.selectExpr(
+        "unit_id", f"({now} - {before}) * area / {period}D as soc", _legacy_years(period, until)
+    )
+    return _entries(df, "conversion", [_part("SOC", "soc")])
 
 
 def soil_organic(state: DataFrame, units: DataFrame, factor: DataFrame) -> DataFrame:
     """Ledger rows: carbon lost from drained organic soil."""
     df = resolve_factors(unit_years(state, units), factor, ["organic_share", "organic_drainage"])
     df = df.filter("organic_drainage > 0")
-    lost = -(F.col("area") * F.col("organic_share") * F.col("organic_drainage"))
-    return _entries(df, "drainage", [_part("SOC", lost)])
+    return _entries(df, "drainage", [_part("SOC", "-(area * organic_share * organic_drainage)")])
 
 
 def fire_non_co2(
@@ -247,10 +222,8 @@ def fire_non_co2(
         factor,
         ["fuel", "combustion", "fire_CH4", "fire_N2O"],
     )
-    burned = F.col("area") * F.col("severity") * F.col("fuel") * F.col("combustion")
-    parts = [
-        _part("AGB", -(burned * F.col(f"fire_{gas}") * 0.001), gas) for gas in ("CH4", "N2O")
-    ]
+    burned = "area * severity * fuel * combustion"
+    parts = [_part("AGB", f"-({burned} * fire_{gas} * 0.001D)", gas) for gas in ("CH4", "N2O")]
     return _entries(df, "fire", parts, "t gas")
 
 
@@ -261,7 +234,7 @@ def soil_n2o_direct(
     df = resolve_factors(
         unit_years(state, units).join(n_input, ["unit_id", "year"]), factor, ["n2o_direct"]
     )
-    gas = -(F.col("n_tonnes").cast("double") * F.col("n2o_direct") * (44.0 / 28.0))
+    gas = "-(cast(n_tonnes as double) * n2o_direct * (44D / 28D))"
     return _entries(df, "nitrogen", [_part("SOC", gas, "N2O")], "t gas")
 
 
@@ -271,23 +244,22 @@ def hwp_pool(harvest: DataFrame, until: int, by: str = "country_id") -> DataFram
     ``harvest`` is ``harvest_carbon``. Inflows are summed per year, then each
     inflow year is listed under the years it still stands in.
     """
-    k = F.col("product_decay")
-    age = (F.col("year") - F.col("from_year")).cast("double")
-    left = F.col("inflow").cast("double") * F.exp(-k * age) * (1 - F.exp(-k)) / k
+    k = "product_decay"
+    left = f"cast(inflow as double) * exp(-{k} * (year - from_year)) * (1 - exp(-{k})) / {k}"
     window = Window.partitionBy(by).orderBy("year")
     return (
-        harvest.select(by, "year", amount(F.col("carbon") * F.col("product_share")).alias("c"), "product_decay")
-        .groupBy(by, "year", "product_decay")
+        harvest.selectExpr(by, "year", k, f"{amount_sql('carbon * product_share')} as c")
+        .groupBy(by, "year", k)
         .agg(F.sum("c").alias("inflow"))
-        .select(
+        .selectExpr(
             by,
-            F.col("year").alias("from_year"),
+            "year as from_year",
             "inflow",
-            "product_decay",
-            F.explode(F.sequence("year", F.greatest("year", F.lit(until)))).alias("year"),
+            k,
+            f"explode(sequence(year, greatest(year, {until}))) as year",
         )
         .groupBy(by, "year")
-        .agg(F.sum(amount(left)).alias("stock"))
+        .agg(F.expr(f"sum({amount_sql(left)}) as stock"))
         .withColumn("change", F.col("stock") - F.coalesce(F.lag("stock").over(window), F.lit(0)))
     )
 
@@ -297,45 +269,39 @@ def rewetting_ch4(state: DataFrame, units: DataFrame, factor: DataFrame) -> Data
     rewetted = (
         land_use_spells(state)
         .filter("land_use = 'wetland' and spell > 1")
-        .select(
-            "unit_id", "land_use", F.explode(F.sequence("first_year", "last_year")).alias("year")
-        )
+        .selectExpr("unit_id", "land_use", "explode(sequence(first_year, last_year)) as year")
     )
     df = resolve_factors(
         unit_years(rewetted, units), factor, ["organic_share", "rewetting_CH4"]
     )
-    gas = -(F.col("area") * F.col("organic_share") * F.col("rewetting_CH4"))
+    gas = "-(area * organic_share * rewetting_CH4)"
     return _entries(df, "rewetting", [_part("SOC", gas, "CH4")], "t gas")
 
 
 def delayed_decay(harvest: DataFrame, until: int) -> DataFrame:
     """Ledger rows: harvest debris lost over the years after the event."""
-    age = (F.col("year") - F.col("from_year")).cast("double")
-    tau = F.col("debris_years")
-    share = F.exp(-age / tau) - F.exp(-(age + 1) / tau)
-    df = harvest.select(
+    df = harvest.selectExpr(
         "unit_id",
-        (F.col("carbon") * F.col("debris_share")).alias("debris"),
+        "carbon * debris_share as debris",
         "debris_years",
-        F.col("year").alias("from_year"),
-        F.explode(F.sequence("year", F.greatest("year", F.lit(until)))).alias("year"),
+        "year as from_year",
+        f"explode(sequence(year, greatest(year, {until}))) as year",
+    )
+    share = (
+        "(exp(-(year - from_year) / debris_years) - exp(-(year - from_year + 1) / debris_years))"
     )
-    return _sum_entries(_entries(df, "decay", [_part("DW", -(F.col("debris") * share))]))
+    return _sum_entries(_entries(df.withColumn("share", F.expr(share)), "decay", [_part("DW", "-(debris * share)")]))
 
 
 def bookkeeping(state: DataFrame, units: DataFrame, curves: DataFrame, until: int) -> DataFrame:
     """Ledger rows: each change follows its response curve until the unit's next change."""
-    last = F.least(F.coalesce(F.col("next_change") - 1, F.lit(until)), F.lit(until))
     df = (
         unit_changes(state, units)
-        .join(
-            curves,
-            (F.col("use_from") == curves["from_use"]) & (F.col("use_to") == curves["to_use"]),
-        )
-        .filter(F.col("year") + F.col("age") <= last)
-        .withColumn("year", F.col("year") + F.col("age"))
+        .join(curves, F.expr("use_from = from_use and use_to = to_use"))
+        .filter(f"year + age <= least(coalesce(next_change - 1, {until}), {until})")
+        .withColumn("year", F.expr("year + age"))
     )
-    return _sum_entries(_entries(df, "legacy", [_part(F.col("pool"), F.col("area") * F.col("share"))]))
+    return _sum_entries(_entries(df, "legacy", [_part("=pool", "area * share")]))
 
 
 def _sum_entries(entries: DataFrame) -> DataFrame:

@@ -23,18 +23,31 @@ def dominant_land_use(obs: DataFrame, classes: list[str] = LAND_USES) -> DataFra
     and the map side already reduces a hot unit to one row per year. A class
     outside ``classes`` stops the job: reject such rows first.
     """
-    known = F.when(F.col("land_use").isin(*classes), F.col("land_use")).otherwise(
-        F.raise_error(F.concat(F.lit("unknown land use: "), F.coalesce("land_use", F.lit("null"))))
-    )
     names = sorted(classes)
+    listed = ", ".join(f"'{c}'" for c in names)
+    known = (
+        f"case when land_use in ({listed}) then land_use "
+        "else raise_error(concat('unknown land use: ', coalesce(land_use, 'null'))) end as land_use"
+    )
     areas = (
-        obs.select("unit_id", F.year("obs_date").alias("year"), known.alias("land_use"), "area_ha")
+        obs.selectExpr("unit_id", "year(obs_date) as year", known, "area_ha")
         .groupBy("unit_id", "year")
-        .agg(*[F.sum(F.when(F.col("land_use") == c, F.col("area_ha"))).alias(f"_{c}") for c in names])
-        .withColumn("area_ha", F.greatest(*[f"_{c}" for c in names]))
+        .agg(*_class_sums(names))
     )
-    pick = F.coalesce(*[F.when(F.col(f"_{c}") == F.col("area_ha"), F.lit(c)) for c in names])
-    return areas.select("unit_id", "year", pick.alias("land_use"), "area_ha")
+    return areas.selectExpr("unit_id", "year", _largest(names), f"{_top(names)} as area_ha")
+
+
+def _class_sums(names: list[str]) -> list[Column]:
+    return [F.expr(f"sum(area_ha) filter (where land_use = '{c}') as _{c}") for c in names]
+
+
+def _top(names: list[str]) -> str:
+    return f"greatest({', '.join(f'_{c}' for c in names)})"
+
+
+def _largest(names: list[str]) -> str:
+    cases = " ".join(f"when _{c} = {_top(names)} then '{c}'" for c in names)
+    return f"case {cases} end as land_use"
 
 
 def transitions(state: DataFrame) -> DataFrame:
@@ -150,11 +163,9 @@ def _provider_classes(obs: DataFrame) -> DataFrame:
     """The one class each provider names for a unit-year."""
     areas = (
         obs.groupBy("unit_id", "provider_id", F.year("obs_date").alias("year"))
-        .agg(*[F.sum(F.when(F.col("land_use") == c, F.col("area_ha"))).alias(f"_{c}") for c in LAND_USES])
-        .withColumn("_top", F.greatest(*[f"_{c}" for c in LAND_USES]))
+        .agg(*_class_sums(LAND_USES))
     )
-    pick = F.coalesce(*[F.when(F.col(f"_{c}") == F.col("_top"), F.lit(c)) for c in LAND_USES])
-    return areas.select("unit_id", "year", "provider_id", pick.alias("land_use"))
+    return areas.selectExpr("unit_id", "year", "provider_id", _largest(LAND_USES))
 
 
 def _class_votes(obs: DataFrame) -> DataFrame:

@@ -36,6 +36,7 @@ def local_session(app: str = "landflux", cores: str = "8", **extra: str) -> Spar
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", cores if cores != "*" else "8")
     )
     for key, value in {**RUNTIME, **extra}.items():
