@@ -46,13 +46,23 @@ def local_session(app: str = "landflux", cores: str = "8", **extra: str) -> Spar
     return spark
 
 
+_own_dir: str | None = None
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach; set locally only where none is named."""
+    """The folder every executor can reach, as the session names it.
+
+    Only a single-machine session may go without; it gets a temporary folder.
+    """
+    global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="landflux-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("name a shared folder in spark.checkpoint.dir")
+    if _own_dir is None:
+        _own_dir = tempfile.mkdtemp(prefix="landflux-")
+    return _own_dir
 
 
 def run_dir(spark: SparkSession, name: str) -> str:
