@@ -19,45 +19,61 @@ TIERS = [
 _SCOPE = ["country_id", "zone", "land_use"]
 
 
-def _lookup(
-    factor: DataFrame,
-    params: list[str],
-    tier: int,
-    period: tuple[int, int],
-    with_unc: bool = False,
+def _tier_sql() -> str:
+    """Number of the tier a factor row belongs to; null for any other scope."""
+    cases = []
+    for number, keys in enumerate(TIERS, start=1):
+        scope = " and ".join(f"{c} is {'not ' if c in keys else ''}null" for c in _SCOPE)
+        cases.append(f"when {scope} then {number}")
+    return f"case {' '.join(cases)} end"
+
+
+def _in_force(
+    factor: DataFrame, params: list[str], period: tuple[int, int], with_unc: bool = False
 ) -> DataFrame:
-    """One row per key and year of a tier, one column ``_t<tier>_<param>`` per parameter.
+    """One row per scope and year, one column per parameter.
 
     Validity is settled first; of several ranges that hold a year the one that
     began last wins.
     """
-    keys = TIERS[tier - 1]
-    scope = " and ".join(f"{c} is {'not ' if c in keys else ''}null" for c in _SCOPE)
     listed = ", ".join(f"'{p}'" for p in params)
     low, high = f"greatest(valid_from, {period[0]})", f"least(valid_to, {period[1]})"
     picks = {"": "value", "_unc": "rel_unc"} if with_unc else {"": "value"}
+    keys = [f"_k_{k}" for k in _SCOPE]
+    best = [
+        F.expr(f"max_by({column}, valid_from) filter (where param = '{p}') as _{p}{suffix}")
+        for p in params
+        for suffix, column in picks.items()
+    ]
     return (
-        factor.filter(f"param in ({listed}) and {scope} and {low} <= {high}")
+        factor.filter(f"param in ({listed}) and {low} <= {high}")
         .selectExpr(
-            *[f"{k} as _k_{k}" for k in keys],
+            *[f"{k} as _k_{k}" for k in _SCOPE],
             f"explode(sequence({low}, {high})) as _k_year",
             "param",
             "valid_from",
             *picks.values(),
+            f"{_tier_sql()} as _tier",
         )
-        .groupBy(*[f"_k_{k}" for k in keys], "_k_year")
-        .agg(
-            *[
-                F.expr(
-                    f"max_by({column}, valid_from) filter (where param = '{p}') as _t{tier}_{p}{suffix}"
-                )
-                for p in params
-                for suffix, column in picks.items()
-            ]
-        )
+        .groupBy(*keys, "_k_year")
+        .agg(F.min("_tier").alias("_tier"), *best)
     )
 
 
+def _lookup(rows: DataFrame, tier: int) -> DataFrame:
+    """One tier of ``_in_force``.
+
+    The tier is read from the aggregate, not from the factor rows, so that all
+    tiers are cut from the same shuffled table. That shuffle also tells Spark
+    the table's true size before it picks the way to join.
+    """
+    skip = [f"_k_{k}" for k in _SCOPE if k not in TIERS[tier - 1]]
+    lookup = rows.filter(F.col("_tier") == tier).drop("_tier", *skip)
+    values = [c for c in lookup.columns if not c.startswith("_k_")]
+    keys = [c for c in lookup.columns if c.startswith("_k_")]
+    return lookup.selectExpr(*keys, *[f"{c} as _t{tier}{c}" for c in values])
+
+
 def resolve_factors(
     df: DataFrame,
     factor: DataFrame,
@@ -80,12 +96,12 @@ def resolve_factors(
     on = {"country_id": "country_id", "zone": "zone", "land_use": land_use}
     tiers = [n for n, keys in enumerate(TIERS, start=1) if all(on[k] in columns for k in keys)]
     out = df
+    in_force = _in_force(factor, params, period, with_tier)
     for tier in tiers:
         keys = TIERS[tier - 1]
         match = " and ".join([f"{year} = _k_year", *[f"{on[k]} = _k_{k}" for k in keys]])
         drop = ["_k_year", *[f"_k_{k}" for k in keys]]
-        lookup = _lookup(factor, params, tier, period, with_tier)
-        out = out.join(lookup, F.expr(match), "left").drop(*drop)
+        out = out.join(_lookup(in_force, tier), F.expr(match), "left").drop(*drop)
     added = []
     for p in params:
         name = names.get(p, p)
@@ -108,7 +124,8 @@ def factor_in_force(
     """The factor whose validity holds the row's year, matched on class alone."""
     columns = df.columns
     match = F.expr(f"{year} = _k_year and land_use = _k_land_use")
-    return df.join(_lookup(factor, [param], 3, period), match, "left").selectExpr(
+    lookup = _lookup(_in_force(factor, [param], period), 3)
+    return df.join(lookup, match, "left").selectExpr(
         *columns, f"_t3_{param} as {param}"
     )
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from landflux.functions.amounts import fixed_sql, unfixed_sql
 from landflux.sources.schemas import LAND_USES
 
 
@@ -30,15 +31,18 @@ def dominant_land_use(obs: DataFrame, classes: list[str] = LAND_USES) -> DataFra
         "else raise_error(concat('unknown land use: ', coalesce(land_use, 'null'))) end as land_use"
     )
     areas = (
-        obs.selectExpr("unit_id", "year(obs_date) as year", known, "area_ha")
+        obs.selectExpr(
+            "unit_id", "year(obs_date) as year", known, f"{fixed_sql('area_ha')} as area"
+        )
         .groupBy("unit_id", "year")
         .agg(*_class_sums(names))
     )
-    return areas.selectExpr("unit_id", "year", _largest(names), f"{_top(names)} as area_ha")
+    area = unfixed_sql(_top(names))
+    return areas.selectExpr("unit_id", "year", _largest(names), f"{area} as area_ha")
 
 
 def _class_sums(names: list[str]) -> list[Column]:
-    return [F.expr(f"sum(area_ha) filter (where land_use = '{c}') as _{c}") for c in names]
+    return [F.expr(f"sum(area) filter (where land_use = '{c}') as _{c}") for c in names]
 
 
 def _top(names: list[str]) -> str:
@@ -162,7 +166,14 @@ def return_transitions(state: DataFrame, within: int) -> DataFrame:
 def _provider_classes(obs: DataFrame) -> DataFrame:
     """The one class each provider names for a unit-year."""
     areas = (
-        obs.groupBy("unit_id", "provider_id", F.year("obs_date").alias("year"))
+        obs.selectExpr(
+            "unit_id",
+            "provider_id",
+            "year(obs_date) as year",
+            "land_use",
+            f"{fixed_sql('area_ha')} as area",
+        )
+        .groupBy("unit_id", "provider_id", "year")
         .agg(*_class_sums(LAND_USES))
     )
     return areas.selectExpr("unit_id", "year", "provider_id", _largest(LAND_USES))

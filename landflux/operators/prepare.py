@@ -42,8 +42,13 @@ def pools_long(df: DataFrame, ids: list[str], pools: list[str]) -> DataFrame:
 
 
 def pools_wide(df: DataFrame, ids: list[str], pools: list[str]) -> DataFrame:
-    """One column per pool; naming the pools saves the pass that would find them."""
-    return df.groupBy(*ids).pivot("pool", pools).agg(F.sum("amount"))
+    """One column per pool.
+
+    Sums under a filter need one shuffle; ``pivot`` would first sum per pool and
+    shuffle again.
+    """
+    sums = [F.expr(f"sum(amount) filter (where pool = '{p}') as {p}") for p in pools]
+    return df.groupBy(*ids).agg(*sums)
 
 
 def densify_years(

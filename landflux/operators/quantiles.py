@@ -1,96 +1,99 @@
-"""Exact order statistics that never hold a group in one task."""
+"""Exact quantiles without a large group in one task.
 
-from __future__ import annotations
+Everything starts from counts: how often each value occurs in each group, with
+values as whole multiples of ``1 / scale``. Copies of a value are merged before
+the shuffle.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SCALE = 10_000  # values are compared as whole ten-thousandths
-# Groups of up to this many rows go through the built-in percentile.
-SMALL_GROUP = 200_000
-
+BITS = 20
+LEVELS = (2 * BITS, BITS, 0)  # 60 bits of value, and the sign
 
-def _descend(counts: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame:
-    """The value at each wanted rank, found 16 bits at a time.
-
-    ``counts`` has (by, v, n): how often each whole number occurs. Each level
-    counts rows by a longer prefix of ``v`` inside the prefix chosen before, so
-    a window sees at most 65,536 rows.
-    """
-    current = targets.withColumn("_base", F.lit(0).cast("bigint"))
-    prefix: Column | None = None
-    for shift in (48, 32, 16, 0):
-        level = counts.groupBy(*by, F.shiftright("v", shift).alias("_p")).agg(F.sum("n").alias("_n"))
-        joined = current.join(level, by)
-        if prefix is not None:
-            joined = joined.filter(F.shiftright("_p", 16) == prefix)
-        window = Window.partitionBy(*by, "rank").orderBy("_p")
-        upto = F.col("_base") + F.sum("_n").over(window)
-        current = (
-            joined.withColumn("_upto", upto)
-            .filter((F.col("_upto") > F.col("rank")) & (F.col("_upto") - F.col("_n") <= F.col("rank")))
-            .select(*by, "rank", (F.col("_upto") - F.col("_n")).alias("_base"), F.col("_p").alias("_prefix"))
-        )
-        prefix = F.col("_prefix")
-    return current.select(*by, "rank", F.col("_prefix").alias("v"))
 
+def value_counts(df: DataFrame, by: list[str], value: str, scale: int) -> DataFrame:
+    """Columns ``by``, ``v`` and ``n``: how often each value occurs; nulls are left out."""
+    return (
+        df.filter(f"{value} is not null")
+        .selectExpr(*by, f"cast(round({value} * {scale}) as bigint) as v")
+        .groupBy(*by, "v")
+        .agg(F.count("*").alias("n"))
+    )
 
-def _rank(prob: float, n: Column) -> Column:
-    return (n - 1) * F.lit(float(prob))
 
+def exact_quantiles(
+    df: DataFrame, by: list[str], value: str, probs: dict[str, float], scale: int = 10_000
+) -> DataFrame:
+    """Interpolated quantiles of ``value`` per group, and the group's size ``n``.
 
-def _large_groups(df: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    counts = df.groupBy(*by, (F.round(F.col(value) * SCALE)).cast("bigint").alias("v")).agg(
-        F.count("*").alias("n")
+    ``scale`` is the finest step of the value. The values at the wanted ranks
+    are found 20 bits at a time: each level counts rows by a longer prefix of
+    the value, inside the prefix chosen before. A window sees at most 2^20
+    prefixes, however large the group. ``df`` is read once per level: hand over
+    a stored table (``session.keep``) where much work stands behind it.
+    """
+    keys = ", ".join(by)
+    ends = ", ".join(
+        f"cast({f}((n - 1) * {p}D) as bigint)" for p in probs.values() for f in ("floor", "ceil")
     )
-    totals = counts.groupBy(*by).agg(F.sum("n").alias("_total"))
-    wanted = F.array_distinct(
-        F.array(
-            *[f(_rank(p, F.col("_total"))).cast("bigint") for p in probs.values() for f in (F.floor, F.ceil)]
+    counts = value_counts(df, by, value, scale)
+    current = None
+    for shift in LEVELS:
+        level = (
+            counts.selectExpr(*by, f"shiftright(v, {shift}) as _p", "n as _n")
+            .groupBy(*by, "_p")
+            .agg(F.sum("_n").alias("_n"))
         )
-    )
-    targets = totals.select(*by, F.explode(wanted).alias("rank"))
-    picked = _descend(counts, targets, by).groupBy(*by).agg(
-        F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("_at")
+        if current is None:
+            joined = level.selectExpr(
+                *by,
+                "_p",
+                "_n",
+                f"sum(_n) over (partition by {keys}) as n",
+                f"sum(_n) over (partition by {keys} order by _p) as _upto",
+            ).selectExpr("*", f"explode(array_distinct(array({ends}))) as rank")
+        else:
+            joined = (
+                current.join(level, by)
+                .filter(f"shiftright(_p, {BITS}) = _prefix")
+                .withColumn(
+                    "_upto", F.expr(f"_base + sum(_n) over (partition by {keys}, rank order by _p)")
+                )
+            )
+        current = joined.filter("_upto > rank and _upto - _n <= rank").selectExpr(
+            *by, "n", "rank", "_upto - _n as _base", "_p as _prefix"
+        )
+    picked = current.groupBy(*by, "n").agg(
+        F.expr("map_from_entries(collect_list(struct(rank, _prefix))) as _at")
     )
     out = []
     for name, p in probs.items():
-        at = _rank(p, F.col("_total"))
-        low = F.col("_at")[F.floor(at).cast("bigint")].cast("double")
-        high = F.col("_at")[F.ceil(at).cast("bigint")].cast("double")
-        out.append(((low + (high - low) * (at - F.floor(at))) / SCALE).alias(name))
-    return totals.join(picked, by).select(*by, F.col("_total").alias("n"), *out)
+        at = f"((n - 1) * {p}D)"
+        low = f"cast(_at[cast(floor({at}) as bigint)] as double)"
+        high = f"cast(_at[cast(ceil({at}) as bigint)] as double)"
+        out.append(f"({low} + ({high} - {low}) * ({at} - floor({at}))) / {scale}D as {name}")
+    return picked.selectExpr(*by, "n", *out)
 
 
-def _small_groups(df: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    return df.groupBy(*by).agg(
-        F.count(value).alias("n"),
-        *[F.percentile(F.col(value).cast("double"), F.lit(float(p))).alias(name) for name, p in probs.items()],
-    )
+def with_median(counts: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
+    """Add the median of ``value``, weighted by ``n``, to every row of its group.
 
-
-def exact_quantiles(
-    df: DataFrame,
-    by: list[str],
-    value: str,
-    probs: dict[str, float],
-    small_group: int | None = SMALL_GROUP,
-) -> DataFrame:
-    """Interpolated quantiles of ``value`` (at most four decimals) per group.
-
-    The built-in percentile keeps a group's distinct values in one buffer. It
-    serves groups of up to ``small_group`` rows; larger ones are answered from
-    counts alone. ``small_group=None`` says that every group is large.
+    For groups with few distinct values: a group's counts, though not its rows,
+    pass through one sorted (and spillable) window.
     """
-    df = df.filter(F.col(value).isNotNull())
-    if small_group is None:
-        return _large_groups(df, by, value, probs)
-    sizes = df.groupBy(*by).agg(F.count("*").alias("_size"))
-    large = sizes.filter(F.col("_size") > small_group).select(*by)
-    parts = [
-        _small_groups(df.join(large, by, "left_anti"), by, value, probs),
-        _large_groups(df.join(large, by, "left_semi"), by, value, probs),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    keys = ", ".join(by)
+    at_least = "min(case when _upto > {end} then {value} end) over (partition by {keys})"
+    low = at_least.format(end="floor((_total - 1) / 2)", value=value, keys=keys)
+    high = at_least.format(end="ceil((_total - 1) / 2)", value=value, keys=keys)
+    return (
+        counts.selectExpr(
+            "*",
+            f"sum(n) over (partition by {keys}) as _total",
+            f"sum(n) over (partition by {keys} order by {value}) as _upto",
+        )
+        .withColumn(out, F.expr(f"({low} + {high}) / 2"))
+        .drop("_total", "_upto")
+    )

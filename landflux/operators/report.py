@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from landflux.functions.amounts import rounded
 from landflux.operators.quantiles import exact_quantiles
+from landflux.session import keep
 
 REPORT_COLUMNS = {
     "region_id",
@@ -162,15 +163,15 @@ def distribution(
     entries: DataFrame, by: list[str], probs: dict[str, float] | None = None
 ) -> DataFrame:
     """Exact percentiles of unit totals in each ``by``."""
-    unit_totals = totals(entries, [*by, "unit_id"])
+    unit_totals = keep(totals(entries, [*by, "unit_id"]), "unit-totals")
     probs = probs or {"p05": 0.05, **QUARTILES, "p95": 0.95}
-    return exact_quantiles(unit_totals, by, "amount", probs, small_group=None)
+    return exact_quantiles(unit_totals, by, "amount", probs)
 
 
 def unit_quartiles(entries: DataFrame, by: list[str]) -> DataFrame:
     """The quarter of its group each unit's total falls in; equal totals share one."""
-    unit_totals = totals(entries, [*by, "unit_id"])
-    cuts = exact_quantiles(unit_totals, by, "amount", QUARTILES, small_group=None)
+    unit_totals = keep(totals(entries, [*by, "unit_id"]), "unit-totals")
+    cuts = exact_quantiles(unit_totals, by, "amount", QUARTILES)
     value = F.col("amount").cast("double")
     quartile = (
         F.when(value <= F.col("p25"), 1)

