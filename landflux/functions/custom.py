@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,19 +15,36 @@ def fit_per_group(
     keys: list[str],
     x: str,
     y: str,
-    fn: Callable[[pd.DataFrame], pd.DataFrame],
+    fn: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple],
     schema: str,
 ) -> DataFrame:
     """Fit a user model to each group.
 
-    Spark first reduces the group to one row per value of ``x`` (columns ``n``
-    and ``mean_<y>``), so a task holds as many rows as ``x`` has values, however
-    many rows the group has. Least squares weighted by ``n`` on those means
-    gives the same fit as on the rows. ``x`` must be a step such as a year or
+    Spark first reduces the group to one point per value of ``x``: its mean
+    ``y`` and the number of rows. A group is then as small as ``x`` has values,
+    however many rows it had, and travels as one row, so that an Arrow batch
+    brings thousands of groups. ``fn`` gets x, mean y and counts as arrays and
+    returns the values of ``schema``. Least squares weighted by the counts on
+    the means equals the fit on the rows. ``x`` must be a step such as a year or
     an age class.
     """
-    points = df.groupBy(*keys, x).agg(F.count(y).alias("n"), F.avg(y).alias(f"mean_{y}"))
-    return points.groupBy(*keys).applyInPandas(fn, schema)
+    names = [part.split()[0] for part in schema.split(", ")]
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    packed = (
+        df.groupBy(*keys, F.col(x).cast("double").alias("_x"))
+        .agg(F.avg(y).alias("_y"), F.count(y).alias("_n"))
+        .groupBy(*keys)
+        .agg(F.sort_array(F.collect_list(F.struct("_x", "_y", "_n"))).alias("_points"))
+        .select(*keys, *[F.col(f"_points.{c}").alias(c) for c in ("_x", "_y", "_n")])
+    )
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            points = zip(batch["_x"], batch["_y"], batch["_n"], strict=True)
+            fits = [fn(*(np.asarray(part, dtype=float) for part in point)) for point in points]
+            yield batch[keys].join(pd.DataFrame(fits, columns=names, index=batch.index))
+
+    return packed.mapInPandas(fit, ", ".join([*[f"{k} {types[k]}" for k in keys], schema]))
 
 
 def map_factor(

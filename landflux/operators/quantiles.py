@@ -56,13 +56,11 @@ def exact_quantiles(
                 f"sum(_n) over (partition by {keys} order by _p) as _upto",
             ).selectExpr("*", f"explode(array_distinct(array({ends}))) as rank")
         else:
-            joined = (
-                current.join(level, by)
-                .filter(f"shiftright(_p, {BITS}) = _prefix")
-                .withColumn(
-                    "_upto", F.expr(f"_base + sum(_n) over (partition by {keys}, rank order by _p)")
-                )
-            )
+            # joined on the prefix too, so that a large group is spread by it
+            level = level.withColumn("_prefix", F.expr(f"shiftright(_p, {BITS})"))
+            upto = f"_base + sum(_n) over (partition by {keys}, rank order by _p)"
+            joined = current.join(level, [*by, "_prefix"]).drop("_prefix")
+            joined = joined.withColumn("_upto", F.expr(upto))
         current = joined.filter("_upto > rank and _upto - _n <= rank").selectExpr(
             *by, "n", "rank", "_upto - _n as _base", "_p as _prefix"
         )

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from landflux.functions.amounts import rounded
 from landflux.operators.quantiles import exact_quantiles
 from landflux.session import keep
 
@@ -35,11 +34,11 @@ def _few(columns: list[str]) -> None:
 
 
 def with_region(entries: DataFrame, units: DataFrame, country: DataFrame) -> DataFrame:
-    """Ledger rows with country, zone and region."""
-    place = units.join(country, "country_id").select(
+    """Ledger rows with country, zone and region; a unit without them keeps its rows."""
+    place = units.join(country, "country_id", "left").select(
         "unit_id", "country_id", "country", "zone", "region_id", "region"
     )
-    return entries.join(place, "unit_id")
+    return entries.join(place, "unit_id", "left")
 
 
 def totals(entries: DataFrame, by: list[str]) -> DataFrame:
@@ -200,6 +199,6 @@ def share_of_total(entries: DataFrame, by: str, within: str) -> DataFrame:
 
     return (
         totals(entries, [within, by])
-        .withColumn("share_within", rounded(share(Window.partitionBy(within))))
-        .withColumn("share_world", rounded(share(Window.partitionBy())))
+        .withColumn("share_within", share(Window.partitionBy(within)))
+        .withColumn("share_world", share(Window.partitionBy()))
     )

@@ -186,29 +186,24 @@ def units_in_boxes(t):
     return prepare.zones_of_points(t.land_unit, t.boxes)
 
 
-@query("unit_id:i n_years:i slope:r6 intercept:r6")
+@query(
+    "unit_id:i n_years:i slope:r4",
+    """SELECT unit_id, count(DISTINCT year(survey_date)) AS n_years,
+              CASE WHEN count(DISTINCT year(survey_date)) = 1 THEN 0
+                   ELSE regr_slope(c_density, year(survey_date)) END AS slope
+       FROM stock_obs GROUP BY unit_id""",
+)
 def fitted_growth(t):
     """A user's weighted line through the yearly mean density of each unit."""
 
-    def fit(points):
-        import pandas as pd
-
-        w, x, y = points["n"], points["year"].astype(float), points["mean_c_density"]
-        mx, my = (w * x).sum() / w.sum(), (w * y).sum() / w.sum()
-        sxx = (w * (x - mx) ** 2).sum()
-        slope = (w * (x - mx) * (y - my)).sum() / sxx if sxx else 0.0
-        return pd.DataFrame(
-            {
-                "unit_id": points["unit_id"].iloc[:1],
-                "n_years": [len(points)],
-                "slope": [slope],
-                "intercept": [my - slope * mx],
-            }
-        )
+    def line(x, y, n):
+        mx, my = (n * x).sum() / n.sum(), (n * y).sum() / n.sum()
+        sxx = (n * (x - mx) ** 2).sum()
+        return len(x), (n * (x - mx) * (y - my)).sum() / sxx if sxx else 0.0
 
     surveys = t.stock_obs.withColumn("year", F.year("survey_date"))
-    schema = "unit_id bigint, n_years bigint, slope double, intercept double"
-    return fit_per_group(surveys, ["unit_id"], "year", "c_density", fit, schema)
+    schema = "n_years bigint, slope double"
+    return fit_per_group(surveys, ["unit_id"], "year", "c_density", line, schema)
 
 
 @query(

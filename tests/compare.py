@@ -26,9 +26,7 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def _plain(value):
-    if isinstance(value, float):
-        return None if math.isnan(value) else value + 0.0
-    return value
+    return "nan" if isinstance(value, float) and math.isnan(value) else value
 
 
 def _order(row: tuple) -> tuple:

@@ -8,7 +8,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from landflux.functions import to_unit
+from landflux.functions import fit_per_group, map_factor, response_curve_rows, to_unit
 from landflux.operators import checks, factors, fluxes, land, prepare, report, uncertainty
 from landflux.sources import literals, read_factors, read_ledger, write_ledger
 from landflux.sources.schemas import FACTOR, LEDGER
@@ -423,3 +423,28 @@ def test_ledger_years_are_replaced_alone(spark, small_ledger, tmp_path):
     assert stored.count() == 7
     assert {r.amount for r in stored.filter("year = 2000").collect()} == {Decimal(1)}
     assert stored.filter("year = 2003").first().amount == Decimal(2)
+
+
+def test_user_fit_on_points_equals_fit_on_rows(spark):
+    import numpy as np
+
+    data = [(g, x, 3.0 * x + g + (i % 3)) for g in (1, 2) for x in range(6) for i in range(x + 1)]
+    df = spark.createDataFrame(data, "g int, x int, y double")
+
+    def line(x, y, n):
+        slope, start = np.polyfit(x, y, 1, w=np.sqrt(n))
+        return float(slope), float(start)
+
+    fits = fit_per_group(df, ["g"], "x", "y", line, "slope double, start double")
+    for row in fits.collect():
+        mine = [(x, y) for g, x, y in data if g == row.g]
+        slope, start = np.polyfit(*zip(*mine, strict=True), 1)
+        assert row.slope == pytest.approx(slope) and row.start == pytest.approx(start)
+
+
+def test_user_scalars_and_tables(spark):
+    df = spark.createDataFrame([(1, 8.0, 0.5, 3), (2, None, 0.5, 3)], "id int, total double, rate double, years int")
+    doubled = map_factor(df, "total", lambda s: s * 2, "twice").orderBy("id").collect()
+    assert doubled[0].twice == 16.0
+    curve = response_curve_rows(df, "total", "rate", "years").select("id", "age", "share")
+    assert rows(curve, "age") == [(1, 0, 4.0), (1, 1, 2.0), (1, 2, 2.0)]
