@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landflux.llm import chat, secrets, simhash, sql
+from landflux.llm import chat, quality, secrets, simhash, sql
 from landflux.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,9 @@ def op4_secret_scans(spark, folder):
 
 
 SQL["op2_chat_formatting"] = sql.OP2_CHAT
+
+
+@query
+def op3_quality_rules(spark, folder):
+    docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return quality.judge(docs).drop("text", "lang")
