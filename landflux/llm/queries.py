@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landflux.llm import chat, quality, secrets, simhash, sql
+from landflux.llm import chat, mixing, pieces, quality, secrets, simhash, sql
 from landflux.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,28 @@ SQL["op2_chat_formatting"] = sql.OP2_CHAT
 def op3_quality_rules(spark, folder):
     docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
     return quality.judge(docs).drop("text", "lang")
+
+
+@query
+def op7_mixing_sources(spark, folder):
+    docs = _table(spark, folder, "documents").select("doc_id", "text", "source")
+    measured = mixing.measure(docs).drop("text")
+    return mixing.take(measured).select("doc_id", "size", "source_size", "target", "taken")
+
+
+SQL["op7_mixing_sources"] = sql.OP7_MIXING
+
+
+@query
+def op5_sentencepiece(spark, folder):
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    both = pieces.decode(pieces.encode(docs, model).drop("text"), model)
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )

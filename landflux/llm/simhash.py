@@ -217,3 +217,13 @@ def near_copies(docs: DataFrame) -> DataFrame:
     return rows.join(labels, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without those whose component has a smaller doc_id.
+
+    A doc_id stands for one document: rows that repeat it stay or go together.
+    Rows without an id stay.
+    """
+    copies = near_copies(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)

@@ -42,3 +42,44 @@ SELECT conv_id, count(*) AS n_turns,
   ELSE 0 END) AS BIGINT) AS formatted_chars
 FROM marked GROUP BY conv_id
 """
+
+OP7_MIXING = r"""
+WITH docs AS (
+  SELECT doc_id, source, coalesce(text, '') AS text,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+  FROM documents
+), keyed AS (
+  SELECT doc_id, source, size,
+    -ln((CAST('0x' || substr(md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), ''), text)), 1, 12) AS BIGINT) + 0.5)
+      / 281474976710656.0::DOUBLE)
+    / (1.0::DOUBLE - 0.75::DOUBLE * length(regexp_replace(text, '[A-Za-z\x20\x{C0}-\x{24F}]+', '', 'g'))
+      / greatest(length(text), 1)) AS key
+  FROM docs
+), sizes AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source
+), weighed AS (
+  SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM sizes
+), levels AS (
+  SELECT *, (sum(source_size) OVER ()
+      - coalesce(sum(source_size) OVER (ORDER BY source_size / weight, source NULLS LAST
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 3)
+    / CAST(sum(weight) OVER (ORDER BY source_size / weight, source NULLS LAST
+          ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level
+  FROM weighed
+), goal AS (
+  SELECT *, least(source_size * 3.0::DOUBLE, weight * (
+    SELECT level FROM levels WHERE source_size * 3.0::DOUBLE >= level * weight
+    ORDER BY source_size / weight, source NULLS LAST LIMIT 1)) AS target
+  FROM levels
+), budgets AS (
+  SELECT *, CASE WHEN source_size > 0 THEN least(3, CAST(floor(target / source_size) AS BIGINT)) ELSE 0 END AS epochs FROM goal
+), placed AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM keyed
+)
+SELECT p.doc_id, p.size, b.source_size, b.target,
+  CAST((b.epochs + CASE WHEN p.size > 0 AND p.before + p.size / 2.0::DOUBLE <= b.target - b.epochs * b.source_size
+    THEN 1 ELSE 0 END) * p.size AS BIGINT) AS taken
+FROM placed p JOIN budgets b ON p.source IS NOT DISTINCT FROM b.source
+"""
