@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landflux.llm import chat, mixing, pieces, quality, secrets, simhash, sql
+from landflux.llm import chat, mixing, pieces, quality, secrets, simhash, sql, vectors
 from landflux.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,11 @@ def op5_sentencepiece(spark, folder):
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op10_embedding_near_dedup(spark, folder):
+    return vectors.near_vectors(_table(spark, folder, "embeddings"))
+
+
+SQL["op10_embedding_near_dedup"] = sql.OP10_VECTORS

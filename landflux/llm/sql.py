@@ -83,3 +83,24 @@ SELECT p.doc_id, p.size, b.source_size, b.target,
     THEN 1 ELSE 0 END) * p.size AS BIGINT) AS taken
 FROM placed p JOIN budgets b ON p.source IS NOT DISTINCT FROM b.source
 """
+
+OP10_VECTORS = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), good AS (
+  SELECT * FROM vectors WHERE e IS NOT NULL AND len(e) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_max(list_transform(e, lambda x: abs(x))) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
+    ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9
+), reach AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), smallest AS (
+  SELECT a, min(b) AS least FROM reach GROUP BY a
+), counted AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT v.vec_id, coalesce(c.n, 0) AS n_links, least(v.vec_id, coalesce(s.least, v.vec_id)) AS component_id,
+  v.vec_id <= coalesce(s.least, v.vec_id) AS kept
+FROM vectors v LEFT JOIN smallest s ON s.a = v.vec_id LEFT JOIN counted c ON c.a = v.vec_id
+"""
