@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landflux.llm import chat, mixing, pieces, quality, secrets, simhash, sql, vectors
+from landflux.llm import chat, mixing, pieces, quality, secrets, simhash, sql, urls, vectors
 from landflux.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,18 @@ def op10_embedding_near_dedup(spark, folder):
 
 
 SQL["op10_embedding_near_dedup"] = sql.OP10_VECTORS
+
+
+URL_RULES = [
+    urls.Rule("allow", "org", "/"),
+    urls.Rule("block", "example.org", "/es/"),
+    urls.Rule("block", "example.org", "/en/1"),
+    urls.Rule("allow", "com", "/fr/"),
+    urls.Rule("block", "com", "/de/"),
+]
+
+
+@query
+def op6_url_filters(spark, folder):
+    pages = _table(spark, folder, "pages").select("page_id", "url")
+    return urls.judge_urls(pages, URL_RULES).drop("url")
