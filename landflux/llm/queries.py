@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landflux.llm import chat, mixing, pieces, quality, secrets, simhash, sql, urls, vectors
+from landflux.llm import chat, html_main, mixing, pieces, quality, secrets, simhash, sql, urls, vectors
 from landflux.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,8 @@ URL_RULES = [
 def op6_url_filters(spark, folder):
     pages = _table(spark, folder, "pages").select("page_id", "url")
     return urls.judge_urls(pages, URL_RULES).drop("url")
+
+
+@query
+def op8_html_extraction(spark, folder):
+    return html_main.main_text(_table(spark, folder, "pages").select("page_id", "url", "html"))
