@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landflux.llm import chat, html_main, mixing, pieces, quality, secrets, simhash, sql, urls, vectors
+from landflux.llm import chat, html_main, mixing, pieces, quality, repeats, secrets, simhash, sql, urls, vectors
 from landflux.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,11 @@ def op6_url_filters(spark, folder):
 @query
 def op8_html_extraction(spark, folder):
     return html_main.main_text(_table(spark, folder, "pages").select("page_id", "url", "html"))
+
+
+@query
+def op9_repeated_passages(spark, folder):
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return repeats.without_repeats(docs).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )

@@ -31,6 +31,16 @@ class Store:
         kept._stored_at = path
         return kept
 
+    def keep_bucketed(self, df: DataFrame, key: str) -> DataFrame:
+        """A table sorted and bucketed by ``key``: joins on it move only the other side."""
+        number = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        name = f"landflux_{uuid.uuid4().hex}"
+        path = f"{self.root}/{self.count}"
+        self.count += 1
+        writer = df.repartition(number, key).write.bucketBy(number, key).sortBy(key)
+        writer.option("path", path).saveAsTable(name)
+        return self.spark.table(name)
+
     def drop(self, kept: DataFrame) -> None:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(kept._stored_at)
