@@ -122,85 +122,71 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def _with_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("_text").to_pylist()
-        counted = [base_counts(t or b"") for t in texts]
-        columns = [pa.array([c[k] for c in counted], pa.int64()) for k in range(len(COUNTS))]
-        failed = pa.array([base_failed(c[0], c[4]) for c in counted], pa.bool_())
-        classes = pa.array([class_counts(t or b"").tolist() for t in texts], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns, *columns, failed, classes], names=[*batch.schema.names, *COUNTS, "base_failed", "_classes"]
-        )
-
-
-def _word_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words by language, one row for each word of a batch."""
+def _texts(batch: pa.RecordBatch) -> list[bytes]:
+    return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By language of texts that pass the base rules: class counts (class set) and word counts (word set)."""
     for batch in batches:
-        totals: dict[str, Counter] = defaultdict(Counter)
-        for lang, text in zip(batch.column("_lang").to_pylist(), batch.column("_text").to_pylist(), strict=True):
-            if text:
-                totals[lang].update(common_form(text))
-        for lang, words in totals.items():
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([lang] * len(words), pa.string()),
-                    pa.array(list(words), pa.binary()),
-                    pa.array(list(words.values()), pa.int64()),
-                ],
-                names=["_lang", "word", "n"],
-            )
-
-
-def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[str, Counter] = defaultdict(Counter)
+        classes: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(CLASSES), np.int64))
+        for lang, text in zip(batch.column("_lang").to_pylist(), _texts(batch), strict=True):
+            raw = text.split()
+            if not base_failed(len(raw), repeated_words(raw)):
+                words[lang].update(common_form(text))
+                classes[lang] += class_counts(text)
+        for lang, found in words.items():
+            columns = [
+                pa.array([lang] * (len(CLASSES) + len(found)), pa.string()),
+                pa.array([*range(len(CLASSES)), *[None] * len(found)], pa.int32()),
+                pa.array([*[None] * len(CLASSES), *found], pa.binary()),
+                pa.array([*classes[lang].tolist(), *found.values()], pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["_lang", "class", "word", "n"])
+
+
+def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = batch.column("_lang").to_pylist()
         first = {lang: at for at, lang in reversed(list(enumerate(langs)))}
         references = {lang: batch.column("_reference")[at].as_py() for lang, at in first.items()}
-        by_class, by_word = [], []
-        rows = zip(
-            langs,
-            batch.column("_text").to_pylist(),
-            batch.column("_classes").to_pylist(),
-            batch.column("word_chars").to_pylist(),
-            batch.column("n_words").to_pylist(),
-            strict=True,
-        )
-        for lang, text, classes, chars, n_words in rows:
+        counts, failed, by_class, by_word = [], [], [], []
+        for lang, text in zip(langs, _texts(batch), strict=True):
+            counted = base_counts(text)
+            counts.append(counted)
+            failed.append(base_failed(counted[0], counted[4]))
             known = references[lang]
-            if not known or known["n"] < GUARD_REFERENCE:
-                by_class.append(None)
-                by_word.append(None)
-                continue
-            long = chars >= GUARD_CHARS
-            by_class.append(js_distance(np.array(classes), np.array(known["classes"])) if long else None)
-            if n_words < GUARD_WORDS:
-                by_word.append(None)
-                continue
-            words = common_form(text)
-            found = Counter(words)
-            own = [found[w] for w in known["words"]]
-            shares = [*known["counts"], known["n"] - sum(known["counts"])]
-            by_word.append(js_distance(np.array([*own, len(words) - sum(own)]), np.array(shares)))
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(by_class, pa.float64()), pa.array(by_word, pa.float64())],
-            names=[*batch.schema.names, "class_distance", "word_distance"],
-        )
+            to_class = to_word = None
+            if known and known["n"] >= GUARD_REFERENCE:
+                if counted[1] >= GUARD_CHARS:
+                    to_class = js_distance(class_counts(text), np.array(known["classes"]))
+                if counted[0] >= GUARD_WORDS:
+                    found = Counter(words := common_form(text))
+                    own = [found[w] for w in known["words"]]
+                    shares = [*known["counts"], known["n"] - sum(known["counts"])]
+                    to_word = js_distance(np.array([*own, len(words) - sum(own)]), np.array(shares))
+            by_class.append(to_class)
+            by_word.append(to_word)
+        added = [pa.array([c[k] for c in counts], pa.int64()) for k in range(len(COUNTS))]
+        added += [pa.array(failed, pa.bool_()), pa.array(by_class, pa.float64()), pa.array(by_word, pa.float64())]
+        names = [*batch.schema.names, *COUNTS, "base_failed", "class_distance", "word_distance"]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=names)
 
 
 REFERENCE = "struct<words:array<binary>,counts:array<bigint>,n:bigint,classes:array<bigint>>"
 
 
-def references(counted: DataFrame) -> DataFrame:
-    """(_lang, _reference) from counted documents: word and class totals of all that pass the base rules.
+def references(docs: DataFrame, store: Store) -> DataFrame:
+    """(_lang, _reference) of documents (_lang, text): word and class totals of all that pass the base rules.
 
-    Word counts are summed in each task before the shuffle; ties at the end of
-    the common words go to the smaller word.
+    Counts are summed in each task before the shuffle. The common words of a
+    language are chosen in slices of its words first; ties at the end go to the
+    smaller word.
     """
-    good = counted.filter("NOT base_failed")
-    totals = good.select("_lang", "_text").mapInArrow(_word_totals, "_lang string, word binary, n bigint")
-    words = totals.groupBy("_lang", "word").agg(F.sum("n").alias("n"))
-    sizes = words.groupBy("_lang").agg(F.sum("n").alias("total"))
+    totals = docs.mapInArrow(_totals, "_lang string, class int, word binary, n bigint")
+    totals = store.keep(totals.groupBy("_lang", "class", "word").agg(F.sum("n").alias("n")))
+    words = totals.filter("word IS NOT NULL")
     salted = words.withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(64)))
     order = [F.desc("n"), F.asc("word")]
     best = salted.withColumn("place", F.row_number().over(Window.partitionBy("_lang", "salt").orderBy(*order)))
@@ -213,11 +199,12 @@ def references(counted: DataFrame) -> DataFrame:
         F.transform(common, lambda w: w["word"]).alias("words"),
         F.transform(common, lambda w: -w["less"]).alias("counts"),
     )
-    classes = good.groupBy("_lang").agg(
-        F.array(*[F.sum(F.element_at("_classes", k + 1)) for k in range(len(CLASSES))]).alias("classes")
+    by_class = [F.coalesce(F.sum(F.when(F.col("class") == k, F.col("n"))), F.lit(0)) for k in range(len(CLASSES))]
+    sizes = totals.groupBy("_lang").agg(
+        F.sum(F.when(F.col("word").isNotNull(), F.col("n"))).alias("n"), F.array(*by_class).alias("classes")
     )
-    joined = listed.join(sizes, "_lang").join(classes, "_lang")
-    return joined.select("_lang", F.struct("words", "counts", F.col("total").alias("n"), "classes").cast(REFERENCE).alias("_reference"))
+    joined = listed.join(sizes, "_lang")
+    return joined.select("_lang", F.struct("words", "counts", "n", "classes").cast(REFERENCE).alias("_reference"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -231,19 +218,12 @@ def judge(docs: DataFrame) -> DataFrame:
     results = [*COUNTS, "base_failed", "class_distance", "word_distance", "kept"]
     own = [c for c in docs.columns if c not in results]
     store = Store(docs.sparkSession, "quality")
-    inner = docs.select(
-        *own,
-        F.col("text").cast("binary").alias("_text"),
-        F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("_lang"),
-    )
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields)
-    counts = ", ".join(f"{c} bigint" for c in COUNTS)
-    counted = inner.mapInArrow(_with_counts, f"{kinds}, {counts}, base_failed boolean, _classes array<bigint>")
-    counted = store.keep(counted)
-    known = store.keep(references(counted))
-    met = counted.join(known, "_lang", "left").select(*counted.columns, "_reference")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in met.schema.fields)
-    measured = met.mapInArrow(_distances, f"{schema}, class_distance double, word_distance double")
+    inner = docs.select(*own, F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("_lang"))
+    known = store.keep(references(inner.select("_lang", "text"), store))
+    met = inner.join(known, "_lang", "left").select(*inner.columns, "_reference")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in met.schema.fields] + [f"{c} bigint" for c in COUNTS]
+    schema = ", ".join([*kinds, "base_failed boolean, class_distance double, word_distance double"])
+    measured = met.mapInArrow(_verdicts, schema)
     near = (F.coalesce("class_distance", F.lit(0.0)) <= CLASS_DISTANCE) & (
         F.coalesce("word_distance", F.lit(0.0)) <= WORD_DISTANCE
     )
