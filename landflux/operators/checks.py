@@ -9,10 +9,10 @@ from landflux.sources.schemas import MONEY
 
 
 def all_land_check(state: DataFrame, units: DataFrame) -> DataFrame:
-    """Per year: area with a class, area not yet observed, and what is missing or doubled.
+    """Per year: area with a class, area not yet observed, and what is missing, doubled or foreign.
 
-    ``balanced`` holds where no unit has two rows and both areas add up to the
-    area of all units.
+    ``balanced`` holds where no unit has two rows, none is unknown to ``units``,
+    and both areas add up to the area of all units.
     """
     per_unit = state.groupBy("unit_id", "year").agg(
         F.count("*").alias("n"), F.count("land_use").alias("n_classes")
@@ -21,16 +21,19 @@ def all_land_check(state: DataFrame, units: DataFrame) -> DataFrame:
     known = F.col("n_classes") > 0
     zero = F.lit(0).cast(MONEY)
     return (
-        per_unit.join(units.select("unit_id", "area_ha"), "unit_id")
+        per_unit.join(units.select("unit_id", "area_ha", F.lit(True).alias("_own")), "unit_id", "left")
         .groupBy("year")
         .agg(
             F.sum(F.when(known, F.col("area_ha")).otherwise(zero)).alias("classified_ha"),
             F.sum(F.when(~known, F.col("area_ha")).otherwise(zero)).alias("unobserved_ha"),
             F.count(F.when(F.col("n") > 1, 1)).alias("n_doubled"),
             F.count(F.when(~known, 1)).alias("n_unobserved"),
+            F.count(F.when(F.col("_own").isNull(), 1)).alias("n_foreign"),
         )
         .withColumn("missing_ha", world.scalar() - F.col("classified_ha") - F.col("unobserved_ha"))
-        .withColumn("balanced", (F.col("missing_ha") == 0) & (F.col("n_doubled") == 0))
+        .withColumn(
+            "balanced", (F.col("missing_ha") == 0) & (F.col("n_doubled") == 0) & (F.col("n_foreign") == 0)
+        )
     )
 
 
@@ -46,40 +49,52 @@ def units_without_class(state: DataFrame, units: DataFrame, y0: int, y1: int) ->
 
 
 def all_carbon_check(entries: DataFrame, stocks: DataFrame, tolerance: float = 0.001) -> DataFrame:
-    """Compare the change of each stock with the ledger's net flux of carbon.
+    """Compare the change of each stock with the ledger's net flux of carbon since the stock before.
 
-    Both sides are put under each other and summed, which joins them fully with
-    one shuffle. ``status`` is ``balanced``, ``off``, ``no flux`` (the stock
-    moved, the ledger has nothing) or ``no stock``.
+    Fluxes count towards the unit's next stock of the pool, so stocks may be
+    years apart. Both sides are put under each other, which joins them fully
+    with one shuffle; a unit and pool has few rows. ``status`` is ``balanced``,
+    ``off``, ``no flux`` (the stock moved, the ledger has nothing) or ``no
+    stock`` (fluxes up to the first stock or after the last one).
     """
     keys = ["unit_id", "year", "pool"]
-    window = Window.partitionBy("unit_id", "pool").orderBy("year")
     none = F.lit(None).cast(MONEY)
-    moved = (
-        stocks.withColumn("stock_change", F.col("stock") - F.lag("stock").over(window))
-        .filter("stock_change is not null")
-        .select(*keys, F.col("stock_change").cast(MONEY).alias("stock_change"), none.alias("flux"))
-    )
-    flows = entries.filter("gas = 'CO2'").select(
-        *keys, none.alias("stock_change"), F.col("amount").alias("flux")
-    )
+    held = stocks.groupBy(*keys).agg(F.sum("stock").cast(MONEY).alias("stock"))
+    flows = entries.filter("gas = 'CO2'").groupBy(*keys).agg(F.sum("amount").cast(MONEY).alias("flux"))
+    rows = held.withColumn("flux", none).unionByName(flows.withColumn("stock", none))
+    own = Window.partitionBy("unit_id", "pool").orderBy("year")
+    ahead = own.rangeBetween(0, Window.unboundedFollowing)
+    stock_year = F.when(F.col("stock").isNotNull(), F.col("year"))
+    rows = rows.withColumn("until", F.min(stock_year).over(ahead))
     zero = F.lit(0).cast(MONEY)
-    gap = F.coalesce("stock_change", zero) - F.coalesce("flux", zero)
+    grouped = rows.groupBy("unit_id", "pool", F.coalesce("until", "year").alias("year")).agg(
+        F.sum("stock").alias("stock"), F.sum("flux").alias("flux")
+    )
+    before = F.last("stock", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    grouped = grouped.withColumn("stock_change", F.col("stock") - before)
     status = (
-        F.when(F.abs("difference") <= tolerance, "balanced")
+        F.when(F.col("stock_change").isNull(), "no stock")
+        .when(F.abs("difference") <= tolerance, "balanced")
         .when(F.col("flux").isNull(), "no flux")
-        .when(F.col("stock_change").isNull(), "no stock")
         .otherwise("off")
     )
     return (
-        moved.unionByName(flows)
-        .groupBy(*keys)
-        .agg(F.sum("stock_change").alias("stock_change"), F.sum("flux").alias("flux"))
-        .withColumn("difference", gap)
+        grouped.filter("stock_change is not null or flux is not null")
+        .withColumn("difference", F.coalesce("stock_change", zero) - F.coalesce("flux", zero))
         .withColumn("status", status)
+        .select(*keys, F.col("stock_change").cast(MONEY).alias("stock_change"), "flux", "difference", "status")
     )
 
 
+def missing_pools(entries: DataFrame, stocks: DataFrame, units: DataFrame, pools: list[str]) -> DataFrame:
+    """Units and pools of ``pools`` that have neither a stock nor a flux of carbon."""
+    seen = entries.filter("gas = 'CO2'").select("unit_id", "pool").unionByName(stocks.select("unit_id", "pool"))
+    held = [F.max(F.col("pool") == p).alias(f"_{p}") for p in pools]
+    per_unit = units.select("unit_id").distinct().join(seen.groupBy("unit_id").agg(*held), "unit_id", "left")
+    absent = [F.when(~F.coalesce(F.col(f"_{p}"), F.lit(False)), F.lit(p)) for p in pools]
+    return per_unit.select("unit_id", F.explode(F.array_compact(F.array(*absent))).alias("pool"))
+
+
 def double_count(claims: DataFrame) -> DataFrame:
     """Claims that share a day with another claim on their unit, and with how many.
 
@@ -88,20 +103,19 @@ def double_count(claims: DataFrame) -> DataFrame:
     running counts per unit and day give both numbers, so no pairs are made and
     the window grows with the days, not with the claims.
     """
-    begins = claims.select("unit_id", F.col("start_date").alias("day"), F.lit(1).alias("b"), F.lit(0).alias("e"))
-    over = claims.select(
-        "unit_id", F.date_add("end_date", 1).alias("day"), F.lit(0).alias("b"), F.lit(1).alias("e")
+    # per claim: its own day of beginning, the day after its end, and its last day, which is only asked for
+    marks = F.array(
+        F.struct(F.col("start_date").alias("day"), F.lit(1).alias("b"), F.lit(0).alias("e")),
+        F.struct(F.date_add("end_date", 1).alias("day"), F.lit(0).alias("b"), F.lit(1).alias("e")),
+        F.struct(F.col("end_date").alias("day"), F.lit(0).alias("b"), F.lit(0).alias("e")),
     )
-    # days asked for, without a count of their own
-    asked = claims.select("unit_id", F.col("end_date").alias("day"), F.lit(0).alias("b"), F.lit(0).alias("e"))
     window = (
         Window.partitionBy("unit_id")
         .orderBy("day")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     running = (
-        begins.unionByName(over)
-        .unionByName(asked)
+        claims.select("unit_id", F.inline(marks))
         .groupBy("unit_id", "day")
         .agg(F.sum("b").alias("b"), F.sum("e").alias("e"))
         .select(

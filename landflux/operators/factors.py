@@ -2,76 +2,61 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landflux.operators.prepare import latest_per_key
 
-# Years for which factors are looked up. Validity ranges are cut to it and
-# listed year by year, which turns the range condition into an equal-key join.
-PERIOD = (1990, 2050)
-TIERS = [
-    ["country_id", "zone", "land_use"],
-    ["zone", "land_use"],
-    ["land_use"],
-    [],
-]
-_SCOPE = ["country_id", "zone", "land_use"]
-
-
-def _tier_sql() -> str:
-    """Number of the tier a factor row belongs to; null for any other scope."""
-    cases = []
-    for number, keys in enumerate(TIERS, start=1):
-        scope = " and ".join(f"{c} is {'not ' if c in keys else ''}null" for c in _SCOPE)
-        cases.append(f"when {scope} then {number}")
-    return f"case {' '.join(cases)} end"
-
-
-def _in_force(
-    factor: DataFrame, params: list[str], period: tuple[int, int], with_unc: bool = False
-) -> DataFrame:
-    """One row per scope and year, one column per parameter.
+SCOPE = ["country_id", "zone", "land_use"]
+# Scopes from specific to general: more keys first; among equal numbers country
+# goes before zone and zone before class. A scope's tier is its place, from 1.
+SCOPES = [list(keys) for n in (3, 2, 1, 0) for keys in combinations(SCOPE, n)]
+TIER_OF = {tuple(keys): number for number, keys in enumerate(SCOPES, start=1)}
 
-    Validity is settled first; of several ranges that hold a year the one that
-    began last wins.
-    """
-    listed = ", ".join(f"'{p}'" for p in params)
-    low, high = f"greatest(valid_from, {period[0]})", f"least(valid_to, {period[1]})"
-    picks = {"": "value", "_unc": "rel_unc"} if with_unc else {"": "value"}
-    keys = [f"_k_{k}" for k in _SCOPE]
-    best = [
-        F.expr(f"max_by({column}, valid_from) filter (where param = '{p}') as _{p}{suffix}")
-        for p in params
-        for suffix, column in picks.items()
-    ]
-    return (
-        factor.filter(f"param in ({listed}) and {low} <= {high}")
-        .selectExpr(
-            *[f"{k} as _k_{k}" for k in _SCOPE],
-            f"explode(sequence({low}, {high})) as _k_year",
-            "param",
-            "valid_from",
-            *picks.values(),
-            f"{_tier_sql()} as _tier",
-        )
-        .groupBy(*keys, "_k_year")
-        .agg(F.min("_tier").alias("_tier"), *best)
-    )
 
+def tiers_with(key: str) -> list[int]:
+    """Tiers whose scope names ``key``."""
+    return [number for keys, number in TIER_OF.items() if key in keys]
 
-def _lookup(rows: DataFrame, tier: int) -> DataFrame:
-    """One tier of ``_in_force``.
 
-    The tier is read from the aggregate, not from the factor rows, so that all
-    tiers are cut from the same shuffled table. That shuffle also tells Spark
-    the table's true size before it picks the way to join.
+def _best(keys: DataFrame, factor: DataFrame, params: list[str], have: list[str]) -> DataFrame:
+    """For distinct keys the factor of each parameter, as one struct column ``_<param>``.
+
+    A key is listed once under every scope it can be found by, and meets the
+    factors of that scope in one null-safe join on equal keys. Validity is
+    settled first; an open end holds always. Then the lowest tier wins, then the
+    range that began last. Rows that tie in both are told apart by their end,
+    value and uncertainty, so that value and uncertainty come from one row.
     """
-    skip = [f"_k_{k}" for k in _SCOPE if k not in TIERS[tier - 1]]
-    lookup = rows.filter(F.col("_tier") == tier).drop("_tier", *skip)
-    values = [c for c in lookup.columns if not c.startswith("_k_")]
-    keys = [c for c in lookup.columns if c.startswith("_k_")]
-    return lookup.selectExpr(*keys, *[f"{c} as _t{tier}{c}" for c in values])
+    scopes = []
+    for scope, tier in TIER_OF.items():
+        if set(scope) <= set(have):
+            fields = [
+                F.when(F.lit(k in scope), F.col(f"_k_{k}")).alias(f"_s_{k}")
+                if k in have
+                else F.lit(None).cast(factor.schema[k].dataType).alias(f"_s_{k}")
+                for k in SCOPE
+            ]
+            known = F.lit(True)
+            for k in scope:
+                known = known & F.col(f"_k_{k}").isNotNull()
+            scopes.append(F.when(known, F.struct(F.lit(tier).alias("_tier"), *fields)))
+    listed = keys.withColumn("_scope", F.explode(F.array_compact(F.array(*scopes))))
+    listed = listed.select(*keys.columns, "_scope.*")
+    rows = factor.filter(F.col("param").isin(params)).select(
+        *[F.col(k).alias(f"_f_{k}") for k in SCOPE], "param", "valid_from", "valid_to", "value", "rel_unc"
+    )
+    match = F.coalesce(F.col("_k_year") >= F.col("valid_from"), F.lit(True))
+    match &= F.coalesce(F.col("_k_year") <= F.col("valid_to"), F.lit(True))
+    for k in SCOPE:
+        match &= F.col(f"_s_{k}").eqNullSafe(F.col(f"_f_{k}"))
+    began = F.coalesce(-F.col("valid_from").cast("bigint"), F.lit(1 << 40))
+    ended = F.coalesce(F.col("valid_to").cast("bigint"), F.lit(1 << 40))
+    choice = F.struct(F.col("_tier").alias("tier"), began.alias("b"), ended.alias("e"), "value", F.col("rel_unc").alias("unc"))
+    picks = [F.min(F.when(F.col("param") == p, choice)).alias(f"_{p}") for p in params]
+    return listed.join(rows, match).groupBy(*keys.columns).agg(*picks)
 
 
 def resolve_factors(
@@ -82,35 +67,31 @@ def resolve_factors(
     land_use: str = "land_use",
     names: dict[str, str] | None = None,
     with_tier: bool = False,
-    period: tuple[int, int] = PERIOD,
 ) -> DataFrame:
-    """Add the most specific factor in force for each parameter.
+    """Add the most specific factor in force for each parameter, null where there is none.
+
+    Scopes are all combinations of country, zone and class, ranked as in
+    ``SCOPES``; those with a column that ``df`` lacks are left out, and a null
+    key only finds scopes without it. Any year is looked up. ``names`` renames
+    the added columns; ``with_tier`` adds ``<name>_tier`` and ``<name>_unc``.
 
-    Tiers from specific to general: country, zone and class; zone and class;
-    class; everywhere. All parameters share the joins, one per tier, and a
-    tier is left out when ``df`` lacks one of its columns. ``names`` renames the
-    added columns; ``with_tier`` adds ``<name>_tier`` (1 to 4) and ``<name>_unc``.
+    Only the distinct keys of ``df`` are resolved, all parameters together, and
+    the answer comes back in one join whose other side is unique by key.
     """
     names = names or {}
-    columns = df.columns
     on = {"country_id": "country_id", "zone": "zone", "land_use": land_use}
-    tiers = [n for n, keys in enumerate(TIERS, start=1) if all(on[k] in columns for k in keys)]
-    out = df
-    in_force = _in_force(factor, params, period, with_tier)
-    for tier in tiers:
-        keys = TIERS[tier - 1]
-        match = " and ".join([f"{year} = _k_year", *[f"{on[k]} = _k_{k}" for k in keys]])
-        drop = ["_k_year", *[f"_k_{k}" for k in keys]]
-        out = out.join(_lookup(in_force, tier), F.expr(match), "left").drop(*drop)
+    have = [k for k in SCOPE if on[k] in df.columns]
+    keys = df.select(*[F.col(on[k]).alias(f"_k_{k}") for k in have], F.col(year).alias("_k_year")).distinct()
+    match = F.col(year).eqNullSafe(F.col("_k_year"))
+    for k in have:
+        match &= F.col(on[k]).eqNullSafe(F.col(f"_k_{k}"))
     added = []
     for p in params:
         name = names.get(p, p)
-        added.append(f"coalesce({', '.join(f'_t{t}_{p}' for t in tiers)}) as {name}")
+        added.append(F.col(f"_{p}.value").alias(name))
         if with_tier:
-            for suffix, value in (("tier", "{t}"), ("unc", "_t{t}_{p}_unc")):
-                cases = [f"when _t{t}_{p} is not null then {value.format(t=t, p=p)}" for t in tiers]
-                added.append(f"case {' '.join(cases)} end as {name}_{suffix}")
-    return out.selectExpr(*columns, *added)
+            added += [F.col(f"_{p}.tier").alias(f"{name}_tier"), F.col(f"_{p}.unc").alias(f"{name}_unc")]
+    return df.join(_best(keys, factor, params, have), match, "left").select(*df.columns, *added)
 
 
 def resolve_factor(df: DataFrame, factor: DataFrame, param: str, **options) -> DataFrame:
@@ -118,21 +99,15 @@ def resolve_factor(df: DataFrame, factor: DataFrame, param: str, **options) -> D
     return resolve_factors(df, factor, [param], with_tier=True, **options)
 
 
-def factor_in_force(
-    df: DataFrame, factor: DataFrame, param: str, year: str = "year", period: tuple[int, int] = PERIOD
-) -> DataFrame:
+def factor_in_force(df: DataFrame, factor: DataFrame, param: str, year: str = "year") -> DataFrame:
     """The factor whose validity holds the row's year, matched on class alone."""
-    columns = df.columns
-    match = F.expr(f"{year} = _k_year and land_use = _k_land_use")
-    lookup = _lookup(_in_force(factor, [param], period), 3)
-    return df.join(lookup, match, "left").selectExpr(
-        *columns, f"_t3_{param} as {param}"
-    )
+    by_class = factor.filter("country_id is null and zone is null and land_use is not null")
+    return resolve_factors(df, by_class, [param], year=year)
 
 
 def missing_factors(df: DataFrame, factor: DataFrame, param: str, year: str = "year") -> DataFrame:
     """Keys of ``df`` without a factor at any tier, and how many rows they touch."""
-    keys = [c for c in _SCOPE if c in df.columns]
+    keys = [c for c in SCOPE if c in df.columns]
     seen = df.groupBy(*keys, year).agg(F.count("*").alias("n_rows"))
     return resolve_factors(seen, factor, [param], year=year).filter(F.col(param).isNull()).drop(param)
 

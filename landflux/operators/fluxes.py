@@ -40,7 +40,10 @@ def _before_and_after(df: DataFrame, factor: DataFrame, params: list[str]) -> Da
 
 
 def _legacy_years(period: int, until: int) -> str:
-    """Years a change acts in: ``period`` of them, cut at the unit's next change."""
+    """Years a change acts in: ``period`` of them, cut at the unit's next change.
+
+    For changes up to ``until`` only: callers leave later ones out.
+    """
     return (
         f"explode(sequence(year, least(year + {period - 1}, "
         f"coalesce(next_change - 1, {until}), {until}))) as year"
@@ -172,16 +175,23 @@ def stock_difference(surveys: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def conversion_biomass(state: DataFrame, units: DataFrame, factor: DataFrame) -> DataFrame:
-    """Ledger rows: biomass after minus before, in the year of a change of class."""
-    df = _before_and_after(unit_changes(state, units), factor, ["biomass"])
-    return _entries(df, "conversion", [_part("AGB", "(biomass_to - biomass_from) * area")])
+    """Ledger rows: biomass after minus before, above and below ground, in the year of a change."""
+    df = _before_and_after(unit_changes(state, units), factor, ["biomass", "root_ratio"])
+    below = "(biomass_to * root_ratio_to - biomass_from * root_ratio_from) * area"
+    return _entries(
+        df, "conversion", [_part("AGB", "(biomass_to - biomass_from) * area"), _part("BGB", below)]
+    )
 
 
 def dom_conversion(
     state: DataFrame, units: DataFrame, factor: DataFrame, period: int, until: int
 ) -> DataFrame:
-    """Ledger rows: dead wood and litter moving to the new class's level over ``period`` years."""
-    df = _before_and_after(unit_changes(state, units), factor, ["dead_wood", "litter"])
+    """Ledger rows: dead wood and litter moving to the new class's level over ``period`` years.
+
+    Nothing is booked after ``until``; changes later than that are left out.
+    """
+    known = unit_changes(state, units).filter(F.col("year") <= until)
+    df = _before_and_after(known, factor, ["dead_wood", "litter"])
     df = df.selectExpr(
         "unit_id",
         f"(dead_wood_to - dead_wood_from) * area / {period}D as dw",
@@ -197,8 +207,12 @@ SOIL = ["soc_ref", "soc_land_use", "soc_management", "soc_input"]
 def soil_mineral(
     state: DataFrame, units: DataFrame, factor: DataFrame, until: int, period: int = 20
 ) -> DataFrame:
-    """Ledger rows: mineral soil moving to the new class's level over ``period`` years."""
-    df = _before_and_after(unit_changes(state, units), factor, SOIL)
+    """Ledger rows: mineral soil moving to the new class's level over ``period`` years.
+
+    Nothing is booked after ``until``; changes later than that are left out.
+    """
+    known = unit_changes(state, units).filter(F.col("year") <= until)
+    df = _before_and_after(known, factor, SOIL)
     now, before = (" * ".join(f"{p}_{side}" for p in SOIL) for side in ("to", "from"))
     df = df.selectExpr(
         "unit_id", f"({now} - {before}) * area / {period}D as soc", _legacy_years(period, until)
@@ -238,32 +252,77 @@ def soil_n2o_direct(
     return _entries(df, "nitrogen", [_part("SOC", gas, "N2O")], "t gas")
 
 
+# Share of a year's inflow that still stands at that year's end.
+_STANDING = "(case when product_decay = 0 then 1D else (1 - exp(-product_decay)) / product_decay end)"
+
+
 def hwp_pool(harvest: DataFrame, until: int, by: str = "country_id") -> DataFrame:
-    """Carbon in wood products per ``by`` and year, and its yearly change.
+    """Carbon in wood products per ``by`` and year up to ``until``, and its yearly change.
 
-    ``harvest`` is ``harvest_carbon``. Inflows are summed per year, then each
-    inflow year is listed under the years it still stands in.
+    ``harvest`` is ``harvest_carbon``; harvests after ``until`` are left out.
+    Inflows are summed per year, then each inflow year is listed under the years
+    it still stands in. Without decay an inflow stands for ever.
     """
     k = "product_decay"
-    left = f"cast(inflow as double) * exp(-{k} * (year - from_year)) * (1 - exp(-{k})) / {k}"
+    left = f"cast(inflow as double) * exp(-{k} * (year - from_year)) * {_STANDING}"
     window = Window.partitionBy(by).orderBy("year")
     return (
-        harvest.selectExpr(by, "year", k, f"{amount_sql('carbon * product_share')} as c")
+        harvest.filter(F.col("year") <= until)
+        .selectExpr(by, "year", k, f"{amount_sql('carbon * product_share')} as c")
         .groupBy(by, "year", k)
         .agg(F.sum("c").alias("inflow"))
-        .selectExpr(
-            by,
-            "year as from_year",
-            "inflow",
-            k,
-            f"explode(sequence(year, greatest(year, {until}))) as year",
-        )
+        .selectExpr(by, "year as from_year", "inflow", k, f"explode(sequence(year, {until})) as year")
         .groupBy(by, "year")
         .agg(F.expr(f"sum({amount_sql(left)}) as stock"))
         .withColumn("change", F.col("stock") - F.coalesce(F.lag("stock").over(window), F.lit(0)))
     )
 
 
+def harvest_gains(harvest: DataFrame) -> DataFrame:
+    """Ledger rows: what a harvest moves on, to dead wood (debris) and to products.
+
+    The other side of ``harvest_loss``; what neither gains is emitted at once.
+    """
+    return _entries(
+        harvest,
+        "harvest",
+        [_part("DW", "carbon * debris_share"), _part("HWP", "carbon * product_share")],
+    )
+
+
+def product_decay(harvest: DataFrame, until: int) -> DataFrame:
+    """Ledger rows: carbon that leaves the products, by unit; the losses of ``hwp_pool``."""
+    k = "product_decay"
+    age = "(year - from_year)"
+    lost = (
+        f"case when {age} = 0 then 1 - {_STANDING} "
+        f"else {_STANDING} * (exp(-{k} * ({age} - 1)) - exp(-{k} * {age})) end"
+    )
+    df = harvest.filter(F.col("year") <= until).selectExpr(
+        "unit_id", "carbon * product_share as inflow", k, "year as from_year", f"explode(sequence(year, {until})) as year"
+    )
+    return _sum_entries(_entries(df, "decay", [_part("HWP", f"-(inflow * ({lost}))")]))
+
+
+def harvest_stocks(harvest: DataFrame, until: int) -> DataFrame:
+    """Stocks of harvested carbon per unit and year up to ``until``: debris in DW, products in HWP."""
+    age = "(year - from_year)"
+    debris = amount_sql(f"carbon * debris_share * exp(-({age} + 1) / debris_years)")
+    products = amount_sql(f"carbon * product_share * exp(-product_decay * {age}) * {_STANDING}")
+    return (
+        harvest.filter(F.col("year") <= until)
+        .selectExpr("*", "year as from_year")
+        .withColumn("year", F.expr(f"explode(sequence(from_year, {until}))"))
+        .selectExpr(
+            "unit_id",
+            "year",
+            f"inline(array(struct('DW' as pool, {debris} as stock), struct('HWP' as pool, {products} as stock)))",
+        )
+        .groupBy("unit_id", "year", "pool")
+        .agg(F.sum("stock").cast(MONEY).alias("stock"))
+    )
+
+
 def rewetting_ch4(state: DataFrame, units: DataFrame, factor: DataFrame) -> DataFrame:
     """Ledger rows: methane of organic soil that was dry before and is wetland now."""
     rewetted = (
@@ -279,13 +338,17 @@ def rewetting_ch4(state: DataFrame, units: DataFrame, factor: DataFrame) -> Data
 
 
 def delayed_decay(harvest: DataFrame, until: int) -> DataFrame:
-    """Ledger rows: harvest debris lost over the years after the event."""
-    df = harvest.selectExpr(
+    """Ledger rows: harvest debris lost over the years after the event.
+
+    Nothing is booked after ``until``; harvests later than that are left out.
+    ``harvest_gains`` books the debris that comes in.
+    """
+    df = harvest.filter(F.col("year") <= until).selectExpr(
         "unit_id",
         "carbon * debris_share as debris",
         "debris_years",
         "year as from_year",
-        f"explode(sequence(year, greatest(year, {until}))) as year",
+        f"explode(sequence(year, {until})) as year",
     )
     share = (
         "(exp(-(year - from_year) / debris_years) - exp(-(year - from_year + 1) / debris_years))"
@@ -322,14 +385,30 @@ def ledger(*parts: DataFrame) -> DataFrame:
 
 
 def co2e(entries: DataFrame, gwp: DataFrame, gwp_set: str) -> DataFrame:
-    """Add ``co2e`` in tonnes, emissions positive, by one set of warming potentials."""
-    chosen = gwp.filter(F.col("gwp_set") == gwp_set).select("gas", F.col("value").alias("_gwp"))
+    """Add ``co2e`` in tonnes, emissions positive, by one set of warming potentials.
+
+    A gas that the set lacks stops the job.
+    """
+    return entries.join(_potentials(gwp, gwp_set), "gas", "left").withColumn("co2e", amount(-_tonnes_co2e())).drop("_gwp")
+
+
+def in_co2e(entries: DataFrame, gwp: DataFrame, gwp_set: str) -> DataFrame:
+    """The ledger with every amount in tonnes of CO2-equivalent, gains still positive.
+
+    Reports add amounts of one unit only; this brings all gases to one.
+    """
+    joined = entries.join(_potentials(gwp, gwp_set), "gas", "left").withColumn("amount", amount(_tonnes_co2e()))
+    return joined.withColumn("unit", F.lit("t CO2e")).select(entries.columns)
+
+
+def _potentials(gwp: DataFrame, gwp_set: str) -> DataFrame:
+    return gwp.filter(F.col("gwp_set") == gwp_set).select("gas", F.col("value").alias("_gwp"))
+
+
+def _tonnes_co2e() -> Column:
     tonnes = F.col("amount").cast("double") * F.when(F.col("gas") == "CO2", F.lit(CO2_PER_C)).otherwise(1.0)
-    return (
-        entries.join(chosen, "gas", "left")
-        .withColumn("co2e", amount(-(tonnes * F.col("_gwp"))))
-        .drop("_gwp")
-    )
+    unknown = F.raise_error(F.concat(F.lit("no warming potential for "), F.coalesce("gas", F.lit("null")))).cast("double")
+    return tonnes * F.when(F.col("_gwp").isNotNull(), F.col("_gwp")).otherwise(unknown)
 
 
 def gross_and_net(entries: DataFrame, by: list[str]) -> DataFrame:

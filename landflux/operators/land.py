@@ -25,14 +25,9 @@ def dominant_land_use(obs: DataFrame, classes: list[str] = LAND_USES) -> DataFra
     outside ``classes`` stops the job: reject such rows first.
     """
     names = sorted(classes)
-    listed = ", ".join(f"'{c}'" for c in names)
-    known = (
-        f"case when land_use in ({listed}) then land_use "
-        "else raise_error(concat('unknown land use: ', coalesce(land_use, 'null'))) end as land_use"
-    )
     areas = (
         obs.selectExpr(
-            "unit_id", "year(obs_date) as year", known, f"{fixed_sql('area_ha')} as area"
+            "unit_id", "year(obs_date) as year", _known(names), f"{fixed_sql('area_ha')} as area"
         )
         .groupBy("unit_id", "year")
         .agg(*_class_sums(names))
@@ -41,6 +36,15 @@ def dominant_land_use(obs: DataFrame, classes: list[str] = LAND_USES) -> DataFra
     return areas.selectExpr("unit_id", "year", _largest(names), f"{area} as area_ha")
 
 
+def _known(names: list[str]) -> str:
+    """The class, stopping the job at one that is not listed."""
+    listed = ", ".join(f"'{c}'" for c in names)
+    return (
+        f"case when land_use in ({listed}) then land_use "
+        "else raise_error(concat('unknown land use: ', coalesce(land_use, 'null'))) end as land_use"
+    )
+
+
 def _class_sums(names: list[str]) -> list[Column]:
     return [F.expr(f"sum(area) filter (where land_use = '{c}') as _{c}") for c in names]
 
@@ -164,13 +168,13 @@ def return_transitions(state: DataFrame, within: int) -> DataFrame:
 
 
 def _provider_classes(obs: DataFrame) -> DataFrame:
-    """The one class each provider names for a unit-year."""
+    """The one class each provider names for a unit-year; an unknown class stops the job."""
     areas = (
         obs.selectExpr(
             "unit_id",
             "provider_id",
             "year(obs_date) as year",
-            "land_use",
+            _known(LAND_USES),
             f"{fixed_sql('area_ha')} as area",
         )
         .groupBy("unit_id", "provider_id", "year")

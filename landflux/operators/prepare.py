@@ -57,7 +57,8 @@ def densify_years(
     """One row per key and year from ``y0`` to ``y1``, the last known value carried on.
 
     Every observed row covers the years up to the next one, so it is stretched
-    over them; the first also covers the years before it, with a null value.
+    over them; the first also covers the years before it, with a null value. A
+    row with a null value is no observation. A key without any value gives no row.
     One shuffle by key, no join, and at most one input row per key and year.
     """
     window = Window.partitionBy(key).orderBy("year")
@@ -65,6 +66,7 @@ def densify_years(
     high = F.least(F.coalesce(F.col("_next") - 1, F.lit(y1)), F.lit(y1))
     return (
         df.select(key, "year", value)
+        .filter(F.col(value).isNotNull())
         .withColumn("_prev", F.lag("year").over(window))
         .withColumn("_next", F.lead("year").over(window))
         .withColumn("_low", low)
@@ -112,6 +114,8 @@ def grid_aggregate(df: DataFrame, degrees: float, value: str) -> DataFrame:
 def zones_of_points(points: DataFrame, boxes: DataFrame, cell: float = 10.0) -> DataFrame:
     """Which boxes hold each point; west and south edges belong to a box.
 
+    A box whose west edge lies east of its east edge goes over the date line.
+
     Boxes are listed under every grid cell they touch and points under the one
     they lie in, so the join is on equal cells and the exact test comes after.
     """
@@ -121,6 +125,12 @@ def zones_of_points(points: DataFrame, boxes: DataFrame, cell: float = 10.0) ->
             F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell))
         )
 
+    over = F.col("lon0") > F.col("lon1")
+    west, east = F.struct("lon0", F.lit(180.0).alias("lon1")), F.struct(F.lit(-180.0).alias("lon0"), "lon1")
+    parts = F.when(over, F.array(west, east)).otherwise(F.array(F.struct("lon0", "lon1")))
+    boxes = boxes.select("*", F.explode(parts).alias("_part")).withColumns(
+        {"lon0": F.col("_part.lon0"), "lon1": F.col("_part.lon1")}
+    )
     listed = boxes.withColumn("_cx", cells("lon0", "lon1")).withColumn("_cy", cells("lat0", "lat1"))
     placed = points.withColumn("_cx", F.floor(F.col("lon") / cell)).withColumn(
         "_cy", F.floor(F.col("lat") / cell)
@@ -132,5 +142,3 @@ def zones_of_points(points: DataFrame, boxes: DataFrame, cell: float = 10.0) ->
         & (F.col("lat") < F.col("lat1"))
     )
     return placed.join(listed, ["_cx", "_cy"]).filter(inside).select(*points.columns, "box_id")
-
-

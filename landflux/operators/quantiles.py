@@ -59,7 +59,12 @@ def exact_quantiles(
             # joined on the prefix too, so that a large group is spread by it
             level = level.withColumn("_prefix", F.expr(f"shiftright(_p, {BITS})"))
             upto = f"_base + sum(_n) over (partition by {keys}, rank order by _p)"
-            joined = current.join(level, [*by, "_prefix"]).drop("_prefix")
+            # null-safe, as a group may have a null key
+            other = level.withColumnsRenamed({c: f"_l_{c}" for c in [*by, "_prefix"]})
+            match = F.lit(True)
+            for c in [*by, "_prefix"]:
+                match &= F.col(c).eqNullSafe(F.col(f"_l_{c}"))
+            joined = current.join(other, match).drop("_prefix", *[f"_l_{c}" for c in [*by, "_prefix"]])
             joined = joined.withColumn("_upto", F.expr(upto))
         current = joined.filter("_upto > rank and _upto - _n <= rank").selectExpr(
             *by, "n", "rank", "_upto - _n as _base", "_p as _prefix"

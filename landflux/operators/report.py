@@ -3,6 +3,9 @@
 Each report first sums the ledger to the report's own keys, so windows run over
 regions, countries, categories and years. Where a window spans all keys, the
 keys must come from ``REPORT_COLUMNS``, whose values are few whatever the data.
+
+Amounts are added within one unit only: a sum over two units stops the job.
+Bring a ledger of several gases to one by ``fluxes.in_co2e``, or filter one gas.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 
 from landflux.operators.quantiles import exact_quantiles
 from landflux.session import keep
+from landflux.sources.schemas import MONEY
 
 REPORT_COLUMNS = {
     "region_id",
@@ -41,24 +45,42 @@ def with_region(entries: DataFrame, units: DataFrame, country: DataFrame) -> Dat
     return entries.join(place, "unit_id", "left")
 
 
+def _one_unit(value: Column, low: Column, high: Column) -> Column:
+    mixed = F.raise_error(F.concat(F.lit("amounts in "), low, F.lit(" and "), high, F.lit(" are not added")))
+    return F.when(low.eqNullSafe(high), value).otherwise(mixed.cast(MONEY))
+
+
+def _sum() -> Column:
+    """The sum of the amounts, if all have one unit."""
+    return _one_unit(F.sum("amount"), F.min("unit"), F.max("unit")).alias("amount")
+
+
 def totals(entries: DataFrame, by: list[str]) -> DataFrame:
-    return entries.groupBy(*by).agg(F.sum("amount").alias("amount"))
+    return entries.groupBy(*by).agg(_sum())
+
+
+def _all_totals(entries: DataFrame, by: list[str]) -> DataFrame:
+    """Totals that are compared with each other, so that all groups must have one unit."""
+    sums = entries.groupBy(*by).agg(F.sum("amount").alias("amount"), F.min("unit").alias("_l"), F.max("unit").alias("_h"))
+    everything = Window.partitionBy()
+    low, high = F.min("_l").over(everything), F.max("_h").over(everything)
+    return sums.withColumn("_low", low).withColumn("_high", high).select(
+        *by, _one_unit(F.col("amount"), F.col("_low"), F.col("_high")).alias("amount")
+    )
 
 
 def report_rollup(entries: DataFrame, dims: list[str]) -> DataFrame:
-    return entries.rollup(*dims).agg(F.grouping_id().alias("level"), F.sum("amount").alias("amount"))
+    return entries.rollup(*dims).agg(F.grouping_id().alias("level"), _sum())
 
 
 def report_cube(entries: DataFrame, dims: list[str]) -> DataFrame:
-    return entries.cube(*dims).agg(F.grouping_id().alias("level"), F.sum("amount").alias("amount"))
+    return entries.cube(*dims).agg(F.grouping_id().alias("level"), _sum())
 
 
 def report_sets(entries: DataFrame, sets: list[list[str]], dims: list[str]) -> DataFrame:
     """Subtotals for the named sets of ``dims`` only."""
     columns = [[F.col(c) for c in s] for s in sets]
-    return entries.groupingSets(columns, *dims).agg(
-        F.grouping_id().alias("level"), F.sum("amount").alias("amount")
-    )
+    return entries.groupingSets(columns, *dims).agg(F.grouping_id().alias("level"), _sum())
 
 
 def cumulative_flux(entries: DataFrame, by: list[str], first_year: int) -> DataFrame:
@@ -131,7 +153,7 @@ def key_categories(entries: DataFrame, by: list[str], share: float = 0.95) -> Da
     total = F.sum("size").over(everything).cast("double")
     upto = F.sum("size").over(order).cast("double")
     return (
-        totals(entries, by)
+        _all_totals(entries, by)
         .withColumn("size", F.abs("amount"))
         .withColumn("cumulative_share", F.try_divide(upto, total))
         .withColumn("own_share", F.try_divide(F.col("size").cast("double"), total))
@@ -155,6 +177,7 @@ def trend(entries: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+APPROX_ERROR = 0.02  # relative standard error of approximate counts
 QUARTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75}
 
 
@@ -170,7 +193,7 @@ def distribution(
 def unit_quartiles(entries: DataFrame, by: list[str]) -> DataFrame:
     """The quarter of its group each unit's total falls in; equal totals share one."""
     unit_totals = keep(totals(entries, [*by, "unit_id"]), "unit-totals")
-    cuts = exact_quantiles(unit_totals, by, "amount", QUARTILES)
+    cuts = exact_quantiles(unit_totals, by, "amount", QUARTILES).withColumnsRenamed({c: f"_c_{c}" for c in by})
     value = F.col("amount").cast("double")
     quartile = (
         F.when(value <= F.col("p25"), 1)
@@ -178,15 +201,22 @@ def unit_quartiles(entries: DataFrame, by: list[str]) -> DataFrame:
         .when(value <= F.col("p75"), 3)
         .otherwise(4)
     )
-    return unit_totals.join(cuts, by).select(*by, "unit_id", "amount", quartile.alias("quartile"))
+    match = F.lit(True)
+    for c in by:
+        match &= F.col(c).eqNullSafe(F.col(f"_c_{c}"))
+    return unit_totals.join(cuts, match).select(*by, "unit_id", "amount", quartile.alias("quartile"))
 
 
 def coverage(obs: DataFrame) -> DataFrame:
-    """Units and providers seen in each year, exactly and approximately."""
-    return obs.groupBy(F.year("obs_date").alias("year")).agg(
+    """Units and providers seen in each year, exactly and approximately.
+
+    Repeats are dropped first, so the three counts expand distinct pairs only.
+    """
+    seen = obs.select(F.year("obs_date").alias("year"), "unit_id", "provider_id").distinct()
+    return seen.groupBy("year").agg(
         F.countDistinct("unit_id").alias("n_units"),
         F.countDistinct("provider_id").alias("n_providers"),
-        F.approx_count_distinct("unit_id").alias("approx_units"),
+        F.approx_count_distinct("unit_id", APPROX_ERROR).alias("approx_units"),
     )
 
 
@@ -198,7 +228,7 @@ def share_of_total(entries: DataFrame, by: str, within: str) -> DataFrame:
         return F.try_divide(F.col("amount").cast("double"), F.sum("amount").over(window).cast("double"))
 
     return (
-        totals(entries, [within, by])
+        _all_totals(entries, [within, by])
         .withColumn("share_within", share(Window.partitionBy(within)))
         .withColumn("share_world", share(Window.partitionBy()))
     )

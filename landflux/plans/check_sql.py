@@ -28,8 +28,9 @@ def values(rows: list[tuple], columns: str) -> str:
 def fx(param: str, use: str = "b.land_use", take: str = "value", row: str = "b") -> str:
     """The factor in force for one row: lowest tier, then latest start."""
     return (
-        f"(SELECT arg_min(f.{take}, f.tier * 100000 - f.valid_from) FROM factor f "
-        f"WHERE f.param = '{param}' AND {row}.year BETWEEN f.valid_from AND f.valid_to "
+        f"(SELECT arg_min(f.{take}, f.tier * 100000 - coalesce(f.valid_from, -9999)) FROM factor f "
+        f"WHERE f.param = '{param}' AND {row}.year >= coalesce(f.valid_from, -9999) "
+        f"AND {row}.year <= coalesce(f.valid_to, 99999) "
         f"AND (f.country_id IS NULL OR f.country_id = {row}.country_id) "
         f"AND (f.zone IS NULL OR f.zone = {row}.zone) "
         f"AND (f.land_use IS NULL OR f.land_use = {use}))"
@@ -52,8 +53,10 @@ _USE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TYPE_TO_USE.items())
 SHARED: dict[str, str] = {}
 
 SHARED["factor"] = (
-    "SELECT *, CASE WHEN country_id IS NOT NULL THEN 1 WHEN zone IS NOT NULL THEN 2 "
-    "WHEN land_use IS NOT NULL THEN 3 ELSE 4 END AS tier FROM ("
+    "SELECT *, CASE WHEN country_id IS NOT NULL THEN CASE WHEN zone IS NOT NULL THEN "
+    "CASE WHEN land_use IS NOT NULL THEN 1 ELSE 2 END WHEN land_use IS NOT NULL THEN 3 ELSE 5 END "
+    "WHEN zone IS NOT NULL THEN CASE WHEN land_use IS NOT NULL THEN 4 ELSE 6 END "
+    "WHEN land_use IS NOT NULL THEN 7 ELSE 8 END AS tier FROM ("
     + values(
         literals.FACTOR_ROWS,
         "param, country_id, zone, land_use, valid_from, valid_to, value, unit, rel_unc",
@@ -171,11 +174,24 @@ SHARED["fire_gas"] = both(
     entry("AGB", "fire", "N2O", "-(area * severity * fuel * combustion * n2o * 0.001e0)", "burn_f", "t gas"),
 )
 SHARED["conv_f"] = (
-    f"SELECT b.*, {fx('biomass', 'b.use_to')} AS b_to, {fx('biomass', 'b.use_from')} AS b_from FROM chg b"
+    f"SELECT b.*, {fx('biomass', 'b.use_to')} AS b_to, {fx('biomass', 'b.use_from')} AS b_from, "
+    f"{fx('root_ratio', 'b.use_to')} AS r_to, {fx('root_ratio', 'b.use_from')} AS r_from FROM chg b"
+)
+SHARED["conv"] = both(
+    entry("AGB", "conversion", "CO2", "(b_to - b_from) * area", "conv_f"),
+    entry("BGB", "conversion", "CO2", "(b_to * r_to - b_from * r_from) * area", "conv_f"),
 )
-SHARED["conv"] = entry("AGB", "conversion", "CO2", "(b_to - b_from) * area", "conv_f")
 SHARED["core"] = "SELECT * FROM gain UNION ALL SELECT * FROM harvest UNION ALL SELECT * FROM conv"
-SHARED["fl"] = "SELECT core.*, zone, country_id, country, region_id, region FROM core JOIN place USING (unit_id)"
+SHARED["core_placed"] = (
+    "SELECT core.*, zone, country_id, country, region_id, region FROM core JOIN place USING (unit_id)"
+)
+# reports: carbon and gases of one ledger in tonnes of CO2-equivalent, gains positive
+SHARED["fl"] = f"""
+    SELECT unit_id, year, pool, process, gas,
+           {amt("CAST(amount AS DOUBLE) * CASE WHEN gas = 'CO2' THEN 44e0 / 12e0 ELSE 1e0 END * value")} AS amount,
+           zone, country_id, country, region_id, region
+    FROM (SELECT * FROM core UNION ALL SELECT * FROM fire UNION ALL SELECT * FROM fire_gas)
+    JOIN (SELECT * FROM gwp WHERE gwp_set = 'AR6') USING (gas) JOIN place USING (unit_id)"""
 SHARED["readings"] = """
     SELECT event_id AS reading_id, user_id AS tower_id, ts, event_type AS kind,
            CASE WHEN event_type IN ('view', 'click') THEN -value ELSE value END AS flux,

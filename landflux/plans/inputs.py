@@ -33,10 +33,45 @@ def core_ledger(t: LandTables) -> DataFrame:
     )
 
 
-def placed_ledger(t: LandTables) -> DataFrame:
+def placed_core(t: LandTables) -> DataFrame:
     return report.with_region(core_ledger(t), t.land_unit, t.country)
 
 
+def placed_ledger(t: LandTables) -> DataFrame:
+    """The core ledger and all gases of fires, in CO2-equivalent, with places: what reports run on."""
+    st = state(t)
+    parts = fluxes.ledger(
+        core_ledger(t),
+        fluxes.disturbance_loss(t.disturbance, st, t.land_unit, t.factor),
+        fluxes.fire_non_co2(t.disturbance, st, t.land_unit, t.factor),
+    )
+    return report.with_region(fluxes.in_co2e(parts, t.gwp, "AR6"), t.land_unit, t.country)
+
+
+def full_ledger(t: LandTables) -> DataFrame:
+    """Every pool and gas, with both sides of each transfer.
+
+    Conversions move biomass at once (``conversion_biomass``); response curves
+    (``bookkeeping``) say the same another way and are never added to it.
+    """
+    st, cut = state(t), harvest(t)
+    return fluxes.ledger(
+        fluxes.biomass_gain(st, t.land_unit, t.factor),
+        fluxes.harvest_loss(t.disturbance, t.land_unit, t.factor),
+        fluxes.harvest_gains(cut),
+        fluxes.product_decay(cut, until=Y1),
+        fluxes.delayed_decay(cut, until=Y1),
+        fluxes.disturbance_loss(t.disturbance, st, t.land_unit, t.factor),
+        fluxes.fire_non_co2(t.disturbance, st, t.land_unit, t.factor),
+        fluxes.conversion_biomass(st, t.land_unit, t.factor),
+        fluxes.dom_conversion(st, t.land_unit, t.factor, period=4, until=Y1),
+        fluxes.soil_mineral(st, t.land_unit, t.factor, until=Y1),
+        fluxes.soil_organic(st, t.land_unit, t.factor),
+        fluxes.soil_n2o_direct(t.n_input, st, t.land_unit, t.factor),
+        fluxes.rewetting_ch4(st, t.land_unit, t.factor),
+    )
+
+
 def event_rules() -> dict[str, Column]:
     return {
         "severity below one": F.col("severity") < 0.95,

@@ -150,11 +150,29 @@ def resolved_factor(t):
     return factors.resolve_factor(df, t.factor, "growth")
 
 
+# unit-years far from the observed ones
+_FAR = "SELECT * REPLACE (year + shift AS year) FROM uy, (SELECT unnest([-160, 0, 90]) AS shift)"
+
+
+@query(
+    "unit_id:i year:i land_use:s growth:r6 growth_tier:i growth_unc:r6 root_ratio:r6",
+    f"""SELECT unit_id, year, land_use, {fx('growth')} AS growth, {fx('growth', take='tier')} AS growth_tier,
+               {fx('growth', take='rel_unc')} AS growth_unc, {fx('root_ratio')} AS root_ratio FROM ({_FAR}) b""",
+)
+def factor_scopes(t):
+    """Factors of every scope, in years long before and after the land was observed."""
+    df = fluxes.unit_years(inputs.state(t), t.land_unit)
+    far = df.withColumn("year", F.explode(F.array(*[F.col("year") + shift for shift in (-160, 0, 90)])))
+    found = factors.resolve_factor(far, t.factor, "growth")
+    return factors.resolve_factors(found, t.factor, ["root_ratio"])
+
+
 @query(
     "unit_id:i year:i land_use:s n2o_direct:r6",
     """SELECT unit_id, year, land_use, (SELECT arg_max(f.value, f.valid_from) FROM factor f
               WHERE f.param = 'n2o_direct' AND f.country_id IS NULL AND f.zone IS NULL
-              AND f.land_use = b.land_use AND b.year BETWEEN valid_from AND valid_to) AS n2o_direct
+              AND f.land_use = b.land_use AND b.year >= coalesce(valid_from, -9999)
+              AND b.year <= coalesce(valid_to, 99999)) AS n2o_direct
        FROM state b""",
 )
 def factor_in_force(t):
@@ -190,10 +208,10 @@ def missing_factors(t):
 
 
 @query(
-    "year:i classified_ha:d unobserved_ha:d n_doubled:i n_unobserved:i missing_ha:d balanced:b",
+    "year:i classified_ha:d unobserved_ha:d n_doubled:i n_unobserved:i n_foreign:i missing_ha:d balanced:b",
     """SELECT year, coalesce(sum(area_ha) FILTER (WHERE land_use IS NOT NULL), 0) AS classified_ha,
               coalesce(sum(area_ha) FILTER (WHERE land_use IS NULL), 0) AS unobserved_ha,
-              0 AS n_doubled, count(*) FILTER (WHERE land_use IS NULL) AS n_unobserved,
+              0 AS n_doubled, count(*) FILTER (WHERE land_use IS NULL) AS n_unobserved, 0 AS n_foreign,
               (SELECT sum(area_ha) FROM land_unit) - sum(area_ha) AS missing_ha,
               (SELECT sum(area_ha) FROM land_unit) = sum(area_ha) AS balanced
        FROM state JOIN land_unit USING (unit_id) GROUP BY year""",

@@ -134,7 +134,7 @@ def distribution(t):
                WHEN CAST(amount AS DOUBLE) <= median THEN 2 WHEN CAST(amount AS DOUBLE) <= p75 THEN 3
                ELSE 4 END AS quartile
         FROM {_UNIT} u JOIN (SELECT region_id, {_CUTS} FROM {_UNIT} GROUP BY region_id) c
-             ON u.region_id = c.region_id""",
+             ON u.region_id IS NOT DISTINCT FROM c.region_id""",
 )
 def unit_quartiles(t):
     return report.unit_quartiles(inputs.placed_ledger(t), ["region_id"])
@@ -149,9 +149,15 @@ def coverage(t):
     return report.coverage(t.land_obs)
 
 
-@query("year:i approx_units:i")
+@query(
+    "year:i n_units:i within_bounds:b",
+    "SELECT year, count(DISTINCT unit_id) AS n_units, true AS within_bounds FROM land_obs GROUP BY year",
+)
 def approximate_coverage(t):
-    return report.coverage(t.land_obs)
+    """Whether the approximate count lies within three standard errors of the exact one."""
+    seen = report.coverage(t.land_obs)
+    off = F.abs(F.col("approx_units") - F.col("n_units"))
+    return seen.withColumn("within_bounds", off <= 3 * report.APPROX_ERROR * F.col("n_units"))
 
 
 @query(
@@ -179,8 +185,9 @@ def propagate_product(t):
 
 
 _PARTS = f"""SELECT region_id, {amt('area * growth * cf')} AS amount, rel_unc,
-    concat_ws('|', tier, CASE WHEN tier = 1 THEN country_id END,
-              CASE WHEN tier <= 2 THEN zone END, CASE WHEN tier <= 3 THEN land_use END) AS factor_key
+    concat_ws('|', tier, CASE WHEN tier IN (1, 2, 3, 5) THEN country_id END,
+              CASE WHEN tier IN (1, 2, 4, 6) THEN zone END,
+              CASE WHEN tier IN (1, 3, 4, 7) THEN land_use END) AS factor_key
   FROM (SELECT b.*, {fx('growth', take='rel_unc')} AS rel_unc, {fx('growth', take='tier')} AS tier
         FROM (SELECT gain_f.*, region_id FROM gain_f JOIN country_dim USING (country_id)) b)"""
 
@@ -196,9 +203,7 @@ def growth_parts(t):
     key = F.concat_ws(
         "|",
         tier.cast("string"),
-        F.when(tier == 1, F.col("country_id").cast("string")),
-        F.when(tier <= 2, F.col("zone")),
-        F.when(tier <= 3, F.col("land_use")),
+        *[F.when(tier.isin(factors.tiers_with(k)), F.col(k).cast("string")) for k in factors.SCOPE],
     )
     grown = F.col("area") * F.col("growth") * F.col("carbon_fraction")
     return df.select(
@@ -244,9 +249,11 @@ def monte_carlo(t):
     return uncertainty.monte_carlo(growth_parts(t), ["region_id"], draws=2000, seed=42)
 
 
-_MOVED = f"""SELECT unit_id, year, 'AGB' AS pool, stock - lag(stock) OVER (
-    PARTITION BY unit_id ORDER BY year) AS stock_change
-  FROM (SELECT unit_id, year, {amt("area * " + fx('biomass'))} AS stock FROM uy b)"""
+_MOVED = f"""SELECT unit_id, year, pool, stock - lag(stock) OVER (
+    PARTITION BY unit_id, pool ORDER BY year) AS stock_change
+  FROM (SELECT unit_id, year, 'AGB' AS pool, {amt("area * " + fx('biomass'))} AS stock FROM uy b
+        UNION ALL SELECT unit_id, year, 'BGB' AS pool,
+               {amt("area * (" + fx('biomass') + " * " + fx('root_ratio') + ")")} AS stock FROM uy b)"""
 
 
 @query(
@@ -257,21 +264,21 @@ _MOVED = f"""SELECT unit_id, year, 'AGB' AS pool, stock - lag(stock) OVER (
         gaps AS (SELECT year, pool, stock_change, flux,
                         coalesce(stock_change, 0) - coalesce(flux, 0) AS difference
                  FROM moved FULL JOIN flows USING (unit_id, year, pool))
-        SELECT year, pool, CASE WHEN abs(difference) <= 0.001 THEN 'balanced' WHEN flux IS NULL THEN 'no flux'
-               WHEN stock_change IS NULL THEN 'no stock' ELSE 'off' END AS status,
+        SELECT year, pool, CASE WHEN stock_change IS NULL THEN 'no stock' WHEN abs(difference) <= 0.001
+               THEN 'balanced' WHEN flux IS NULL THEN 'no flux' ELSE 'off' END AS status,
                count(*) AS n_rows, sum(difference) AS difference
         FROM gaps GROUP BY ALL""",
 )
 def all_carbon_check(t):
     """Stocks follow conversions; the fires the stocks leave out show up as gaps."""
     st = inputs.state(t)
-    held = factors.resolve_factors(fluxes.unit_years(st, t.land_unit), t.factor, ["biomass"])
-    stocks = held.select(
-        "unit_id",
-        "year",
-        F.lit("AGB").alias("pool"),
-        amount(F.col("area") * F.col("biomass")).alias("stock"),
+    held = factors.resolve_factors(fluxes.unit_years(st, t.land_unit), t.factor, ["biomass", "root_ratio"])
+    above, below = F.col("area") * F.col("biomass"), F.col("area") * (F.col("biomass") * F.col("root_ratio"))
+    both_pools = F.array(
+        F.struct(F.lit("AGB").alias("pool"), amount(above).alias("stock")),
+        F.struct(F.lit("BGB").alias("pool"), amount(below).alias("stock")),
     )
+    stocks = held.select("unit_id", "year", F.inline(both_pools))
     flows = fluxes.ledger(
         fluxes.conversion_biomass(st, t.land_unit, t.factor),
         fluxes.disturbance_loss(t.disturbance, st, t.land_unit, t.factor),
@@ -283,6 +290,21 @@ def all_carbon_check(t):
     )
 
 
+@query(
+    "unit_id:i pool:s",
+    """SELECT u.unit_id, p.pool FROM land_unit u, (SELECT unnest(['AGB', 'BGB', 'DW', 'HWP']) AS pool) p
+       WHERE NOT EXISTS (SELECT 1 FROM (SELECT unit_id, pool FROM core UNION ALL SELECT unit_id, pool FROM fire) e
+                         WHERE e.unit_id = u.unit_id AND e.pool = p.pool)""",
+)
+def missing_pools(t):
+    """What the three-part ledger and fires leave out: no dead wood, no products."""
+    st = inputs.state(t)
+    entries = fluxes.ledger(
+        inputs.core_ledger(t), fluxes.disturbance_loss(t.disturbance, st, t.land_unit, t.factor)
+    )
+    return checks.missing_pools(entries, entries.filter(F.lit(False)), t.land_unit, ["AGB", "BGB", "DW", "HWP"])
+
+
 @query(
     "claim_id:s unit_id:i kind:s start_date:t end_date:t n_overlaps:i",
     """SELECT a.claim_id, a.unit_id, a.kind, a.start_date, a.end_date, count(*) AS n_overlaps
@@ -296,10 +318,12 @@ def double_count(t):
 # the second run lacks the general growth factor and the zone values of BUILDING
 _RUN_B = (
     f"SELECT b.*, growth_b AS growth, {fx('root_ratio')} AS root_ratio, {fx('carbon_fraction')} AS cf FROM "
-    "(SELECT uy.*, (SELECT arg_min(f.value, f.tier * 100000 - f.valid_from) FROM factor f "
-    "WHERE f.param = 'growth' AND uy.year BETWEEN f.valid_from AND f.valid_to AND f.tier < 4 "
+    "(SELECT uy.*, (SELECT arg_min(f.value, f.tier * 100000 - coalesce(f.valid_from, -9999)) FROM factor f "
+    "WHERE f.param = 'growth' AND uy.year >= coalesce(f.valid_from, -9999) "
+    "AND uy.year <= coalesce(f.valid_to, 99999) AND f.tier < 8 "
     "AND coalesce(f.zone, '') <> 'BUILDING' AND (f.country_id IS NULL OR f.country_id = uy.country_id) "
-    "AND (f.zone IS NULL OR f.zone = uy.zone) AND f.land_use = uy.land_use) AS growth_b FROM uy) b"
+    "AND (f.zone IS NULL OR f.zone = uy.zone) "
+    "AND (f.land_use IS NULL OR f.land_use = uy.land_use)) AS growth_b FROM uy) b"
 )
 _GAIN_B = both(
     entry("AGB", "growth", "CO2", "area * growth * cf", f"({_RUN_B})"),
@@ -310,7 +334,7 @@ _KEYS = "unit_id, year, pool, process, gas"
 
 def _two_runs(t):
     st = inputs.state(t)
-    general = F.coalesce("land_use", "zone", F.lit("none")) == "none"
+    general = F.coalesce("land_use", "zone", F.col("country_id").cast("string"), F.lit("none")) == "none"
     dropped = (F.col("param") == "growth") & (general | F.col("zone").eqNullSafe("BUILDING"))
     return (
         fluxes.biomass_gain(st, t.land_unit, t.factor),

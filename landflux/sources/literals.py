@@ -21,6 +21,12 @@ FACTOR_ROWS = [
     ("growth", None, "MACHINERY", "forest", 1998, 2050, 3.625, "t dm/ha/yr", 0.2),
     ("growth", 3, "BUILDING", "forest", 1990, 2050, 6.25, "t dm/ha/yr", 0.1),
     ("growth", 7, "AUTOMOBILE", "wetland", 1996, 1999, 1.25, "t dm/ha/yr", 0.2),
+    ("growth", 4, None, None, None, 1999, 0.9, "t dm/ha/yr", 0.35),
+    ("growth", 4, None, None, 2000, None, 1.1, "t dm/ha/yr", 0.3),
+    ("growth", 9, None, "forest", 1850, 2100, 4.4, "t dm/ha/yr", 0.15),
+    ("growth", 9, "FURNITURE", None, 1900, None, 2.2, "t dm/ha/yr", 0.3),
+    ("growth", None, "FURNITURE", None, 1900, 2150, 0.8, "t dm/ha/yr", 0.45),
+    ("root_ratio", 11, None, None, 1980, None, 0.33, "ratio", 0.2),
     ("root_ratio", None, None, None, 1990, 2050, 0.3, "ratio", 0.3),
     ("root_ratio", None, None, "forest", 1990, 2050, 0.26, "ratio", 0.2),
     ("root_ratio", None, None, "grassland", 1990, 2050, 1.6, "ratio", 0.4),
