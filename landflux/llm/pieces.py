@@ -18,12 +18,14 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-SLICE_BYTES = 4 << 20  # text handled at once in a task
-MOST_WORDS = 400_000  # words remembered in a task
+SLICE_BYTES = 1 << 20  # text handled at once in a task
+SLICE_IDS = 1 << 19  # ids decoded at once
+MOST_WORDS = 200_000  # words remembered in a task
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -212,13 +214,13 @@ class Vocabulary:
         return [data[a:b].removeprefix(b" ") for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
 
 
-def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """A batch in parts of about ``SLICE_BYTES`` of text."""
-    sizes = np.cumsum([len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(column)])
+def _slices(batch: pa.RecordBatch, sizes: pa.Array, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``most`` in the sum of ``sizes``."""
+    sizes = np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False))
     start = 0
     while start < batch.num_rows:
         before = int(sizes[start - 1]) if start else 0
-        stop = max(start + 1, int(np.searchsorted(sizes, before + SLICE_BYTES)))
+        stop = max(start + 1, int(np.searchsorted(sizes, before + most)))
         yield batch.slice(start, stop - start)
         start = stop
 
@@ -249,7 +251,7 @@ class Encoder:
 def _encoded(batches: Iterator[pa.RecordBatch], text: str, ids: str, model) -> Iterator[pa.RecordBatch]:
     encoder = Encoder(Vocabulary(model.value))
     for batch in batches:
-        for part in _slices(batch, text):
+        for part in _slices(batch, pc.binary_length(batch.column(text)), SLICE_BYTES):
             flat, ends = encoder.encode(part.column(text).to_pylist())
             offsets = pa.array(np.concatenate(([0], ends)), pa.int32())
             column = pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))
@@ -259,18 +261,18 @@ def _encoded(batches: Iterator[pa.RecordBatch], text: str, ids: str, model) -> I
 def _decoded(batches: Iterator[pa.RecordBatch], ids: str, text: str, model) -> Iterator[pa.RecordBatch]:
     vocabulary = Vocabulary(model.value)
     for batch in batches:
-        column = batch.column(ids)
-        flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        lengths = np.array([len(v) if v.is_valid else 0 for v in column], np.int64)
-        out = []
-        if len(lengths):
-            ends = np.cumsum(lengths)
-            for row, (end, length) in zip(vocabulary.decode_flat(flat, ends), zip(ends, lengths, strict=True), strict=True):
+        for part in _slices(batch, pc.list_value_length(batch.column(ids)), SLICE_IDS):
+            column = part.column(ids)
+            flat = column.flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            out, start = [], 0
+            for row, end in zip(vocabulary.decode_flat(flat, ends), ends.tolist(), strict=True):
                 try:
                     out.append(row.decode())
                 except UnicodeDecodeError:
-                    out.append(vocabulary.decode(flat[end - length : end]))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, text])
+                    out.append(vocabulary.decode(flat[start:end]))
+                start = end
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], names=[*part.schema.names, text])
 
 
 def _schema(df: DataFrame, without: str, added: str) -> str:
