@@ -5,7 +5,9 @@ from __future__ import annotations
 from landflux.sources import literals
 from landflux.sources.tables import TYPE_TO_USE
 
-Y0, Y1 = 1995, 2001
+# first and last year of the observations
+Y0, Y1 = "(SELECT y0 FROM span)", "(SELECT y1 FROM span)"
+YEARS = "(SELECT unnest(range(y0, y1 + 1)) AS year FROM span)"
 
 
 def amt(expr: str) -> str:
@@ -84,6 +86,7 @@ SHARED["land_obs"] = f"""
            CASE p_type {_USE} END AS land_use, CAST(l_quantity AS DECIMAL(18,4)) AS area_ha,
            l_suppkey AS provider_id
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey"""
+SHARED["span"] = "SELECT min(year) AS y0, max(year) AS y1 FROM land_obs"
 SHARED["stock_obs"] = """
     SELECT o_orderkey AS plot_obs_id, o_custkey AS unit_id, CAST(o_orderdate AS DATE) AS survey_date,
            o_totalprice / 1000 AS c_density, o_orderstatus AS status FROM orders"""
@@ -111,7 +114,7 @@ SHARED["state"] = f"""
     SELECT g.unit_id, g.year, d.land_use IS NOT NULL AS observed,
            last_value(d.land_use IGNORE NULLS) OVER (PARTITION BY g.unit_id ORDER BY g.year) AS land_use
     FROM (SELECT unit_id, year FROM (SELECT DISTINCT unit_id FROM dominant),
-          (SELECT unnest(range({Y0}, {Y1 + 1})) AS year)) g
+          {YEARS}) g
     LEFT JOIN dominant d ON g.unit_id = d.unit_id AND g.year = d.year"""
 SHARED["trans"] = """
     SELECT * FROM (

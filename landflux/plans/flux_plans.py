@@ -6,20 +6,20 @@ from pyspark.sql import functions as F
 
 from landflux.operators import checks, fluxes
 from landflux.plans import inputs
-from landflux.plans.check_sql import Y1, amt, both, entry, fx
+from landflux.plans.check_sql import Y1, YEARS, amt, both, entry, fx
 from landflux.plans.registry import REGISTRY, query
 
 ROWS = "unit_id:i year:i pool:s process:s gas:s amount:d unit:s"
 # years a change acts in, cut at the next change and at the last year
-YEARS = (
-    "SELECT c.*, y.year AS out_year FROM {source} c, (SELECT unnest(range(1995, 2002)) AS year) y "
+_ACTING = (
+    f"SELECT c.*, y.year AS out_year FROM {{source}} c, {YEARS} y "
     "WHERE y.year >= c.year AND y.year < c.year + {period} AND y.year < coalesce(c.next_change, 9999)"
 )
 
 
 def _spread(source: str, period: int, parts: list[tuple[str, str]], process: str = "conversion") -> str:
     """Each change's yearly step, in every year it acts in."""
-    acting = YEARS.format(source=f"({source})", period=period)
+    acting = _ACTING.format(source=f"({source})", period=period)
     again = f"(SELECT * REPLACE (out_year AS year) FROM ({acting}))"
     return " UNION ALL ".join(entry(pool, process, "CO2", expr, again) for pool, expr in parts)
 
@@ -76,7 +76,7 @@ _DOM = (
 
 @query(ROWS, _spread(_DOM, 4, [("DW", "dw * area / 4e0"), ("LITTER", "lt * area / 4e0")]))
 def dom_conversion(t):
-    return fluxes.dom_conversion(inputs.state(t), t.land_unit, t.factor, period=4, until=Y1)
+    return fluxes.dom_conversion(inputs.state(t), t.land_unit, t.factor, period=4, until=t.years[1])
 
 
 def _soc(use: str) -> str:
@@ -92,7 +92,7 @@ def _soc(use: str) -> str:
     ),
 )
 def soil_mineral(t):
-    return fluxes.soil_mineral(inputs.state(t), t.land_unit, t.factor, until=Y1)
+    return fluxes.soil_mineral(inputs.state(t), t.land_unit, t.factor, until=t.years[1])
 
 
 @query(
@@ -139,12 +139,12 @@ def soil_n2o_direct(t):
           FROM harvest_f GROUP BY ALL),
         stocks AS (
           SELECT country_id, y.year, sum({amt('c * exp(-k * (y.year - i.year)) * (1 - exp(-k)) / k')}) AS stock
-          FROM inflow i, (SELECT unnest(range(1995, 2002)) AS year) y WHERE y.year >= i.year GROUP BY ALL)
+          FROM inflow i, {YEARS} y WHERE y.year >= i.year GROUP BY ALL)
         SELECT *, stock - coalesce(lag(stock) OVER (PARTITION BY country_id ORDER BY year), 0) AS change
         FROM stocks""",
 )
 def hwp_pool(t):
-    return fluxes.hwp_pool(inputs.harvest(t), until=Y1)
+    return fluxes.hwp_pool(inputs.harvest(t), until=t.years[1])
 
 
 @query(
@@ -175,11 +175,11 @@ _DEBRIS = (
     ROWS,
     f"""SELECT unit_id, y.year, 'DW' AS pool, 'decay' AS process, 'CO2' AS gas, 'tC' AS unit,
                sum({amt(_DEBRIS)}) AS amount
-       FROM harvest_f h, (SELECT unnest(range(1995, 2002)) AS year) y
+       FROM harvest_f h, {YEARS} y
        WHERE y.year >= h.year GROUP BY unit_id, y.year""",
 )
 def delayed_decay(t):
-    return fluxes.delayed_decay(inputs.harvest(t), until=Y1)
+    return fluxes.delayed_decay(inputs.harvest(t), until=t.years[1])
 
 
 @query(
@@ -190,7 +190,7 @@ def delayed_decay(t):
         WHERE c.year + v.age <= {Y1} AND c.year + v.age < coalesce(next_change, 9999) GROUP BY ALL""",
 )
 def bookkeeping(t):
-    return fluxes.bookkeeping(inputs.state(t), t.land_unit, t.curves, until=Y1)
+    return fluxes.bookkeeping(inputs.state(t), t.land_unit, t.curves, until=t.years[1])
 
 
 @query(ROWS, "SELECT * FROM core")
@@ -247,11 +247,11 @@ _PRODUCT_LOSS = (
     ROWS,
     f"""SELECT unit_id, y.year, 'HWP' AS pool, 'decay' AS process, 'CO2' AS gas, 'tC' AS unit,
                sum({amt(_PRODUCT_LOSS)}) AS amount
-       FROM harvest_f h, (SELECT unnest(range(1995, 2002)) AS year) y
+       FROM harvest_f h, {YEARS} y
        WHERE y.year >= h.year GROUP BY unit_id, y.year""",
 )
 def product_decay(t):
-    return fluxes.product_decay(inputs.harvest(t), until=Y1)
+    return fluxes.product_decay(inputs.harvest(t), until=t.years[1])
 
 
 _PARTS = [
@@ -269,7 +269,7 @@ def full_ledger(t):
 
 _STOCKS = " UNION ALL ".join(
     f"""SELECT unit_id, y.year, '{pool}' AS pool, sum({amt(expr)}) AS stock
-        FROM harvest_f h, (SELECT unnest(range(1995, 2002)) AS year) y WHERE y.year >= h.year
+        FROM harvest_f h, {YEARS} y WHERE y.year >= h.year
         GROUP BY unit_id, y.year"""
     for pool, expr in (
         ("DW", f"carbon * debris_share * exp(-({_SINCE} + 1) / debris_years)"),
@@ -297,7 +297,7 @@ def transfer_check(t):
     """Debris and products: stocks by their own formula against the ledger's gains and losses."""
     cut = inputs.harvest(t)
     flows = fluxes.ledger(
-        fluxes.harvest_gains(cut), fluxes.product_decay(cut, until=Y1), fluxes.delayed_decay(cut, until=Y1)
+        fluxes.harvest_gains(cut), fluxes.product_decay(cut, until=t.years[1]), fluxes.delayed_decay(cut, until=t.years[1])
     )
-    checked = checks.all_carbon_check(flows, fluxes.harvest_stocks(cut, until=Y1), tolerance=0.01)
+    checked = checks.all_carbon_check(flows, fluxes.harvest_stocks(cut, until=t.years[1]), tolerance=0.01)
     return checked.groupBy("pool", "status").agg(F.count("*").alias("n_rows"))

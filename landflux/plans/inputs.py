@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landflux.operators import fluxes, land, prepare, report
-from landflux.plans.check_sql import Y0, Y1
 from landflux.sources.tables import LandTables
 
 
 def state(t: LandTables) -> DataFrame:
-    return prepare.densify_years(land.dominant_land_use(t.land_obs), Y0, Y1)
+    return prepare.densify_years(land.dominant_land_use(t.land_obs), *t.years)
 
 
 def survey_days(t: LandTables) -> DataFrame:
@@ -59,13 +58,13 @@ def full_ledger(t: LandTables) -> DataFrame:
         fluxes.biomass_gain(st, t.land_unit, t.factor),
         fluxes.harvest_loss(t.disturbance, t.land_unit, t.factor),
         fluxes.harvest_gains(cut),
-        fluxes.product_decay(cut, until=Y1),
-        fluxes.delayed_decay(cut, until=Y1),
+        fluxes.product_decay(cut, until=t.years[1]),
+        fluxes.delayed_decay(cut, until=t.years[1]),
         fluxes.disturbance_loss(t.disturbance, st, t.land_unit, t.factor),
         fluxes.fire_non_co2(t.disturbance, st, t.land_unit, t.factor),
         fluxes.conversion_biomass(st, t.land_unit, t.factor),
-        fluxes.dom_conversion(st, t.land_unit, t.factor, period=4, until=Y1),
-        fluxes.soil_mineral(st, t.land_unit, t.factor, until=Y1),
+        fluxes.dom_conversion(st, t.land_unit, t.factor, period=4, until=t.years[1]),
+        fluxes.soil_mineral(st, t.land_unit, t.factor, until=t.years[1]),
         fluxes.soil_organic(st, t.land_unit, t.factor),
         fluxes.soil_n2o_direct(t.n_input, st, t.land_unit, t.factor),
         fluxes.rewetting_ch4(st, t.land_unit, t.factor),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from landflux.operators import checks, factors, fluxes, land
 from landflux.plans import inputs
-from landflux.plans.check_sql import Y0, Y1, fx
+from landflux.plans.check_sql import YEARS, fx
 from landflux.plans.registry import query
 
 
@@ -223,8 +223,8 @@ def all_land_check(t):
 @query(
     "unit_id:i year:i reason:s",
     f"""SELECT unit_id, year, 'not yet observed' AS reason FROM state WHERE land_use IS NULL
-        UNION ALL SELECT unit_id, unnest(range({Y0}, {Y1 + 1})), 'never observed' FROM land_unit
+        UNION ALL SELECT unit_id, year, 'never observed' FROM land_unit, {YEARS} y
         WHERE unit_id NOT IN (SELECT unit_id FROM state)""",
 )
 def units_without_class(t):
-    return checks.units_without_class(inputs.state(t), t.land_unit, Y0, Y1)
+    return checks.units_without_class(inputs.state(t), t.land_unit, *t.years)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from landflux.functions import amount, fit_per_group, map_factor, response_curve_rows, to_unit
 from landflux.operators import factors, fluxes, land, prepare
 from landflux.plans import inputs
-from landflux.plans.check_sql import Y1
 from landflux.plans.registry import query
 from landflux.session import run_dir
 from landflux.sources import read_factors, read_ledger, write_ledger
@@ -47,7 +46,7 @@ def surveys_by_country(t):
 
 @query(
     "unit_id:i year:i density:r4 density_tier:i",
-    """SELECT unit_id, 2000 AS year, density, 2 AS density_tier FROM land_unit JOIN (
+    """SELECT unit_id, 2000 AS year, density, 4 AS density_tier FROM land_unit JOIN (
          SELECT zone, floor(CAST(sum(CAST(c_density AS DECIMAL(18,6))) AS DOUBLE) / count(*) * 1e4 + 0.5) / 1e4
                 AS density
          FROM stock_obs JOIN land_unit USING (unit_id) GROUP BY zone) USING (zone)""",
@@ -82,7 +81,7 @@ def ledger_store(t):
     path = run_dir(t.spark, "ledger")
     gain = fluxes.biomass_gain(inputs.state(t), t.land_unit, t.factor)
     write_ledger(gain, path)
-    write_ledger(gain.filter(F.col("year") == Y1), path)
+    write_ledger(gain.filter(F.col("year") == t.years[1]), path)
     stored = read_ledger(t.spark, path)
     return stored.groupBy("year", "pool").agg(F.count("*").alias("n_rows"), F.sum("amount").alias("amount"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from landflux.functions import amount
@@ -97,7 +99,8 @@ def despike(t):
     "tower_id:i day:t n:i n_filled:i total:d",
     """WITH grid AS (SELECT tower_id, CAST(d AS DATE) AS day, s AS slot
                      FROM (SELECT DISTINCT tower_id FROM readings),
-                          (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS d),
+                          (SELECT unnest(generate_series(CAST(min(ts) AS DATE), CAST(max(ts) AS DATE), INTERVAL 1 DAY)) AS d
+                           FROM readings),
                           (SELECT unnest(range(48)) AS s)),
        m AS (SELECT tower_id, CAST(start AS DATE) AS day,
                     hour(start) * 2 + CAST(minute(start) >= 30 AS INTEGER) AS slot, mean_flux FROM half_hours),
@@ -106,11 +109,11 @@ def despike(t):
              FROM grid g LEFT JOIN m USING (tower_id, day, slot))
        SELECT tower_id, day, count(*) AS n, count(*) FILTER (WHERE mean_flux IS NULL) AS n_filled,
               sum(CAST(floor(coalesce(mean_flux, nearby) * 1e4 + 0.5) / 1e4 AS DECIMAL(18,4))) AS total
-       FROM f WHERE coalesce(mean_flux, nearby) IS NOT NULL GROUP BY tower_id, day""",
+       FROM f GROUP BY tower_id, day""",
 )
 def gap_fill(t):
     """Daily sums of the filled half hours."""
-    filled = towers.gap_fill(towers.half_hour_means(t.tower_reading), "2024-01-01", "2024-01-31")
+    filled = towers.gap_fill(towers.half_hour_means(t.tower_reading))
     return filled.groupBy("tower_id", "day").agg(
         F.count("*").alias("n"),
         F.count(F.when(F.col("filled"), 1)).alias("n_filled"),
@@ -126,7 +129,7 @@ def respiration_fit(t):
 @query(
     "reading_id:i tower_id:i respiration:r4 uptake:r4",
     """SELECT reading_id, tower_id, exp(a + b * temp_c) AS respiration, exp(a + b * temp_c) - flux AS uptake
-       FROM readings JOIN fit USING (tower_id)""",
+       FROM readings LEFT JOIN fit USING (tower_id)""",
 )
 def partition_nee(t):
     return towers.partition_nee(t.tower_reading, towers.respiration_fit(t.tower_reading))
@@ -144,7 +147,7 @@ def streamed_half_hours(t):
     query = live.ledger_sink(towers.half_hour_means(readings), out, run_dir(t.spark, "progress"))
     query.awaitTermination()
     return t.spark.read.schema(
-        "tower_id bigint, start timestamp, n bigint, total_flux decimal(28,4)"
+        "tower_id bigint, start timestamp, n bigint, total_flux decimal(38,4)"
     ).parquet(out)
 
 
@@ -161,3 +164,33 @@ def streamed_budget(t):
     query.awaitTermination()
     updates = t.spark.read.schema(live.BUDGET_UPDATE).parquet(out)
     return live.latest_budgets(updates)
+
+
+@query(
+    "n_late:i n_kept:i",
+    """WITH made AS (SELECT reading_id, ts, reading_id % 7 = 0 AND ts < last_ts - INTERVAL 1 HOUR AS late
+                     FROM readings, (SELECT max(ts) AS last_ts FROM readings))
+       SELECT count(*) FILTER (WHERE late) AS n_late, count(*) FILTER (WHERE NOT late) AS n_kept FROM made""",
+)
+def late_readings(t):
+    """Every seventh reading is held back until all others are through, and so comes too late."""
+    events = t.stored("events")
+    last = events.agg(F.max("ts").alias("last_ts"))
+    late = (F.col("event_id") % 7 == 0) & (F.col("ts") < F.col("last_ts") - F.expr("INTERVAL 1 HOUR"))
+    marked = events.crossJoin(F.broadcast(last)).withColumn("late", F.coalesce(late, F.lit(False)))
+    source, out = run_dir(t.spark, "late-source"), run_dir(t.spark, "late")
+    # the first file moves the watermark, two batches later the late ones meet it; files are taken by age
+    first = (F.col("event_id") % 2 == 0) | (F.col("ts") == F.col("last_ts"))
+    for n, part in enumerate((~F.col("late") & first, ~F.col("late") & ~first, F.col("late"))):
+        time.sleep(1.1 if n else 0)
+        marked.filter(part).drop("late", "last_ts").repartition(1).write.mode("append").parquet(source)
+    counter = live.LateReadings()
+    t.spark.streams.addListener(counter)
+    try:
+        readings = towers.with_lateness(live.stream_readings(t.spark, source, files_per_batch=1), "10 minutes")
+        query = live.ledger_sink(towers.unique_readings(readings), out, run_dir(t.spark, "progress"))
+        query.awaitTermination()
+        n_late = counter.count(query)
+    finally:
+        t.spark.streams.removeListener(counter)
+    return t.spark.read.parquet(out).agg(F.lit(n_late).alias("n_late"), F.count("*").alias("n_kept"))

@@ -145,6 +145,13 @@ class LandTables:
             F.date_add(day, 30).alias("end_date"),
         )
 
+    @cached_property
+    def years(self) -> tuple[int, int]:
+        """First and last year of the observations: one small job over one column."""
+        year = F.year("l_shipdate")
+        row = self._dated(self.stored("lineitem"), "l_shipdate").agg(F.min(year), F.max(year)).first()
+        return (row[0], row[1]) if row[0] is not None else (0, -1)
+
     @cached_property
     def n_input(self) -> DataFrame:
         lines = self._dated(self.stored("lineitem"), "l_shipdate")

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import defaultdict
+from threading import Event
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from landflux.sources.schemas import STORED
 from landflux.sources.tables import readings_from_events
+from landflux.streaming.towers import DIGITS, fixed_flux
 
-
-BUDGET_UPDATE = "tower_id bigint, shard int, step bigint, n bigint, units bigint"
+BUDGET_UPDATE = f"tower_id bigint, n bigint, budget decimal(38,{DIGITS}), batch_id bigint"
 
 
 def stream_readings(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -25,56 +25,56 @@ def stream_readings(spark: SparkSession, path: str, files_per_batch: int | None
     return readings_from_events(source.parquet(path))
 
 
-def late_readings(query: StreamingQuery) -> int:
-    """Rows a query has dropped as later than its watermark, so far."""
-    return sum(
-        op["numRowsDroppedByWatermark"]
-        for progress in query.recentProgress
-        for op in progress["stateOperators"]
-    )
+class LateReadings(StreamingQueryListener):
+    """Counts the readings that queries drop as later than their watermark.
 
+    Counted where rows meet the watermark one by one: at ``unique_readings``,
+    which a query must have in front of any sum, since a sum merges late rows
+    before its state sees them. Every batch's progress is added up as it comes,
+    however many there are.
+    """
 
-def running_budget_stream(readings: DataFrame, shards: int = 8) -> DataFrame:
-    """Cumulative flux per tower across batches, one row per tower, shard and batch.
+    OPERATORS = ("dedupe", "dedupeWithinWatermark")
 
-    A tower's readings are spread over ``shards`` states by reading id, so one
-    busy tower does not end up in one task; a tower's budget is the sum of its
-    shards' latest rows (``latest_budgets``).
-    """
+    def __init__(self) -> None:
+        self._counts: dict[str, int] = defaultdict(int)
+        self._ended: dict[str, Event] = defaultdict(Event)
 
-    def add(
-        key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        step, n, total = state.get if state.exists else (0, 0, 0)
-        for chunk in chunks:
-            n += len(chunk)
-            total += int(chunk["units"].sum())
-        state.update((step + 1, n, total))
-        yield pd.DataFrame(
-            {"tower_id": [key[0]], "shard": [key[1]], "step": [step + 1], "n": [n], "units": [total]}
-        )
+    def onQueryStarted(self, event) -> None:
+        pass
 
-    fixed = readings.select(
-        "tower_id",
-        F.pmod(F.xxhash64("reading_id"), F.lit(shards)).cast("int").alias("shard"),
-        F.round(F.col("flux") * 10_000).cast("bigint").alias("units"),
-    )
-    return fixed.groupBy("tower_id", "shard").applyInPandasWithState(
-        add,
-        BUDGET_UPDATE,
-        "step bigint, n bigint, units bigint",
-        "update",
-        GroupStateTimeout.NoTimeout,
-    )
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        for op in event.progress.stateOperators:
+            if op.operatorName in self.OPERATORS:
+                self._counts[str(event.progress.runId)] += op.numRowsDroppedByWatermark
+
+    def onQueryTerminated(self, event) -> None:
+        self._ended[str(event.runId)].set()
+
+    def count(self, query: StreamingQuery, wait: float = 60) -> int:
+        """Late readings so far; of a query that has ended, all of them."""
+        if not query.isActive and not self._ended[str(query.runId)].wait(wait):
+            raise TimeoutError("the query's last progress has not come")
+        return self._counts[str(query.runId)]
+
+
+def running_budget_stream(readings: DataFrame, digits: int = DIGITS) -> DataFrame:
+    """Cumulative flux per tower across batches: in update mode, a row for every tower a batch touches.
+
+    Readings are summed in each task before they meet the state, so a busy tower
+    sends one row a task.
+    """
+    return readings.groupBy("tower_id").agg(F.count("flux").alias("n"), F.sum(fixed_flux(digits)).alias("budget"))
 
 
 def latest_budgets(updates: DataFrame) -> DataFrame:
-    """Budgets from all rows that ``running_budget_stream`` has given so far."""
-    last = updates.groupBy("tower_id", "shard").agg(
-        F.max("n").alias("n"), F.max_by("units", "step").alias("units")
-    )
-    return last.groupBy("tower_id").agg(
-        F.sum("n").alias("n"), (F.sum("units") / F.lit(10_000.0)).alias("budget")
+    """Budgets from all rows that ``update_sink`` has stored so far."""
+    last = F.max_by(F.struct("n", "budget"), "batch_id").alias("last")
+    return updates.groupBy("tower_id").agg(last).select(
+        "tower_id", "last.n", F.col("last.budget").cast("double").alias("budget")
     )
 
 

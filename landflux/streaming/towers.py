@@ -11,18 +11,22 @@ from pyspark.sql import functions as F
 from landflux.operators.prepare import latest_per_key
 from landflux.operators.quantiles import value_counts, with_median
 
-FLUX = "decimal(18,4)"
-FLUX_SCALE = 10_000
+DIGITS = 4  # decimal places of a flux; fluxes of a finer scale need more
 HALF_HOUR = 1800
 
 
+def fixed_flux(digits: int = DIGITS) -> Column:
+    """The flux as a decimal, so that sums do not depend on row order."""
+    return F.col("flux").cast(f"decimal(28,{digits})")
+
+
 def with_lateness(readings: DataFrame, delay: str = "10 minutes", column: str = "ts") -> DataFrame:
     """Set how late a reading may come; batch frames pass unchanged."""
     return readings.withWatermark(column, delay) if readings.isStreaming else readings
 
 
-def _window_means(readings: DataFrame, window: Column) -> DataFrame:
-    total = F.sum(F.col("flux").cast(FLUX))
+def _window_means(readings: DataFrame, window: Column, digits: int) -> DataFrame:
+    total = F.sum(fixed_flux(digits))
     return (
         readings.groupBy("tower_id", window.alias("w"))
         .agg(F.count("flux").alias("n"), total.alias("total_flux"))
@@ -37,23 +41,23 @@ def _window_means(readings: DataFrame, window: Column) -> DataFrame:
     )
 
 
-def half_hour_means(readings: DataFrame) -> DataFrame:
-    return _window_means(readings, F.window("ts", "30 minutes"))
+def half_hour_means(readings: DataFrame, digits: int = DIGITS) -> DataFrame:
+    return _window_means(readings, F.window("ts", "30 minutes"), digits)
 
 
-def sliding_day(readings: DataFrame) -> DataFrame:
+def sliding_day(readings: DataFrame, digits: int = DIGITS) -> DataFrame:
     """A day's mean, every six hours."""
-    return _window_means(readings, F.window("ts", "24 hours", "6 hours"))
+    return _window_means(readings, F.window("ts", "24 hours", "6 hours"), digits)
 
 
-def tower_sessions(readings: DataFrame, gap_seconds: int) -> DataFrame:
+def tower_sessions(readings: DataFrame, gap_seconds: int, digits: int = DIGITS) -> DataFrame:
     """Periods of operation: readings no further apart than the gap.
 
     A stream uses Spark's session windows. In batch, readings in the same
     gap-wide slot belong together whatever lies between them, so slots are
     summed first; the window then grows with time and not with readings.
     """
-    total = F.sum(F.col("flux").cast(FLUX)).alias("total_flux")
+    total = F.sum(fixed_flux(digits)).alias("total_flux")
     if readings.isStreaming:
         session = F.session_window("ts", f"{gap_seconds} seconds").alias("w")
         return (
@@ -87,7 +91,9 @@ def unique_readings(readings: DataFrame) -> DataFrame:
     if readings.isStreaming:
         return readings.dropDuplicatesWithinWatermark(["reading_id"])
     return latest_per_key(
-        readings, ["reading_id"], [F.col("ts").asc(), F.col("tower_id").asc(), F.col("flux").asc()]
+        readings,
+        ["reading_id"],
+        [F.col(c).asc() for c in ("ts", "tower_id", "flux", "kind", "temp_c") if c in readings.columns],
     )
 
 
@@ -138,7 +144,7 @@ def readings_after_alert(readings: DataFrame, alerts: DataFrame, hours: int) ->
     )
 
 
-def running_budget(readings: DataFrame) -> DataFrame:
+def running_budget(readings: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Cumulative flux of each tower at the end of each day with readings (batch)."""
     window = (
         Window.partitionBy("tower_id")
@@ -147,43 +153,46 @@ def running_budget(readings: DataFrame) -> DataFrame:
     )
     return (
         readings.groupBy("tower_id", F.to_date("ts").alias("day"))
-        .agg(F.sum(F.col("flux").cast(FLUX)).alias("day_flux"), F.count("flux").alias("n"))
+        .agg(F.sum(fixed_flux(digits)).alias("day_flux"), F.count("flux").alias("n"))
         .withColumn("budget", F.sum("day_flux").over(window))
         .withColumn("n_so_far", F.sum("n").over(window))
     )
 
 
-def despike(readings: DataFrame, k: float) -> DataFrame:
+def despike(readings: DataFrame, k: float, digits: int = DIGITS) -> DataFrame:
     """Readings no further than ``k`` median deviations from their tower-day's median.
 
     Both medians come from the tower-day's value counts, which stay few however
     many readings there are: fluxes within 500 with two decimals have 100,000
     values. A deviation is a value less the median, as often as the value, so
-    one shuffle by tower-day serves both.
+    one shuffle by tower-day serves both. Medians are exact to ``digits`` places.
     """
+    scale = 10**digits
     keys = ["tower_id", "day"]
     dated = readings.withColumn("day", F.to_date("ts"))
-    counts = value_counts(dated, keys, "flux", FLUX_SCALE)
+    counts = value_counts(dated, keys, "flux", scale)
     middle = with_median(counts, keys, "v", "middle").withColumn("off", F.expr("abs(v - middle)"))
     limits = (
         with_median(middle, keys, "off", "spread")
         .groupBy(*keys)
         .agg(
-            (F.max("middle") / FLUX_SCALE).alias("median_flux"),
-            (F.max("spread") / FLUX_SCALE).alias("mad"),
+            (F.max("middle") / scale).alias("median_flux"),
+            (F.max("spread") / scale).alias("mad"),
         )
     )
     return (
         dated.join(limits, keys)
-        .filter(F.abs(F.col("flux") - F.col("median_flux")) <= F.col("mad") * k + 1e-9)
+        .filter(F.abs(F.col("flux") - F.col("median_flux")) <= F.col("mad") * k + 1e-5 / scale)
         .select(*readings.columns, "median_flux", "mad")
     )
 
 
-def gap_fill(means: DataFrame, first_day: str, last_day: str, days: int = 7) -> DataFrame:
+def gap_fill(means: DataFrame, first_day: str | None = None, last_day: str | None = None, days: int = 7) -> DataFrame:
     """Every half hour of every tower; empty ones take the mean of that time of day nearby.
 
-    ``means`` is ``half_hour_means``. The window holds one row per day.
+    ``means`` is ``half_hour_means``. Without days given, the range is that of
+    the data. A half hour with nothing nearby keeps a null flux. The window
+    holds one row per day.
     """
     stamps = means.select(
         "tower_id",
@@ -191,10 +200,17 @@ def gap_fill(means: DataFrame, first_day: str, last_day: str, days: int = 7) ->
         (F.floor(F.unix_seconds("start") / HALF_HOUR) % 48).cast("int").alias("slot"),
         "mean_flux",
     )
+    given = [F.lit(d).cast("date") for d in (first_day, last_day)]
+    range_ = stamps.agg(
+        F.coalesce(given[0], F.min("day")).alias("from_day"), F.coalesce(given[1], F.max("day")).alias("to_day")
+    )
+    # the range is one row
     grid = (
-        means.select("tower_id")
+        stamps.select("tower_id")
         .distinct()
-        .withColumn("day", F.explode(F.sequence(F.lit(first_day).cast("date"), F.lit(last_day).cast("date"))))
+        .crossJoin(F.broadcast(range_))
+        .filter("from_day <= to_day")
+        .select("tower_id", F.explode(F.sequence("from_day", "to_day")).alias("day"))
         .withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(47))))
     )
     near = (
@@ -212,7 +228,6 @@ def gap_fill(means: DataFrame, first_day: str, last_day: str, days: int = 7) ->
             F.coalesce("mean_flux", "nearby").alias("flux"),
             F.col("mean_flux").isNull().alias("filled"),
         )
-        .filter("flux is not null")
     )
 
 
@@ -232,9 +247,12 @@ def respiration_fit(readings: DataFrame) -> DataFrame:
 
 
 def partition_nee(readings: DataFrame, fit: DataFrame) -> DataFrame:
-    """Split the net flux: respiration from the fit, uptake is respiration less net flux."""
+    """Split the net flux: respiration from the fit, uptake is respiration less net flux.
+
+    A tower without a fit keeps its readings, with neither part.
+    """
     return (
-        readings.join(fit.select("tower_id", "a", "b"), "tower_id")
+        readings.join(fit.select("tower_id", "a", "b"), "tower_id", "left")
         .withColumn("respiration", F.exp(F.col("a") + F.col("b") * F.col("temp_c")))
         .withColumn("uptake", F.col("respiration") - F.col("flux"))
         .drop("a", "b")
