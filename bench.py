@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from landflux.plans import REGISTRY
@@ -51,12 +52,13 @@ def run(spark, name: str, folder: str) -> float:
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cores = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
-    spark = local_session("bench", cores, **{"spark.driver.memory": "8g"})
     times = {}
-    for name in HEADLINE:
-        run(spark, name, folder)
-        times[name] = round(run(spark, name, folder), 3)
-    spark.stop()
+    with tempfile.TemporaryDirectory(prefix="landflux-bench-") as shared:
+        spark = local_session("bench", cores, **{"spark.driver.memory": "8g", "spark.checkpoint.dir": shared})
+        for name in HEADLINE:
+            run(spark, name, folder)
+            times[name] = round(run(spark, name, folder), 3)
+        spark.stop()
     print(
         json.dumps(
             {

@@ -1,5 +1,5 @@
 from landflux.functions.amounts import amount, normal_draw, rounded, to_unit, uniform_draw
-from landflux.functions.custom import fit_per_group, map_factor, response_curve_rows
+from landflux.functions.custom import fit_per_group, map_factor, response_curve_rows, user_curve_rows
 
 __all__ = [
     "amount",
@@ -10,4 +10,5 @@ __all__ = [
     "fit_per_group",
     "map_factor",
     "response_curve_rows",
+    "user_curve_rows",
 ]

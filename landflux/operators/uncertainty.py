@@ -35,8 +35,8 @@ def monte_carlo(parts: DataFrame, by: list[str], draws: int, seed: int) -> DataF
     All amounts that share a factor move together, so they are summed before
     any draw is made: the work is (factors x draws), whatever the number of
     units. Draws come from a hash of seed, factor and draw number. They are made
-    in blocks spread over all tasks, each block with every factor, so the sums
-    per draw are formed before the next shuffle.
+    in blocks, spread by block and factor over all tasks, and summed per draw in
+    each task before the next shuffle.
     """
     z = normal_draw(F.lit(str(seed)), F.col("factor_key"), F.col("draw").cast("string"))
     drawn = F.col("amount").cast("double") * (1 + F.col("rel_unc") * z)
@@ -45,7 +45,7 @@ def monte_carlo(parts: DataFrame, by: list[str], draws: int, seed: int) -> DataF
         parts.groupBy(*by, "factor_key")
         .agg(F.sum("amount").alias("amount"), F.max("rel_unc").alias("rel_unc"))
         .withColumn("_from", F.expr(f"explode(sequence(0, {draws - 1}, {BLOCK}))"))
-        .repartition(tasks, "_from")
+        .repartition(tasks, "_from", "factor_key")
         .withColumn("draw", F.expr(f"explode(sequence(_from, least(_from + {BLOCK - 1}, {draws - 1})))"))
         .groupBy(*by, "draw")
         .agg(F.sum(drawn).alias("total"))

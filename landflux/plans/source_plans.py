@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from landflux.functions import amount, fit_per_group, map_factor, response_curve_rows, to_unit
+from landflux.functions import amount, fit_per_group, map_factor, response_curve_rows, to_unit, user_curve_rows
 from landflux.operators import factors, fluxes, land, prepare
 from landflux.plans import inputs
 from landflux.plans.registry import query
@@ -195,7 +195,7 @@ def units_in_boxes(t):
 def fitted_growth(t):
     """A user's weighted line through the yearly mean density of each unit."""
 
-    def line(x, y, n):
+    def line(x, y, n, _):
         mx, my = (n * x).sum() / n.sum(), (n * y).sum() / n.sum()
         sxx = (n * (x - mx) ** 2).sum()
         return len(x), (n * (x - mx) * (y - my)).sum() / sxx if sxx else 0.0
@@ -227,13 +227,32 @@ def mapped_density(t):
        FROM p, (SELECT unnest(range(5)) AS age)""",
 )
 def response_curves(t):
-    """Curves of a user's table function, from the mean area of each change."""
+    """Curves that end by a constant rate, from the mean area of each change."""
+    return response_curve_rows(_curve_params(t), "total", "rate", "years")
+
+
+def _curve_params(t):
     pairs = land.transition_matrix(inputs.state(t), t.land_unit).filter("use_from <> use_to")
-    params = pairs.select(
+    return pairs.select(
         "use_from",
         "use_to",
         (F.col("area_ha").cast("double") / F.col("n_units")).alias("total"),
         F.lit(0.25).alias("rate"),
         F.lit(5).alias("years"),
     )
-    return response_curve_rows(params, "total", "rate", "years")
+
+
+@query(
+    "use_from:s use_to:s age:i share:r3",
+    """WITH p AS (SELECT use_from, use_to, CAST(sum(area_ha) AS DOUBLE) / count(*) AS total
+                  FROM trans JOIN land_unit USING (unit_id) WHERE use_from <> use_to GROUP BY ALL)
+       SELECT use_from, use_to, age, total / 5 AS share FROM p, (SELECT unnest(range(5)) AS age)""",
+)
+def user_curves(t):
+    """Curves of a user's table function: equal steps."""
+
+    def steps(total, years):
+        for age in range(years):
+            yield age, total / years
+
+    return user_curve_rows(_curve_params(t), steps, ["total", "years"])

@@ -201,14 +201,12 @@ def gap_fill(means: DataFrame, first_day: str | None = None, last_day: str | Non
         "mean_flux",
     )
     given = [F.lit(d).cast("date") for d in (first_day, last_day)]
-    range_ = stamps.agg(
-        F.coalesce(given[0], F.min("day")).alias("from_day"), F.coalesce(given[1], F.max("day")).alias("to_day")
-    )
-    # the range is one row
+    ends = [F.coalesce(given[0], F.min("day")), F.coalesce(given[1], F.max("day"))]
+    from_day, to_day = (stamps.agg(end).scalar() for end in ends)
     grid = (
         stamps.select("tower_id")
         .distinct()
-        .crossJoin(F.broadcast(range_))
+        .select("tower_id", from_day.alias("from_day"), to_day.alias("to_day"))
         .filter("from_day <= to_day")
         .select("tower_id", F.explode(F.sequence("from_day", "to_day")).alias("day"))
         .withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(47))))

@@ -42,7 +42,7 @@ def test_input_order_does_not_matter(spark):
 
 
 def test_totals_agree(spark):
-    entries = inputs.placed_ledger(LandTables(spark, SMALL))
+    entries = inputs.placed_core(LandTables(spark, SMALL))
     total = entries.agg(F.sum("amount")).first()[0]
     rolled = report.report_rollup(entries, ["region_id", "year"]).filter("level = 3").first().amount
     gross = fluxes.gross_and_net(entries, ["gas"]).first()
