@@ -244,6 +244,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     numbered = docs.select(*own, F.col("text").cast("binary").alias("_text"), F.monotonically_increasing_id().alias("_row"))
     numbered = numbered.drop("text") if "text" in own else numbered
     texts = store.keep_bucketed(numbered, "_row")
+    store.release()
     own = [c for c in own if c != "text"]
 
     anchors = texts.select("_row", "_text").mapInArrow(partial(_anchor_rows, radius=radius), "_row bigint, at int, context bigint")
@@ -257,6 +258,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     )
     runs = store.keep(runs)
     store.drop(anchors)
+    store.release()
 
     groups = runs.groupBy("core", "full").agg(F.count("*").alias("n"), F.min(F.struct("_row", "lo")).alias("stands"))
     groups = store.keep(groups)
@@ -275,6 +277,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         )
     )
     store.drop(runs)
+    store.release()
 
     def by_row(places: DataFrame) -> DataFrame:
         return places.groupBy("_row").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))

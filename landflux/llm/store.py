@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,11 @@ class Store:
         writer.option("path", path).saveAsTable(name)
         return self.spark.table(name)
 
+    def release(self) -> None:
+        """Let the driver forget finished steps, upon which Spark deletes their shuffle files."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, kept: DataFrame) -> None:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(kept._stored_at)
