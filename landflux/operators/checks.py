@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from landflux.operators.factors import resolve_factors
 from landflux.sources.schemas import MONEY
 
 
@@ -95,6 +96,28 @@ def missing_pools(entries: DataFrame, stocks: DataFrame, units: DataFrame, pools
     return per_unit.select("unit_id", F.explode(F.array_compact(F.array(*absent))).alias("pool"))
 
 
+def unbooked_rows(
+    rows: DataFrame, state: DataFrame, units: DataFrame, factor: DataFrame, params: list[str]
+) -> DataFrame:
+    """Unit-years of an input that lead to no ledger row, how many rows they hold, and why.
+
+    ``reason`` is ``no unit`` (unknown to ``units``), ``no class`` (no land use
+    that year) or ``no factor`` (one of ``params`` is missing); the first that
+    holds is given.
+    """
+    seen = rows.groupBy("unit_id", "year").agg(F.count("*").alias("n_rows"))
+    placed = seen.join(units.select("unit_id", "country_id", "zone", F.lit(True).alias("_unit")), "unit_id", "left")
+    classed = placed.join(state.select("unit_id", "year", "land_use"), ["unit_id", "year"], "left")
+    found = resolve_factors(classed, factor, params, names={p: f"_{p}" for p in params})
+    lacking = F.lit(False)
+    for p in params:
+        lacking |= F.col(f"_{p}").isNull()
+    reason = (
+        F.when(F.col("_unit").isNull(), "no unit").when(F.col("land_use").isNull(), "no class").when(lacking, "no factor")
+    )
+    return found.withColumn("reason", reason).filter("reason is not null").select("unit_id", "year", "n_rows", "reason")
+
+
 def double_count(claims: DataFrame) -> DataFrame:
     """Claims that share a day with another claim on their unit, and with how many.
 

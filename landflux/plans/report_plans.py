@@ -315,6 +315,22 @@ def double_count(t):
     return checks.double_count(t.claim)
 
 
+@query(
+    "unit_id:i year:i n_rows:i reason:s",
+    f"""SELECT unit_id, year, n_rows, CASE WHEN area IS NULL THEN 'no unit' WHEN land_use IS NULL THEN 'no class'
+               WHEN {fx('rewetting_CH4')} IS NULL THEN 'no factor' END AS reason
+        FROM (SELECT e.unit_id, e.year, n_rows, country_id, zone, area, land_use
+              FROM (SELECT unit_id, year, count(*) AS n_rows FROM disturbance WHERE kind = 'fire' GROUP BY ALL) e
+              LEFT JOIN land_unit ON e.unit_id = land_unit.unit_id
+              LEFT JOIN state ON e.unit_id = state.unit_id AND e.year = state.year) b
+        WHERE reason IS NOT NULL""",
+)
+def unbooked_rows(t):
+    """Fires on land for which one factor is missing."""
+    fires = t.disturbance.filter("kind = 'fire'").select("unit_id", F.year("event_date").alias("year"))
+    return checks.unbooked_rows(fires, inputs.state(t), t.land_unit, t.factor, ["rewetting_CH4"])
+
+
 # the second run lacks the general growth factor and the zone values of BUILDING
 _RUN_B = (
     f"SELECT b.*, growth_b AS growth, {fx('root_ratio')} AS root_ratio, {fx('carbon_fraction')} AS cf FROM "

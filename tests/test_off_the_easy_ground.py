@@ -197,3 +197,15 @@ def test_fine_fluxes_and_lone_towers(spark):
     assert kept.count() == 10 and kept.filter("respiration is not null").count() == 0
     filled = towers.gap_fill(towers.half_hour_means(small), "2024-01-01", "2024-01-06")
     assert filled.count() == 6 * 48 and filled.filter("flux is null").count() == 6 * 47
+
+
+def test_rows_that_are_not_booked_are_listed(spark, units):
+    f = factor_table(spark, [("p", 7, None, "forest", None, None, 1.0)])
+    rows = spark.createDataFrame([(1, 2000), (1, 2000), (1, 2001), (1, 2002), (2, 2000), (99, 2000)], "unit_id bigint, year int")
+    state = spark.createDataFrame(
+        [(1, 2000, "forest", True), (1, 2001, "cropland", True), (2, 2000, "forest", True)], STATE
+    )
+    out = checks.unbooked_rows(rows, state, units, f, ["p"])
+    assert rows_of(out, "unit_id", "year") == [
+        (1, 2001, 1, "no factor"), (1, 2002, 1, "no class"), (2, 2000, 1, "no factor"), (99, 2000, 1, "no unit"),
+    ]
