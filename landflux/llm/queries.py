@@ -51,7 +51,18 @@ SQL["op2_chat_formatting"] = sql.OP2_CHAT
 @query
 def op3_quality_rules(spark, folder):
     docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
-    return quality.judge(docs).drop("text", "lang")
+    judged = quality.judge(docs).drop("text", "lang")
+    return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
+
+
+SQL["op3_quality_rules"] = sql.quality_rules(
+    quality.COMMON,
+    quality.GUARD_CHARS,
+    quality.GUARD_WORDS,
+    quality.GUARD_REFERENCE,
+    quality.CLASS_DISTANCE,
+    quality.WORD_DISTANCE,
+)
 
 
 @query
@@ -102,6 +113,19 @@ def op6_url_filters(spark, folder):
     return urls.judge_urls(pages, URL_RULES).drop("url")
 
 
+SQL["op6_url_filters"] = sql.url_filters(
+    URL_RULES,
+    urls.DEPTH,
+    urls.MANY,
+    urls.RARE,
+    urls.Z,
+    urls.LEAST_LABELS,
+    urls.SMOOTHING,
+    urls.REJECT,
+    urls.IDENTIFIER,
+)
+
+
 @query
 def op8_html_extraction(spark, folder):
     return html_main.main_text(_table(spark, folder, "pages").select("page_id", "url", "html"))

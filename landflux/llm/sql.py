@@ -104,3 +104,145 @@ SELECT v.vec_id, coalesce(c.n, 0) AS n_links, least(v.vec_id, coalesce(s.least,
   v.vec_id <= coalesce(s.least, v.vec_id) AS kept
 FROM vectors v LEFT JOIN smallest s ON s.a = v.vec_id LEFT JOIN counted c ON c.a = v.vec_id
 """
+
+
+def url_filters(rules, depth, many, rare, z, least_labels, smoothing, reject, identifier) -> str:
+    """Rules first, then the template trees, one set of subqueries for each level."""
+    ordered = sorted(rules, key=lambda r: (-len(r.text), r.text))
+    fits = [
+        f"(host = '{r.host}' OR suffix(host, '.{r.host}')) AND starts_with(path, '{r.path}')" for r in ordered
+    ]
+    rule = " ".join(f"WHEN {f} THEN '{r.text}'" for f, r in zip(fits, ordered, strict=True))
+    verdict = " ".join(f"WHEN {f} THEN '{r.verdict}'" for f, r in zip(fits, ordered, strict=True))
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    parts = [
+        f"""WITH split AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{upper}', '{lower}') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+), ruled AS (
+  SELECT *, CASE {rule} END AS rule, CASE {verdict} END AS known,
+    list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''),
+      lambda s: regexp_replace(s, '{identifier}', '*\1')) AS general
+  FROM split
+), shaped AS (
+  SELECT *, CASE WHEN len(general) > {depth} THEN list_concat(general[1:{depth}], ['**']) ELSE general END AS shape
+  FROM ruled
+), prior AS (
+  SELECT (count(*) FILTER (known = 'block') + 1.0::DOUBLE) / (count(known) + 2.0::DOUBLE) AS prior FROM shaped
+), shapes0 AS (
+  SELECT host, shape, count(*) AS n, count(*) FILTER (known = 'block') AS bad, count(known) AS labels, '' AS template
+  FROM shaped GROUP BY host, shape
+)"""
+    ]
+    for k in range(depth + 1):
+        parts.append(
+            f"""children{k} AS (
+  SELECT host, template, shape[{k + 1}] AS segment, sum(n) AS n, CAST(sum(bad) AS DOUBLE) AS bad,
+    CAST(sum(labels) AS DOUBLE) AS labels
+  FROM shapes{k} WHERE len(shape) > {k} GROUP BY ALL
+), compared{k} AS (
+  SELECT *, count(*) OVER w AS children, bad + 0.5::DOUBLE AS a, sum(bad) OVER w - bad + 0.5::DOUBLE AS b,
+    labels + 1.0::DOUBLE AS an, sum(labels) OVER w - labels + 1.0::DOUBLE AS bn
+  FROM children{k} WINDOW w AS (PARTITION BY host, template)
+), judged{k} AS (
+  SELECT host, template, segment, CASE WHEN starts_with(segment, '*') OR (children >= {many} AND n <= {rare})
+    OR NOT (labels > 0 AND abs(a / an - b / bn) > {z}::DOUBLE * sqrt((a + b) / (an + bn) * (1 - (a + b) / (an + bn)) * (1 / an + 1 / bn)))
+    THEN '*' ELSE segment END AS branch
+  FROM compared{k}
+), shapes{k + 1} AS (
+  SELECT s.host, s.shape, s.n, s.bad, s.labels,
+    CASE WHEN branch IS NULL THEN s.template ELSE s.template || '/' || branch END AS template
+  FROM shapes{k} s LEFT JOIN judged{k} j
+    ON s.host = j.host AND s.template = j.template AND s.shape[{k + 1}] = j.segment
+)"""
+        )
+    last = f"shapes{depth + 1}"
+    parts.append(
+        f"""sums AS (
+  SELECT host, template, sum(bad) AS t_bad, sum(labels) AS t_labels FROM {last} GROUP BY host, template
+), known_templates AS (
+  SELECT s.host, s.shape, s.template, t_labels,
+    (CAST(t_bad AS DOUBLE) + {smoothing}::DOUBLE * prior) / (CAST(t_labels AS DOUBLE) + {smoothing}::DOUBLE) AS purity
+  FROM {last} s JOIN sums USING (host, template), prior
+)
+SELECT page_id, p.host, path, rule, coalesce(known, CASE WHEN t_labels >= {least_labels} AND purity >= {reject}::DOUBLE
+    THEN 'block' ELSE 'allow' END) AS verdict, template, purity
+FROM shaped p JOIN known_templates t ON p.host = t.host AND p.shape = t.shape"""
+    )
+    return ",\n".join(parts)
+
+
+def quality_rules(common, guard_chars, guard_words, guard_reference, class_distance, word_distance) -> str:
+    """Base counts, histograms and Jensen-Shannon distances, all by lists and groups."""
+    space = r"\x20\x09-\x0D"
+    marks = r""".,;:!?'"()\-\[\]{}/\\_`#*$%&|<>"""
+    classes = [
+        "[a-z]", "[A-Z]", "[0-9]", f"[{space}]", r"""[.,;:!?'"()\-\[\]{}/\\_`+=@^~]""", "[#*$%&|<>]",
+        r"[\x00-\x08\x0E-\x1F\x7F]", r"[\x{80}-\x{7FF}]", r"[\x{800}-\x{FFFF}]", r"[\x{10000}-\x{10FFFF}]",
+    ]
+    quoted = [c.replace("'", "''") for c in classes]
+    counts = ", ".join(f"length(text) - length(regexp_replace(text, '{c}', '', 'g'))" for c in quoted)
+    shares = ", ".join(f"CAST(sum(classes[{k + 1}]) AS DOUBLE)" for k in range(len(classes)))
+
+    def distance(p: str, q: str, bins: int) -> str:
+        def part(x: str, y: str) -> str:
+            return f"CASE WHEN {x} > 0 THEN {x} * log2({x} / (({x} + {y}) / 2)) ELSE 0 END"
+
+        a, b = f"{p}[i] / list_sum({p})", f"{q}[i] / list_sum({q})"
+        terms = f"list_sum(list_transform(range(1, {bins + 1}), lambda i: {part(a, b)} + {part(b, a)}))"
+        return f"CASE WHEN list_sum({p}) > 0 AND list_sum({q}) > 0 THEN sqrt(greatest({terms} / 2, 0)) ELSE 0 END"
+
+    return f"""WITH docs AS (
+  SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang FROM documents
+), cut AS (
+  SELECT *, regexp_extract_all(text, '[^{space}]+') AS words, [{counts}] AS classes,
+    list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^{space}]')) AS lines,
+    regexp_extract_all(translate(regexp_replace(text, '[{marks.replace("'", "''")}]', ' ', 'g'),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^{space}]+') AS common
+  FROM docs
+), windows AS (
+  SELECT id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS w
+  FROM cut, unnest(range(1, len(words) - 1)) AS r(i)
+), again AS (
+  SELECT id, count(DISTINCT place) AS n_repeat_words FROM (
+    SELECT id, unnest([i, i + 1, i + 2]) AS place FROM (
+      SELECT *, count(*) OVER (PARTITION BY id, w) AS n FROM windows) WHERE n > 1)
+  GROUP BY id
+), counted AS (
+  SELECT cut.*, len(words) AS n_words, length(regexp_replace(text, '[{space}]', '', 'g')) AS word_chars,
+    classes[6] AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM cut LEFT JOIN again USING (id)
+), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted
+), totals AS (
+  SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(common) AS word FROM judged WHERE NOT base_failed) GROUP BY ALL
+), best AS (
+  SELECT lang, list(word ORDER BY n DESC, word) AS best, list(n ORDER BY n DESC, word) AS best_n
+  FROM (SELECT * FROM totals QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= {common}) GROUP BY lang
+), known AS (
+  SELECT lang, best, sum_n, class_n, list_concat(list_transform(best_n, lambda x: CAST(x AS DOUBLE)),
+    [CAST(sum_n - list_sum(best_n) AS DOUBLE)]) AS word_n
+  FROM best JOIN (SELECT lang, sum(n) AS sum_n FROM totals GROUP BY lang) USING (lang)
+  JOIN (SELECT lang, [{shares}] AS class_n FROM judged WHERE NOT base_failed GROUP BY lang) USING (lang)
+), tallied AS (
+  SELECT id, map_from_entries(list((word, n))) AS found FROM (
+    SELECT id, word, count(*) AS n FROM (SELECT id, unnest(common) AS word FROM judged) GROUP BY ALL) GROUP BY id
+), met AS (
+  SELECT j.*, k.*  EXCLUDE (lang), list_transform(classes, lambda c: CAST(c AS DOUBLE)) AS own_class,
+    list_transform(best, lambda w: CAST(coalesce(found[w], 0) AS DOUBLE)) AS own_words
+  FROM judged j LEFT JOIN known k ON j.lang = k.lang LEFT JOIN tallied t ON j.id = t.id
+), ready AS (
+  SELECT *, list_concat(own_words, [CAST(len(common) - list_sum(own_words) AS DOUBLE)]) AS own_word_bins FROM met
+), measured AS (
+  SELECT *, CASE WHEN sum_n >= {guard_reference} AND word_chars >= {guard_chars}
+      THEN {distance("own_class", "class_n", len(classes))} END AS by_class,
+    CASE WHEN sum_n >= {guard_reference} AND n_words >= {guard_words}
+      THEN {distance("own_word_bins", "word_n", common + 1)} END AS by_word
+  FROM ready
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  round(by_class, 6) AS class_distance, round(by_word, 6) AS word_distance,
+  NOT base_failed AND coalesce(by_class, 0) <= {class_distance} AND coalesce(by_word, 0) <= {word_distance} AS kept
+FROM measured"""

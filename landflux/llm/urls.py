@@ -26,7 +26,7 @@ Z = 2.58  # for the test between a child and its siblings
 LEAST_LABELS = 5  # labelled URLs of a template that may be rejected
 SMOOTHING = 4.0  # weight of the prior in labels
 REJECT = 0.8  # smoothed share of blocked labels
-IDENTIFIER = r"^(?:[0-9]+|[0-9a-fA-F]{8,}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|(?=(?:[^0-9]*[0-9]){4})[^.]+)((?:\.[A-Za-z]{1,5})?)$"
+IDENTIFIER = r"^(?:[0-9]+|[0-9a-fA-F]{8,}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|(?:[^0-9.]*[0-9]){4}[^.]*)((?:\.[A-Za-z]{1,5})?)$"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
