@@ -25,7 +25,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 SLICE_BYTES = 1 << 20  # text handled at once in a task
 SLICE_IDS = 1 << 19  # ids decoded at once
-MOST_WORDS = 200_000  # words remembered in a task
+MOST_WORDS = 100_000  # words remembered in a task
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -55,7 +55,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
 
 
 class Vocabulary:
-    """Pieces of a model file, with the ranks of all pairs that merge."""
+    """Pieces of a model file, what they decode to, and for encoding the ranks of all pairs."""
 
     def __init__(self, data: bytes) -> None:
         pieces, scores, kinds = [], [], []
@@ -81,6 +81,20 @@ class Vocabulary:
         for i, (piece, kind) in enumerate(zip(pieces, kinds, strict=True)):
             if kind == BYTE:
                 self.byte_ids[int(piece[3:5], 16)] = i
+        self._normal, self._scores = normal_ids, scores
+        # what each id decodes to
+        self.bytes = [
+            bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN else p.replace(SPACE, " ").encode()
+            for p, k in zip(pieces, kinds, strict=True)
+        ]
+        self.is_byte = np.array([k == BYTE for k in kinds])
+        self.byte_lengths = np.array([len(b) for b in self.bytes], np.int64)
+        self.byte_starts = np.concatenate(([0], np.cumsum(self.byte_lengths)[:-1]))
+        self.byte_pool = np.frombuffer(b"".join(self.bytes), np.uint8)
+
+    def load_merges(self) -> None:
+        """What only encoding needs: symbols, pair ranks, and where words end."""
+        pieces, scores, normal_ids = self.pieces, self._scores, self._normal
         # characters of pieces that are no piece themselves get ids above the vocabulary
         self.symbols = {p: i for p, i in normal_ids.items() if len(p) == 1}
         for piece in normal_ids:
@@ -100,15 +114,6 @@ class Vocabulary:
         self.pair_keys = keys
         self.pair_ranks = np.array([pairs[k][0] for k in keys.tolist()], np.int64)
         self.pair_ids = np.array([pairs[k][1] for k in keys.tolist()], np.int64)
-        # what each id decodes to
-        self.bytes = [
-            bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN else p.replace(SPACE, " ").encode()
-            for p, k in zip(pieces, kinds, strict=True)
-        ]
-        self.is_byte = np.array([k == BYTE for k in kinds])
-        self.byte_lengths = np.array([len(b) for b in self.bytes], np.int64)
-        self.byte_starts = np.concatenate(([0], np.cumsum(self.byte_lengths)[:-1]))
-        self.byte_pool = np.frombuffer(b"".join(self.bytes), np.uint8)
         # no piece reaches over the start of a space run or a line end, if the vocabulary has none that does
         inner = any(SPACE in p.lstrip(SPACE) for p in normal_ids)
         lines = any("\n" in p and len(p) > 1 for p in normal_ids)
@@ -229,6 +234,7 @@ class Encoder:
     """Encoding of whole texts that remembers its words."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
+        vocabulary.load_merges()
         self.vocabulary = vocabulary
         self.known: dict[str, np.ndarray] = {}
 

@@ -45,6 +45,11 @@ def op4_secret_scans(spark, folder):
     return secrets.digests(_table(spark, folder, "documents"))
 
 
+SQL["op4_secret_scans"] = sql.secret_scans(
+    secrets.ACCESS, secrets.HEX, secrets.RUN, secrets.LEAST_VALUE, secrets.CLASSES, secrets.ALLOWED
+)
+
+
 SQL["op2_chat_formatting"] = sql.OP2_CHAT
 
 

@@ -27,10 +27,13 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 
 
+RUN = r"[A-Za-z0-9+/_=-]{24,}"  # candidates: maximal runs
+
+
 @dataclass(frozen=True)
 class EntropyClass:
     kind: str
-    pattern: str  # maximal candidate strings
+    needs: tuple[str, ...]  # patterns a candidate must match
     alphabet: str
     window: int
     least: float  # bits a character
@@ -38,10 +41,10 @@ class EntropyClass:
 
 # upper-case hex and mixed letters with digits; lower-case hex has its own rule
 CLASSES = [
-    EntropyClass("hex_entropy", r"(?<![A-Za-z0-9+/_=-])[0-9A-F]{32,}(?![A-Za-z0-9+/_=-])", "0123456789ABCDEF", 32, 3.0),
+    EntropyClass("hex_entropy", (r"^[0-9A-F]{32,}$",), "0123456789ABCDEF", 32, 3.0),
     EntropyClass(
         "mixed_entropy",
-        r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[^a-z]*[a-z])(?=[^A-Z]*[A-Z])[A-Za-z0-9+/_=-]{24,}",
+        ("[0-9]", "[a-z]", "[A-Z]"),
         "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-",
         24,
         3.9,
@@ -64,7 +67,7 @@ def _located(text: Column, pattern: str, kind: str, where: Column | None = None)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPANS).alias("spans"))
-    rank = F.lit(KINDS.index(kind))
+    rank = F.lit(KINDS.index(kind) if kind in KINDS else len(KINDS))
 
     def step(acc: Column, pair: Column) -> Column:
         begin = acc["at"] + F.length(pair["gap"])
@@ -127,12 +130,22 @@ def peak_entropy(value: Column, cls: EntropyClass) -> Column:
     return F.aggregate(steps, empty, step)["most"]
 
 
-def _high_entropy(text: Column, cls: EntropyClass) -> Column:
-    def allowed(value: Column) -> Column:
-        return reduce(Column.__or__, [value.rlike(p) for p in ALLOWED])
-
-    return F.filter(
-        _located(text, cls.pattern, cls.kind), lambda s: ~allowed(s["value"]) & (peak_entropy(s["value"], cls) >= cls.least)
+def _high_entropy(runs: Column, cls: EntropyClass) -> Column:
+    def reported(s: Column) -> Column:
+        value = s["value"]
+        allowed = reduce(Column.__or__, [value.rlike(p) for p in ALLOWED])
+        needed = reduce(Column.__and__, [value.rlike(p) for p in cls.needs])
+        return needed & ~allowed & (peak_entropy(value, cls) >= cls.least)
+
+    return F.transform(
+        F.filter(runs, reported),
+        lambda s: F.struct(
+            s["start"].alias("start"),
+            F.lit(KINDS.index(cls.kind)).alias("rank"),
+            F.lit(cls.kind).alias("kind"),
+            s["end"].alias("end"),
+            s["value"].alias("value"),
+        ),
     )
 
 
@@ -154,8 +167,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
         _located(text, ACCESS, "access", text.contains("AKIA")),
         _located(text, HEX, "hex"),
     )
-    found = docs.withColumn("secret_spans", base)
-    added = F.concat(*[_high_entropy(text, c) for c in CLASSES])
+    found = docs.withColumn("secret_spans", base).withColumn("_runs", _located(text, RUN, "run"))
+    added = F.concat(*[_high_entropy(F.col("_runs"), c) for c in CLASSES])
     found = found.withColumn(
         "secret_spans",
         F.concat(
@@ -166,7 +179,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
             ),
         ),
     )
-    return found.withColumn("secret_spans", F.sort_array("secret_spans"))
+    return found.withColumn("secret_spans", F.sort_array("secret_spans")).drop("_runs")
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:

@@ -246,3 +246,55 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   round(by_class, 6) AS class_distance, round(by_word, 6) AS word_distance,
   NOT base_failed AND coalesce(by_class, 0) <= {class_distance} AND coalesce(by_word, 0) <= {word_distance} AS kept
 FROM measured"""
+
+
+def secret_scans(access, hex_, run, least_value, classes, allowed) -> str:
+    """Matches and the pieces between them give the places; windows are counted anew for the entropy."""
+    words = ["password", "passwd", "secret", "token", "api_?key"]
+    cased = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in words)
+    assign = rf"""({cased})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+    patterns = [("assign", assign), ("access", access), ("hex", hex_), ("run", run)]
+    hits = " UNION ALL ".join(
+        f"""SELECT id, '{kind}' AS kind, {rank} AS rank, regexp_extract_all(text, '{p}') AS m,
+    string_split_regex(text, '{p}') AS gaps FROM docs"""
+        for rank, (kind, p) in enumerate(patterns)
+    )
+    plain = [f"NOT regexp_matches(value, '{p}')" for p in allowed if r"\1" not in p]
+    repeated = [
+        f"NOT (length(value) >= {2 * n} AND length(value) % {n} = 0 AND value = repeat(value[1:{n}], length(value) // {n}))"
+        for n in range(1, 5)
+    ]
+    kinds = []
+    for rank, c in enumerate(classes, start=3):
+        needs = " AND ".join(f"regexp_matches(value, '{p}')" for p in c.needs)
+        kinds.append(
+            f"""SELECT id, '{c.kind}' AS kind, {rank} AS rank, start, ending FROM (
+    SELECT *, list_max(list_transform(range(1, length(value) - {c.window} + 2), lambda i:
+      list_sum(list_transform(list_distinct(string_split(value[i:i + {c.window - 1}], '')), lambda ch:
+        -(len(list_filter(string_split(value[i:i + {c.window - 1}], ''), lambda x: x = ch)) / {c.window}.0::DOUBLE)
+        * log2(len(list_filter(string_split(value[i:i + {c.window - 1}], ''), lambda x: x = ch)) / {c.window}.0::DOUBLE))))) AS bits
+    FROM placed WHERE kind = 'run' AND {needs} AND {" AND ".join(plain + repeated)}) WHERE bits >= {c.least}::DOUBLE"""
+        )
+    count = lambda kind: f"count(*) FILTER (kind = '{kind}') AS n_{kind}"
+    text = "kind || ':' || start || ':' || ending"
+    return f"""WITH docs AS (
+  SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents
+), hits AS ({hits}), placed AS (
+  SELECT id, kind, rank, m[k] AS value, start, start + length(m[k]) AS ending FROM (
+    SELECT *, list_sum(list_transform(gaps[1:k], lambda x: length(x)))
+      + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS start
+    FROM hits, unnest(range(1, len(m) + 1)) AS r(k))
+), base AS (
+  SELECT id, kind, rank, start, ending FROM placed
+  WHERE kind IN ('access', 'hex') OR kind = 'assign' AND length(regexp_extract(value, '{assign}', 2)) >= {least_value}
+), added AS ({" UNION ALL ".join(kinds)}), spans AS (
+  SELECT * FROM base UNION ALL SELECT * FROM added a WHERE NOT EXISTS (
+    SELECT 1 FROM base b WHERE a.id = b.id AND b.start < a.ending AND a.start < b.ending)
+), joined AS (
+  SELECT id, {count("assign")}, {count("access")}, {count("hex")},
+    string_agg({text}, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg({text}, ',' ORDER BY start, rank) AS spans
+  FROM spans GROUP BY id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN joined USING (id)"""
