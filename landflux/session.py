@@ -21,6 +21,8 @@ RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # texts are long: smaller batches keep Python workers small
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     # sessions of one tower are merged before the shuffle
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
