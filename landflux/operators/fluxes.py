@@ -53,15 +53,16 @@ def _legacy_years(period: int, until: int) -> str:
 def _part(pool: str, value: str, gas: str = "CO2") -> str:
     """One ledger row of an entry: ``pool`` is a name or, after ``=``, a column."""
     pool = pool[1:] if pool.startswith("=") else f"'{pool}'"
-    return f"struct({pool} as pool, '{gas}' as gas, {amount_sql(value)} as amount)"
+    unit = "tC" if gas == "CO2" else "t gas"
+    return f"struct({pool} as pool, '{gas}' as gas, {amount_sql(value)} as amount, '{unit}' as unit)"
 
 
-def _entries(df: DataFrame, process: str, parts: list[str], unit: str = "tC") -> DataFrame:
+def _entries(df: DataFrame, process: str, parts: list[str]) -> DataFrame:
     return (
         df.selectExpr("unit_id", "cast(year as int) as year", f"inline(array({', '.join(parts)}))")
         .filter("amount is not null")
         .selectExpr(
-            "unit_id", "year", "pool", f"'{process}' as process", "gas", "amount", f"'{unit}' as unit"
+            "unit_id", "year", "pool", f"'{process}' as process", "gas", "amount", "unit"
         )
     )
 
@@ -82,6 +83,8 @@ def harvest_carbon(disturbance: DataFrame, units: DataFrame, factor: DataFrame)
         .selectExpr("unit_id", "year(event_date) as year", "volume_m3")
         .groupBy("unit_id", "year")
         .agg(F.expr("cast(sum(volume_m3) as double) as volume"))
+        # nothing is booked without a volume; and as the factor keys need it too, both read one shuffle
+        .filter("volume is not null")
         .join(_unit_columns(units), "unit_id")
         .withColumn("land_use", F.lit("forest"))
     )
@@ -113,20 +116,44 @@ def burned_units(disturbance: DataFrame, state: DataFrame, units: DataFrame) ->
         disturbance.filter("kind = 'fire'")
         .selectExpr("unit_id", "year(event_date) as year", f"cast(severity as {MONEY}) as severity")
         .groupBy("unit_id", "year")
-        .agg(F.expr("least(cast(sum(severity) as double), 1D) as severity"))
+        .agg(F.expr("cast(sum(severity) as double) as total"))
+        .filter("total is not null")
+        .selectExpr("unit_id", "year", "least(total, 1D) as severity")
     )
     return unit_years(state, units).join(fires, ["unit_id", "year"])
 
 
+_BURNT = "-(area * biomass * severity)"
+_FIRE_CARBON = [_part("AGB", _BURNT), _part("BGB", f"{_BURNT} * root_ratio")]
+_FIRE_GASES = [
+    _part("AGB", f"-(area * severity * fuel * combustion * fire_{gas} * 0.001D)", gas) for gas in ("CH4", "N2O")
+]
+_CARBON_FACTORS = ["biomass", "root_ratio"]
+_GAS_FACTORS = ["fuel", "combustion", "fire_CH4", "fire_N2O"]
+
+
+def _fires(disturbance, state, units, factor, params: list[str], parts: list[str]) -> DataFrame:
+    df = resolve_factors(burned_units(disturbance, state, units), factor, params)
+    return _entries(df, "fire", parts)
+
+
 def disturbance_loss(
     disturbance: DataFrame, state: DataFrame, units: DataFrame, factor: DataFrame
 ) -> DataFrame:
     """Ledger rows: biomass lost to fire, never more than the stock."""
-    df = resolve_factors(
-        burned_units(disturbance, state, units), factor, ["biomass", "root_ratio"]
-    )
-    above = "-(area * biomass * severity)"
-    return _entries(df, "fire", [_part("AGB", above), _part("BGB", f"{above} * root_ratio")])
+    return _fires(disturbance, state, units, factor, _CARBON_FACTORS, _FIRE_CARBON)
+
+
+def fire_non_co2(
+    disturbance: DataFrame, state: DataFrame, units: DataFrame, factor: DataFrame
+) -> DataFrame:
+    """Ledger rows: methane and nitrous oxide from fires, in tonnes of gas."""
+    return _fires(disturbance, state, units, factor, _GAS_FACTORS, _FIRE_GASES)
+
+
+def fire_fluxes(disturbance: DataFrame, state: DataFrame, units: DataFrame, factor: DataFrame) -> DataFrame:
+    """Ledger rows: ``disturbance_loss`` and ``fire_non_co2`` in one pass over the fires."""
+    return _fires(disturbance, state, units, factor, _CARBON_FACTORS + _GAS_FACTORS, _FIRE_CARBON + _FIRE_GASES)
 
 
 def gain_loss(ledger: DataFrame) -> DataFrame:
@@ -227,20 +254,6 @@ def soil_organic(state: DataFrame, units: DataFrame, factor: DataFrame) -> DataF
     return _entries(df, "drainage", [_part("SOC", "-(area * organic_share * organic_drainage)")])
 
 
-def fire_non_co2(
-    disturbance: DataFrame, state: DataFrame, units: DataFrame, factor: DataFrame
-) -> DataFrame:
-    """Ledger rows: methane and nitrous oxide from fires, in tonnes of gas."""
-    df = resolve_factors(
-        burned_units(disturbance, state, units),
-        factor,
-        ["fuel", "combustion", "fire_CH4", "fire_N2O"],
-    )
-    burned = "area * severity * fuel * combustion"
-    parts = [_part("AGB", f"-({burned} * fire_{gas} * 0.001D)", gas) for gas in ("CH4", "N2O")]
-    return _entries(df, "fire", parts, "t gas")
-
-
 def soil_n2o_direct(
     n_input: DataFrame, state: DataFrame, units: DataFrame, factor: DataFrame
 ) -> DataFrame:
@@ -249,7 +262,7 @@ def soil_n2o_direct(
         unit_years(state, units).join(n_input, ["unit_id", "year"]), factor, ["n2o_direct"]
     )
     gas = "-(cast(n_tonnes as double) * n2o_direct * (44D / 28D))"
-    return _entries(df, "nitrogen", [_part("SOC", gas, "N2O")], "t gas")
+    return _entries(df, "nitrogen", [_part("SOC", gas, "N2O")])
 
 
 # Share of a year's inflow that still stands at that year's end.
@@ -334,7 +347,7 @@ def rewetting_ch4(state: DataFrame, units: DataFrame, factor: DataFrame) -> Data
         unit_years(rewetted, units), factor, ["organic_share", "rewetting_CH4"]
     )
     gas = "-(area * organic_share * rewetting_CH4)"
-    return _entries(df, "rewetting", [_part("SOC", gas, "CH4")], "t gas")
+    return _entries(df, "rewetting", [_part("SOC", gas, "CH4")])
 
 
 def delayed_decay(harvest: DataFrame, until: int) -> DataFrame:

@@ -207,11 +207,7 @@ def ledger(t):
 )
 def fire_co2e(t):
     st = inputs.state(t)
-    fire = fluxes.ledger(
-        fluxes.disturbance_loss(t.disturbance, st, t.land_unit, t.factor),
-        fluxes.fire_non_co2(t.disturbance, st, t.land_unit, t.factor),
-    )
-    return fluxes.co2e(fire, t.gwp, "AR6")
+    return fluxes.co2e(fluxes.fire_fluxes(t.disturbance, st, t.land_unit, t.factor), t.gwp, "AR6")
 
 
 @query(

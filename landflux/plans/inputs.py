@@ -40,9 +40,7 @@ def placed_ledger(t: LandTables) -> DataFrame:
     """The core ledger and all gases of fires, in CO2-equivalent, with places: what reports run on."""
     st = state(t)
     parts = fluxes.ledger(
-        core_ledger(t),
-        fluxes.disturbance_loss(t.disturbance, st, t.land_unit, t.factor),
-        fluxes.fire_non_co2(t.disturbance, st, t.land_unit, t.factor),
+        core_ledger(t), fluxes.fire_fluxes(t.disturbance, st, t.land_unit, t.factor)
     )
     return report.with_region(fluxes.in_co2e(parts, t.gwp, "AR6"), t.land_unit, t.country)
 
@@ -60,8 +58,7 @@ def full_ledger(t: LandTables) -> DataFrame:
         fluxes.harvest_gains(cut),
         fluxes.product_decay(cut, until=t.years[1]),
         fluxes.delayed_decay(cut, until=t.years[1]),
-        fluxes.disturbance_loss(t.disturbance, st, t.land_unit, t.factor),
-        fluxes.fire_non_co2(t.disturbance, st, t.land_unit, t.factor),
+        fluxes.fire_fluxes(t.disturbance, st, t.land_unit, t.factor),
         fluxes.conversion_biomass(st, t.land_unit, t.factor),
         fluxes.dom_conversion(st, t.land_unit, t.factor, period=4, until=t.years[1]),
         fluxes.soil_mineral(st, t.land_unit, t.factor, until=t.years[1]),
