@@ -60,9 +60,11 @@ def all_carbon_check(entries: DataFrame, stocks: DataFrame, tolerance: float = 0
     """
     keys = ["unit_id", "year", "pool"]
     none = F.lit(None).cast(MONEY)
-    held = stocks.groupBy(*keys).agg(F.sum("stock").cast(MONEY).alias("stock"))
-    flows = entries.filter("gas = 'CO2'").groupBy(*keys).agg(F.sum("amount").cast(MONEY).alias("flux"))
-    rows = held.withColumn("flux", none).unionByName(flows.withColumn("stock", none))
+    held = stocks.select(*keys, F.col("stock").cast(MONEY).alias("stock"), none.alias("flux"))
+    flows = entries.filter("gas = 'CO2'").select(*keys, none.alias("stock"), F.col("amount").alias("flux"))
+    # dealt out once: sums and windows below all keep units and pools together
+    rows = held.unionByName(flows).repartition("unit_id", "pool").groupBy(*keys)
+    rows = rows.agg(F.sum("stock").cast(MONEY).alias("stock"), F.sum("flux").cast(MONEY).alias("flux"))
     own = Window.partitionBy("unit_id", "pool").orderBy("year")
     ahead = own.rangeBetween(0, Window.unboundedFollowing)
     stock_year = F.when(F.col("stock").isNotNull(), F.col("year"))

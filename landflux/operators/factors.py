@@ -82,6 +82,29 @@ def resolve_factors(
     on = {"country_id": "country_id", "zone": "zone", "land_use": land_use}
     have = [k for k in SCOPE if on[k] in df.columns]
     keys = df.select(*[F.col(on[k]).alias(f"_k_{k}") for k in have], F.col(year).alias("_k_year")).distinct()
+    return _with_answer(df, _best(keys, factor, params, have), params, on, have, year, names, with_tier)
+
+
+def resolve_both(df: DataFrame, factor: DataFrame, params: list[str], sides: dict[str, str]) -> DataFrame:
+    """Factors for several class columns of a row: ``sides`` names each column's suffix.
+
+    The keys of all sides are resolved at once; each side joins the same answer.
+    """
+    have = [k for k in SCOPE if k == "land_use" or k in df.columns]
+    keys = df.select(
+        *[F.col(k).alias(f"_k_{k}") for k in have if k != "land_use"],
+        F.col("year").alias("_k_year"),
+        F.explode(F.array(*sides)).alias("_k_land_use"),
+    ).distinct()
+    best = _best(keys, factor, params, have)
+    for column, suffix in sides.items():
+        on = {"country_id": "country_id", "zone": "zone", "land_use": column}
+        names = {p: f"{p}_{suffix}" for p in params}
+        df = _with_answer(df, best, params, on, have, "year", names, False)
+    return df
+
+
+def _with_answer(df, best, params, on, have, year, names, with_tier) -> DataFrame:
     match = F.col(year).eqNullSafe(F.col("_k_year"))
     for k in have:
         match &= F.col(on[k]).eqNullSafe(F.col(f"_k_{k}"))
@@ -91,7 +114,7 @@ def resolve_factors(
         added.append(F.col(f"_{p}.value").alias(name))
         if with_tier:
             added += [F.col(f"_{p}.tier").alias(f"{name}_tier"), F.col(f"_{p}.unc").alias(f"{name}_unc")]
-    return df.join(_best(keys, factor, params, have), match, "left").select(*df.columns, *added)
+    return df.join(best, match, "left").select(*df.columns, *added)
 
 
 def resolve_factor(df: DataFrame, factor: DataFrame, param: str, **options) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landflux.functions.amounts import CO2_PER_C, amount, amount_sql
-from landflux.operators.factors import resolve_factors
+from landflux.operators.factors import resolve_both, resolve_factors
 from landflux.operators.land import changes, land_use_spells
 from landflux.sources.schemas import LEDGER_COLUMNS, MONEY
 
@@ -33,10 +33,7 @@ def unit_changes(state: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def _before_and_after(df: DataFrame, factor: DataFrame, params: list[str]) -> DataFrame:
-    for side in ("from", "to"):
-        names = {p: f"{p}_{side}" for p in params}
-        df = resolve_factors(df, factor, params, land_use=f"use_{side}", names=names)
-    return df
+    return resolve_both(df, factor, params, {"use_from": "from", "use_to": "to"})
 
 
 def _legacy_years(period: int, until: int) -> str:
