@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from landflux.llm.store import Store
+from landflux.llm.store import Store, other_columns, sets_aside
 
 MOST_EPOCHS = 3
 SLICES = 1024  # equal parts of a source's key range on a log scale, each sorted on its own
@@ -72,6 +72,7 @@ def targets(sources: DataFrame, most: int = MOST_EPOCHS) -> DataFrame:
     return free.select(*sources.columns, share.alias("target"))
 
 
+@sets_aside("_key", "_slice", "_source", "_before", "_budget", "_inner")
 def mix(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with size, source_size, target, epochs, sampled and taken.
 
@@ -83,8 +84,7 @@ def mix(docs: DataFrame) -> DataFrame:
     stays empty.
     """
     results = ["size", "source_size", "target", "epochs", "sampled", "taken"]
-    own = [c for c in docs.columns if c not in results]
-    return take(measure(docs.select(*own)))
+    return take(measure(docs.select(*other_columns(docs, results))))
 
 
 def measure(docs: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from landflux.llm.store import Store
+from landflux.llm.store import Store, other_columns, sets_aside
 
 LEAST_WORDS = 50  # base rule
 MOST_REPEATED = 50  # base rule: percent of words in repeated windows
@@ -207,6 +207,7 @@ def references(docs: DataFrame, store: Store) -> DataFrame:
     return joined.select("_lang", F.struct("words", "counts", "n", "classes").cast(REFERENCE).alias("_reference"))
 
 
+@sets_aside("_lang", "_reference")
 def judge(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with counts, distances (null where a guard holds), base_failed and kept.
 
@@ -216,7 +217,7 @@ def judge(docs: DataFrame) -> DataFrame:
     named like a result are replaced. An empty table stays empty.
     """
     results = [*COUNTS, "base_failed", "class_distance", "word_distance", "kept"]
-    own = [c for c in docs.columns if c not in results]
+    own = other_columns(docs, results)
     store = Store(docs.sparkSession, "quality")
     inner = docs.select(*own, F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("_lang"))
     known = store.keep(references(inner.select("_lang", "text"), store))

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landflux.llm.batches import slices
-from landflux.llm.store import Store
+from landflux.llm.store import Store, other_columns, sets_aside
 
 LENGTH = 400
 GRAM = 8
@@ -222,6 +222,7 @@ def _cut(batches, length: int, names: list[str]):
         )
 
 
+@sets_aside("_text", "_row", "ranges", "shared")
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The rows of ``docs`` with kept (bytes), n_bytes, n_removed and n_spans.
 
@@ -238,7 +239,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     if length < 2 * GRAM + 2:
         raise ValueError(f"length must be {2 * GRAM + 2} or more")
     results = ["kept", "n_bytes", "n_removed", "n_spans"]
-    own = [c for c in docs.columns if c not in results]
+    own = other_columns(docs, results)
     radius = radius_of(length)
     store = Store(docs.sparkSession, "repeats")
     numbered = docs.select(*own, F.col("text").cast("binary").alias("_text"), F.monotonically_increasing_id().alias("_row"))

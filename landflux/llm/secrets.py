@@ -21,6 +21,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from landflux.llm.store import sets_aside
+
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 LEAST_VALUE = 6
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -149,6 +151,7 @@ def _high_entropy(runs: Column, cls: EntropyClass) -> Column:
     )
 
 
+@sets_aside("_runs")
 def find_secrets(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (all columns) with ``secret_spans``: start, rank, kind, end, value.
 
@@ -182,6 +185,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     return found.withColumn("secret_spans", F.sort_array("secret_spans")).drop("_runs")
 
 
+@sets_aside("_done")
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The rows of ``docs`` with every found span of the text replaced by ``mark``; overlaps become one mark."""
     found = find_secrets(docs)

@@ -4,12 +4,37 @@ from __future__ import annotations
 
 import gc
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from landflux.session import shared_dir
 
 
+def sets_aside(*inner: str) -> Callable:
+    """For an operator that adds columns named ``inner`` on its way: columns given under such names pass by.
+
+    Names are compared as Spark does, without case.
+    """
+
+    def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(operator)
+        def run(docs: DataFrame, *args, **options) -> DataFrame:
+            given = {c: f"{c}__given" for c in docs.columns if c.lower() in inner}
+            out = operator(docs.withColumnsRenamed(given), *args, **options)
+            return out.withColumnsRenamed({aside: c for c, aside in given.items()})
+
+        return run
+
+    return wrap
+
+
+def other_columns(docs: DataFrame, results: list[str]) -> list[str]:
+    """Columns of ``docs`` that no result replaces."""
+    return [c for c in docs.columns if c.lower() not in results]
+
+
 class Store:
     """Written tables of one job, in one folder of the shared folder.
 

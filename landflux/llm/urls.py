@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landflux.llm.store import Store
+from landflux.llm.store import Store, other_columns, sets_aside
 
 DEPTH = 6  # levels of a tree; what lies deeper is one wildcard
 MANY = 50  # children of a node from which rare ones count as variable
@@ -124,6 +124,7 @@ def templates(urls: DataFrame, store: Store) -> DataFrame:
     )
 
 
+@sets_aside("_rule", "_shape", "n_labels")
 def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url") -> DataFrame:
     """The rows of ``pages`` with host, path, rule, verdict, template and purity.
 
@@ -133,7 +134,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url") -> DataFra
     empty.
     """
     results = ["host", "path", "rule", "verdict", "template", "purity"]
-    own = [c for c in pages.columns if c not in results]
+    own = other_columns(pages, results)
     store = Store(pages.sparkSession, "urls")
     address = F.col(f"`{url}`")
     read = pages.select(*own, host_of(address).alias("host"), path_of(address).alias("path"))
