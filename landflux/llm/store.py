@@ -64,7 +64,7 @@ class Store:
         path = f"{self.root}/{self.count}"
         self.count += 1
         writer = df.repartition(number, key).write.bucketBy(number, key).sortBy(key)
-        writer.option("path", path).saveAsTable(name)
+        writer.option("path", path).option("compression", "zstd").saveAsTable(name)
         return self.spark.table(name)
 
     def release(self) -> None:
