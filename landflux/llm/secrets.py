@@ -10,7 +10,8 @@ in the state, and a step changes the counts of the character that enters and of
 the one that leaves. With S the sum of c log2 c over the counts c, the entropy
 of a window of w characters is log2 w - S / w, and S changes by the two terms
 alone. A candidate is reported if its highest window entropy reaches the bound
-of its class and no allow rule suppresses it.
+of its class and no allow rule suppresses it. A candidate that is not, or that
+holds a known form, is taken apart, and its parts are candidates again.
 """
 
 from __future__ import annotations
@@ -61,6 +62,7 @@ ALLOWED = [
     r"^(.{1,4})\1+$",
 ]
 KINDS = ["assign", "access", "hex", *(c.kind for c in CLASSES)]
+PIECES = "array<struct<start:bigint,end:bigint,value:string>>"
 SPANS = "array<struct<start:bigint,rank:int,kind:string,end:bigint,value:string>>"
 
 
@@ -132,34 +134,94 @@ def peak_entropy(value: Column, cls: EntropyClass) -> Column:
     return F.aggregate(steps, empty, step)["most"]
 
 
-def _high_entropy(runs: Column, cls: EntropyClass) -> Column:
-    def reported(s: Column) -> Column:
-        value = s["value"]
-        allowed = reduce(Column.__or__, [value.rlike(p) for p in ALLOWED])
-        needed = reduce(Column.__and__, [value.rlike(p) for p in cls.needs])
-        return needed & ~allowed & (peak_entropy(value, cls) >= cls.least)
+def _kind(value: Column) -> Column:
+    """Name of the class whose bound a string reaches, null if none or if an allow rule holds."""
+    allowed = reduce(Column.__or__, [value.rlike(p) for p in ALLOWED])
+    reached = [
+        F.when(reduce(Column.__and__, [value.rlike(p) for p in c.needs]) & (peak_entropy(value, c) >= c.least), F.lit(c.kind))
+        for c in CLASSES
+    ]
+    return F.when(~allowed & (F.length(value) >= min(c.window for c in CLASSES)), F.coalesce(*reached))
 
+
+def _piece(start: Column, end: Column, value: Column) -> Column:
+    return F.struct(start.alias("start"), end.alias("end"), value.alias("value"))
+
+
+def _overlapping(s: Column, spans: Column) -> Column:
+    return F.filter(spans, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+
+
+def _cut(s: Column, spans: Column) -> Column:
+    """What spans, sorted by start, leave of the string ``s``, in pieces."""
+    sub = lambda a, b: _piece(a, b, F.substring(s["value"], (a - s["start"] + 1).cast("int"), (b - a).cast("int")))
+    start = F.struct(s["start"].alias("at"), F.array().cast(PIECES).alias("pieces"))
+
+    def step(acc: Column, b: Column) -> Column:
+        return F.struct(
+            F.greatest(acc["at"], b["end"]).alias("at"),
+            F.when(b["start"] > acc["at"], F.concat(acc["pieces"], F.array(sub(acc["at"], b["start"]))))
+            .otherwise(acc["pieces"])
+            .alias("pieces"),
+        )
+
+    def rest(acc: Column) -> Column:
+        return F.when(acc["at"] < s["end"], F.concat(acc["pieces"], F.array(sub(acc["at"], s["end"])))).otherwise(acc["pieces"])
+
+    return F.aggregate(_overlapping(s, spans), start, step, rest)
+
+
+def _parts(s: Column) -> Column:
+    """Names and values of a run, divided at "="; padding stays with the last."""
     return F.transform(
-        F.filter(runs, reported),
+        _located(s["value"], "[^=]+={0,2}$|[^=]+", "run"),
+        lambda p: _piece(s["start"] + p["start"], s["start"] + p["end"], p["value"]),
+    )
+
+
+def _named(strings: Column, spans: Column) -> Column:
+    """``strings`` with ``free`` (no span overlaps it) and ``kind`` (of its class)."""
+    return F.transform(
+        strings,
         lambda s: F.struct(
             s["start"].alias("start"),
-            F.lit(KINDS.index(cls.kind)).alias("rank"),
-            F.lit(cls.kind).alias("kind"),
             s["end"].alias("end"),
             s["value"].alias("value"),
+            (F.size(_overlapping(s, spans)) == 0).alias("free"),
+            _kind(s["value"]).alias("kind"),
         ),
     )
 
 
-@sets_aside("_runs")
+def _spans(named: Column) -> Column:
+    rank = F.coalesce(*[F.when(named["kind"] == k, F.lit(n)) for n, k in enumerate(KINDS)])
+    return F.struct(
+        named["start"].alias("start"), rank.alias("rank"), named["kind"].alias("kind"), named["end"].alias("end"), named["value"].alias("value")
+    )
+
+
+def _beside(p: Column) -> Column:
+    """Letters and digits of a piece that touch the known forms inside a reported string."""
+    head = F.when(p["start"] > p["first"], F.regexp_extract(p["value"], "^[A-Za-z0-9]+", 0)).otherwise(F.lit(""))
+    tail = F.when(p["end"] < p["last"], F.regexp_extract(p["value"], "[A-Za-z0-9]+$", 0)).otherwise(F.lit(""))
+    span = lambda start, value: F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), p["whole"].alias("kind"))
+    both = F.array(span(p["start"], head), span(p["end"] - F.length(tail), tail))
+    return F.array_distinct(F.filter(both, lambda s: F.length(s["value"]) > 0))
+
+
+@sets_aside("_runs", "_parts", "_pieces")
 def find_secrets(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (all columns) with ``secret_spans``: start, rank, kind, end, value.
 
     ``docs`` needs a ``text`` column; a null text counts as empty. Whole texts
     are scanned, rows are independent, and no row is dropped, so ties, repeats
     and empty tables need no rule. An existing ``secret_spans`` is replaced. Spans
-    of known forms (assign, access, hex) are always kept; an entropy span that
-    overlaps one of them is left out. Sorted by start, then kind as in ``KINDS``.
+    of known forms (assign, access, hex) are always kept, and no entropy span
+    overlaps them. A run that holds known forms, or is not reported as a whole, is
+    divided at "=" into names and values, and the known forms are cut out; each
+    part is judged by itself, with the allow list. Where a part is reported with
+    the access ids or hex strings it holds, the letters and digits that touch those
+    are spans too, however short. Sorted by start, then kind as in ``KINDS``.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     low = F.lower(text)
@@ -170,19 +232,42 @@ def find_secrets(docs: DataFrame) -> DataFrame:
         _located(text, ACCESS, "access", text.contains("AKIA")),
         _located(text, HEX, "hex"),
     )
-    found = docs.withColumn("secret_spans", base).withColumn("_runs", _located(text, RUN, "run"))
-    added = F.concat(*[_high_entropy(F.col("_runs"), c) for c in CLASSES])
-    found = found.withColumn(
-        "secret_spans",
-        F.concat(
-            F.col("secret_spans"),
-            F.filter(
-                added,
-                lambda s: ~F.exists("secret_spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
+    found = docs.withColumn("secret_spans", F.sort_array(base)).withColumn("_runs", _located(text, RUN, "run"))
+    # a run that is one known form leaves nothing to judge
+    spans = F.col("secret_spans")
+    covered = lambda s: F.exists(spans, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
+    found = found.withColumn("_runs", _named(F.filter("_runs", lambda s: ~covered(s)), spans))
+    whole = F.filter("_runs", lambda s: s["free"] & s["kind"].isNotNull())
+    divided = F.filter("_runs", lambda s: ~s["free"] | s["kind"].isNull() & s["value"].contains("="))
+    assigned = F.filter("secret_spans", lambda b: b["rank"] == KINDS.index("assign"))
+    parts = F.flatten(F.transform(divided, lambda s: F.flatten(F.transform(_parts(s), lambda p: _cut(p, assigned)))))
+    found = found.withColumn("_parts", _named(F.filter(parts, lambda p: ~covered(p)), spans))
+    known = F.filter("_parts", lambda p: ~p["free"])
+
+    def pieces(p: Column) -> Column:
+        return F.transform(
+            _cut(p, spans),
+            lambda s: F.struct(
+                s["start"].alias("start"),
+                s["end"].alias("end"),
+                s["value"].alias("value"),
+                _kind(s["value"]).alias("kind"),
+                p["kind"].alias("whole"),
+                p["start"].alias("first"),
+                p["end"].alias("last"),
             ),
-        ),
-    )
-    return found.withColumn("secret_spans", F.sort_array("secret_spans")).drop("_runs")
+        )
+
+    found = found.withColumn("_pieces", F.flatten(F.transform(known, pieces)))
+    beside = F.flatten(F.transform(F.filter("_pieces", lambda p: p["kind"].isNull() & p["whole"].isNotNull()), _beside))
+    added = [
+        whole,
+        F.filter("_parts", lambda p: p["free"] & p["kind"].isNotNull()),
+        F.filter("_pieces", lambda p: p["kind"].isNotNull()),
+        beside,
+    ]
+    found = found.withColumn("secret_spans", F.sort_array(F.concat(spans, *[F.transform(a, _spans) for a in added])))
+    return found.drop("_runs", "_parts", "_pieces")
 
 
 @sets_aside("_done")
