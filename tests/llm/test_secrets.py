@@ -97,6 +97,36 @@ def test_secrets_joined_to_other_strings(spark):
     assert not any(key[i : i + 6] in t for t in clean.values() for i in range(30)) and clean[2] == "sample_cfg=[SECRET] x"
 
 
+def test_every_mix_of_characters_has_a_class(spark):
+    rng = random.Random(21)
+    kinds = {
+        "lower_entropy": string.ascii_lowercase + string.digits,
+        "upper_entropy": string.ascii_uppercase + "234567",
+        "letter_entropy": string.ascii_letters,
+        "one_case_entropy": string.ascii_lowercase,
+        "mixed_entropy": string.ascii_letters + string.digits,
+        "short_hex_entropy": "0123456789ABCDEF",
+    }
+    texts, want = [], []
+    for kind, alphabet in kinds.items():
+        for _ in range(6):
+            value = "".join(rng.choice(alphabet) for _ in range(30 if "hex" in kind else 44))
+            texts.append(f"key id {value} end")
+            want.append(f"{kind}:7:{7 + len(value)}")
+    names = ["see usr/local/lib/python3/site-packages", "A_VERY_LONG_NAME_OF_SOME_CONSTANT", "2024-01-01/2024-12-31/0000-000", "anbletitionthtionbletion"]
+    rows = {r.doc_id: r.spans for r in secrets.digests(docs_of(spark, texts + names)).collect()}
+    assert [rows[i] for i in range(len(texts))] == want
+    assert all(rows[len(texts) + i] == "" for i in range(len(names)))
+    long = ["ab-" * 20_000, "ab1-" * 20_000, "ab-" * 20_000 + "cd12"]
+    assert secrets.digests(docs_of(spark, long)).filter("spans = ''").count() == len(long)
+    letters = [string.digits, string.ascii_lowercase, string.ascii_uppercase, "_/", "ABCDEF" + string.digits]
+    for _ in range(4000):
+        chosen = "".join(rng.sample(letters, rng.randint(1, 5)))
+        value = "".join(rng.choice(chosen) for _ in range(rng.choice([24, 31, 32, 40])))
+        n = sum(all(re.search(p, value) for p in c.needs) for c in secrets.CLASSES)
+        assert n == 1 or not re.search("[A-Za-z]", value), value
+
+
 def test_redaction(spark):
     texts = ["a token=abcdef123 b " + "0123456789abcdef" * 2 + " c", "clean", None]
     rows = secrets.redact(docs_of(spark, texts, lang="en")).collect()
