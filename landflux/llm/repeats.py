@@ -1,4 +1,4 @@
-"""Passages that repeat anywhere, found by merging the suffix orders of all shards.
+"""Passages that repeat anywhere, found by anchors and groups of equal hashes.
 
 A byte is removed if it lies in a string of ``length`` bytes that starts at
 another place too. Sorting all suffixes is out of the question, and so is a
