@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landflux.llm import chat, html_main, mixing, pieces, quality, repeats, secrets, simhash, sql, urls, vectors
-from landflux.session import configure
+from landflux.llm import chat, html_main, mixing, pieces, quality, repeats, secrets, sharding, simhash, sql, urls, vectors
+from landflux.session import configure, run_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -142,3 +142,18 @@ def op9_repeated_passages(spark, folder):
     return repeats.without_repeats(docs).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query
+def op11_sharding(spark, folder):
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    written = sharding.write_shards(docs, run_dir(spark, "shards"))
+    return written.select(
+        "doc_id",
+        "size",
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit(sharding.LAW).alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )

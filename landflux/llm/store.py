@@ -49,10 +49,10 @@ class Store:
         self.root = f"{shared_dir(spark)}/landflux-{name}-{uuid.uuid4().hex}"
         self.count = 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, compression: str = "snappy") -> DataFrame:
         path = f"{self.root}/{self.count}"
         self.count += 1
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._stored_at = path
         return kept
