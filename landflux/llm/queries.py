@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landflux.llm import chat, html_main, mixing, pieces, quality, repeats, secrets, sharding, simhash, sql, urls, vectors
+from landflux.llm import chat, html_main, mixing, pieces, quality, repeats, secrets, sharding, simhash, sql, turns, urls, vectors
 from landflux.session import configure, run_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,12 @@ def op11_sharding(spark, folder):
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op13_conversation_repair(spark, folder):
+    given = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return turns.report(given, turns.Repair(turns.damage(given)))
+
+
+SQL["op13_conversation_repair"] = sql.OP13_TURNS

@@ -298,3 +298,96 @@ def secret_scans(access, hex_, run, least_value, classes, allowed) -> str:
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM docs LEFT JOIN joined USING (id)"""
+
+
+def _least_edits(q: int) -> str:
+    """Cheapest edits of a row and all that follow from state ``q``, without inserts before the row."""
+    keep = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}[q]
+    after = {0: 2, 1: 2, 2: 3, 3: 2}[q]
+    kept = " ".join(f"WHEN '{role}' THEN {{'c': v[{to + 1}].c + f.cut, 'a': 'K' || v[{to + 1}].a}}" for role, to in keep.items())
+    return (
+        f"list_sort(list_filter([{{'c': v[{q + 1}].c + 3, 'a': 'D' || v[{q + 1}].a}}, "
+        f"CASE WHEN f.gone THEN NULL ELSE CASE f.initial {kept} END END, "
+        f"CASE WHEN f.gone THEN NULL ELSE {{'c': v[{after + 1}].c + f.cut + 2, 'a': 'R' || v[{after + 1}].a}} END"
+        "], lambda x: x IS NOT NULL))[1]"
+    )
+
+
+def _with_inserts(q: int) -> str:
+    after = (2, 2, 3, 2)
+    one, two = after[q] + 1, after[after[q]] + 1
+    return (
+        f"list_sort([p[{q + 1}], {{'c': p[{one}].c + 2, 'a': 'I' || p[{one}].a}}, "
+        f"{{'c': p[{two}].c + 4, 'a': 'II' || p[{two}].a}}])[1]"
+    )
+
+
+# The checksum takes a byte's eight bits one by one: the byte is mixed in before the first.
+OP13_TURNS = rf"""
+WITH RECURSIVE told AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '') AS signs
+  FROM conversations
+), summed AS (
+  SELECT *, xor(list_reduce(
+      list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(signs, lambda s: [CAST(ord(s) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+      lambda c, x: CASE WHEN xor(c, x) % 2 = 1 THEN xor(xor(c, x) >> 1, CAST(3988292384 AS BIGINT)) ELSE xor(c, x) >> 1 END
+    ), CAST(4294967295 AS BIGINT)) % 20 AS fault
+  FROM told
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM summed
+), placed AS (
+  SELECT conv_id, turn, role, text, substr(role, 1, 1) AS initial,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i
+  FROM damaged
+), judged AS (
+  SELECT *, NOT regexp_matches(text, '[^ 	-]') AS blank,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][ 	-]*$') AS open,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair
+  FROM placed
+), faulted AS (
+  SELECT conv_id, i, role, text, initial, blank OR again AS gone,
+    CAST(open AND NOT blank AND NOT again AS INTEGER) AS cut
+  FROM judged
+), counted AS (
+  SELECT conv_id, count(*) AS n, CASE WHEN count(turn) = 0 THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps,
+    count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+    count(*) FILTER (open AND NOT blank AND NOT again) AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id
+), solved AS (
+  SELECT conv_id, n AS i, [{{'c': CAST(0 AS BIGINT), 'a': ''}}, {{'c': 4, 'a': 'II'}}, {{'c': 2, 'a': 'I'}}, {{'c': 0, 'a': ''}}] AS v
+  FROM counted
+  UNION ALL
+  SELECT conv_id, i - 1, [{', '.join(_with_inserts(q) for q in range(4))}] FROM (
+    SELECT s.conv_id, s.i, [{', '.join(_least_edits(q) for q in range(4))}] AS p
+    FROM solved s JOIN faulted f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.i = s.i)
+), audits AS (
+  SELECT conv_id, v[1].c AS cost, v[1].a AS audit FROM solved WHERE i = 0
+), letters AS (
+  SELECT conv_id, unnest(string_split(audit, '')) AS letter, unnest(range(length(audit))) AS k
+  FROM audits WHERE audit <> ''
+), numbered AS (
+  SELECT *, count(*) FILTER (letter <> 'I') OVER w AS i FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY k)
+), standing AS (
+  SELECT l.conv_id, l.k, l.letter, f.role, CASE WHEN l.letter = 'I' THEN '' ELSE f.text END AS text,
+    row_number() OVER w AS place, first_value(CASE WHEN l.letter = 'K' THEN f.initial ELSE '' END) OVER w = 's' AS has_s
+  FROM numbered l LEFT JOIN faulted f ON f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.i = l.i AND l.letter <> 'I'
+  WHERE l.letter <> 'D' WINDOW w AS (PARTITION BY l.conv_id ORDER BY l.k)
+), repaired AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN letter = 'K' THEN role
+      WHEN (place - CAST(has_s AS INTEGER)) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY k)) AS digest
+  FROM standing GROUP BY conv_id
+)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+  coalesce(audit, '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN audits a ON a.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id
+"""

@@ -1,0 +1,225 @@
+from __future__ import annotations
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+from functools import cache
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from landflux.llm import turns
+from landflux.llm.queries import QUERIES, SQL
+
+SMALL = "/root/testdata/sf0.001"
+TURN = "conv_id bigint, turn bigint, role string, text string"
+WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
+NEXT = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
+
+
+def faults(rows):
+    """(role, text, fault) of a conversation's rows in order."""
+    seen, out = set(), []
+    for role, text in rows:
+        body = text.strip(WHITE)
+        fault = "" if body else "blank"
+        if not fault and (role, text) in seen:
+            fault = "duplicate"
+        if not fault and body[-1] not in ".!?":
+            fault = "truncated"
+        seen.add((role, text))
+        out.append((role, text, fault))
+    return out
+
+
+def plain_repair(rows):
+    """(cost, audit, repaired rows) by costs of all suffixes, least initials among equals."""
+    found = faults(rows)
+
+    @cache
+    def plain(i, q):
+        role, text, fault = found[i]
+        cut = fault == "truncated"
+        options = [(3 + best(i + 1, q)[0], "D" + best(i + 1, q)[1], best(i + 1, q)[2])]
+        if fault not in ("blank", "duplicate"):
+            if role[:1] in NEXT[q]:
+                c, a, r = best(i + 1, NEXT[q][role[:1]])
+                options.append((c + cut, "K" + a, ((role, text), *r)))
+            for name in ("user", "assistant"):
+                if name[0] in NEXT[q]:
+                    c, a, r = best(i + 1, NEXT[q][name[0]])
+                    options.append((c + cut + 2, "R" + a, ((name, text), *r)))
+        return min(options)
+
+    @cache
+    def best(i, q):
+        if i == len(found):
+            return {0: (0, "", ()), 1: (4, "II", (("user", ""), ("assistant", ""))), 2: (2, "I", (("assistant", ""),)), 3: (0, "", ())}[q]
+        options, paid, put, at = [plain(i, q)], 0, (), q
+        for _ in range(3):
+            name = "assistant" if at == 2 else "user"
+            at, paid, put = NEXT[at][name[0]], paid + 2, (*put, (name, ""))
+            c, a, r = plain(i, at)
+            options.append((c + paid, "I" * len(put) + a, (*put, *r)))
+        return min(options)
+
+    for i in range(len(found), 0, -1):  # from the back, so that no call goes deep
+        for q in NEXT:
+            best(i, q)
+    return best(0, 0)
+
+
+def exhaustive(rows):
+    """(cost, audit) by trying every edit and every insert of up to two rows at every place."""
+    found = faults(rows)
+    inserts = ["", "u", "a", "ua", "au"]
+    least = None
+    for edits in itertools.product("DKUA", repeat=len(found)):
+        if any(f in ("blank", "duplicate") and e != "D" for (_, _, f), e in zip(found, edits, strict=True)):
+            continue
+        for put in itertools.product(inserts, repeat=len(found) + 1):
+            text, cost, audit = put[0], 2 * len(put[0]), "I" * len(put[0])
+            for (role, _, fault), e, more in zip(found, edits, put[1:], strict=True):
+                text += {"D": "", "K": role[:1], "U": "u", "A": "a"}[e] + more
+                cost += {"D": 3, "K": 0, "U": 2, "A": 2}[e] + 2 * len(more) + (fault == "truncated" and e != "D")
+                audit += {"U": "R", "A": "R"}.get(e, e) + "I" * len(more)
+            if re.fullmatch("(s?(ua)+)?", text) and (least is None or (cost, audit) < least):
+                least = cost, audit
+    return least
+
+
+def digest(rows):
+    return hashlib.sha256("\n".join(f"{r}:{t}" for r, t in rows).encode()).hexdigest()
+
+
+def in_order(rows):
+    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+
+
+def plain_report(rows):
+    """The report's columns for a conversation's (turn, role, text) rows, nulls replaced."""
+    rows = in_order(rows)
+    told = [(r, t) for _, r, t in rows]
+    found = [f for _, _, f in faults(told)]
+    known = [t for t, _, _ in rows if t is not None]
+    cost, audit, repaired = plain_repair(tuple(told))
+    illegal = sum(a[0][:1] + b[0][:1] not in ("su", "ua", "au") for a, b in itertools.pairwise(told))
+    gaps = max(known) - min(known) + 1 - len(set(known)) if known else 0
+    return (gaps, *(found.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, audit, digest(repaired))
+
+
+COLUMNS = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
+
+
+def check(spark, conversations, **options):
+    rows = [(c, t, r, x) for c, turns_ in conversations.items() for t, r, x in turns_]
+    frame = spark.createDataFrame(rows, TURN)
+    got = {r.conv_id: tuple(r[c] for c in COLUMNS) for r in turns.report(frame, turns.Repair(frame, **options)).collect()}
+    want = {c: plain_report([(t, r if r is not None else " ", x if x is not None else " ") for t, r, x in turns_]) for c, turns_ in conversations.items()}
+    assert got == want
+
+
+ROLES = ["system", "user", "assistant", "user", "assistant", "tool", "User", "", None]
+TEXTS = ["Fine.", "So?", "Yes! ", "cut off", " \t", "", None, "Done.\n", "again.", "é…"]
+
+
+def test_plain_form_is_least():
+    rng = random.Random(3)
+    for n in (0, 1, 2, 3):
+        for _ in range(12):
+            rows = tuple((rng.choice(["system", "user", "assistant", "tool"]), rng.choice(["A.", "B", "C.", ""])) for _ in range(n))
+            assert plain_repair(rows)[:2] == exhaustive(rows)
+
+
+def test_random_conversations(spark):
+    rng = random.Random(11)
+    conversations = {
+        c: [(rng.choice([None, i, i, i + 1]), rng.choice(ROLES), rng.choice(TEXTS)) for i in range(rng.randint(1, 9))]
+        for c in [None, *range(120)]
+    }
+    check(spark, conversations)
+
+
+@pytest.mark.parametrize("passes", [0, 1, 4, 50])
+def test_chunks_of_any_size_and_any_number_of_passes(spark, passes):
+    """Long conversations in many short chunks, with stretches that never settle the state."""
+    rng = random.Random(passes)
+    stretch = lambda roles, n: [rng.choice(roles) for _ in range(n)]
+    conversations = {}
+    for c, parts in enumerate(
+        [
+            [(["user", "assistant"], 150)],
+            [(["tool"], 61), (["user"], 60)],
+            [(["user"], 90), (["assistant"], 31), (["tool"], 40)],
+            [(["system"], 50), (["tool", "user"], 70)],
+            [(["user"], 1)],
+        ]
+    ):
+        roles = [r for of, n in parts for r in stretch(of, n)]
+        conversations[c] = [(i, r, rng.choice([f"text {i}.", f"text {i}", "same.", " "])) for i, r in enumerate(roles)]
+    conversations[9] = [(i, "user", " ") for i in range(80)]
+    check(spark, conversations, chunk_rows=7, passes=passes)
+
+
+def test_one_conversation_of_one_turn_is_spread(spark, conf):
+    """All rows share conversation and turn; copies of one row make up a third."""
+    conf({"spark.sql.adaptive.coalescePartitions.enabled": "false"})
+    rows = [(5, None, "user", "same." if i % 3 == 0 else f"text {i}.") for i in range(600)]
+    repair = turns.Repair(spark.createDataFrame(rows, TURN))
+    sizes = [r["count"] for r in repair.rows.groupBy(F.shiftright("_pos", 33)).count().collect()]
+    assert len(sizes) > 4 and max(sizes) < 300
+    got = turns.report(spark.createDataFrame(rows, TURN), repair).first()
+    assert tuple(got[c] for c in COLUMNS) == plain_report([(t, r, x) for _, t, r, x in rows])
+
+
+def test_repaired_rows_are_well_formed(spark):
+    rows = [(1, i, r, f"{i}.") for i, r in enumerate(["assistant", "system", "user", "user", "assistant"])]
+    repair = turns.Repair(spark.createDataFrame(rows, TURN))
+    out = repair.repaired().orderBy("_pos", "step").collect()
+    assert re.fullmatch("(s?(ua)+)?", "".join(r.role[0] for r in out))
+    assert [r.text for r in out if r.edit == "I"] == [""] * sum(r.edit == "I" for r in out)
+
+
+
+
+def test_damaged_table(spark):
+    given = spark.read.parquet(f"{SMALL}/conversations.parquet")
+    want = {}
+    for r in given.collect():
+        role, text = r.role or " ", r.text or " "
+        fault = zlib.crc32(f"{r.conv_id}:{r.turn}".encode()) % 20
+        kept = want.setdefault(r.conv_id, [])
+        if fault == 1:
+            text = ""
+        if fault == 2:
+            text = re.sub("[.!?]", "", text)
+        if fault == 4:
+            role = "user"
+        kept += [(r.turn, role, text)] * (0 if fault == 0 else 2 if fault == 3 else 1)
+    got = QUERIES["op13_conversation_repair"](spark, SMALL).collect()
+    assert {r.conv_id: tuple(r[c] for c in COLUMNS) for r in got} == {c: plain_report(rows) for c, rows in want.items()}
+
+
+def test_equals_its_sql(spark, tmp_path):
+    rows = [(None, None, None, None), (None, 1, "user", "A."), (1, 0, "", ""), (2, 5, "user", "x"), (2, 9, "user", "x")]
+    rows += [(c, t, ROLES[(c * t) % 9], TEXTS[(c + t) % 10]) for c in range(3, 40) for t in range(c % 7)]
+    spark.createDataFrame(rows, TURN).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = QUERIES["op13_conversation_repair"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(SQL["op13_conversation_repair"]).fetchall()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want)) and len(want) > 30
+
+
+def test_empty_table_and_clashing_columns(spark):
+    empty = spark.createDataFrame([], TURN)
+    assert turns.report(empty, turns.Repair(turns.damage(empty))).collect() == []
+    odd = spark.createDataFrame([(1, 0, "user", "A.")], TURN)
+    odd = odd.withColumns({n: F.lit(1) for n in ("_c", "_pos", "kind", "chunk", "edit", "_f")})
+    row = turns.report(odd, turns.Repair(odd)).first()
+    assert (row.cost, row.audit) == (2, "KI")
+    dropped = turns.report(odd, turns.Repair(odd.filter("false"))).first()
+    assert (dropped.cost, dropped.audit, dropped.repaired_sha256) == (0, "", hashlib.sha256(b"").hexdigest())
