@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landflux.llm import chat, html_main, mixing, pieces, quality, repeats, secrets, sharding, simhash, sql, turns, urls, vectors
+from landflux.llm import chat, html_main, mixing, pieces, quality, repeats, runs, secrets, sharding, simhash, sql, turns, urls, vectors
 from landflux.session import configure, run_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,6 +159,25 @@ def op11_sharding(spark, folder):
     )
 
 
+@query
+def op12_periodic_runs(spark, folder):
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    judged = runs.find_runs(docs, plant=True)
+    told = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    # greatest length, then smallest start and period
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    judged = judged.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("best.col2")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.col3")).alias("period"),
+        F.sha2(F.concat(F.array_join(told, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+    return judged.withColumn("exponent_milli", F.floor(F.col("length") * 1000 / F.col("period")).cast("bigint"))
+
+
 @query
 def op13_conversation_repair(spark, folder):
     given = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
