@@ -11,9 +11,10 @@ that crosses it if half of it or more lies within.
 
 The keys come from a hash of the document's id and text, so reruns and retried
 tasks agree. A source's order is kept in slices of its key range: sizes are
-summed by slice, the running totals of slices are added up, and only documents
-of one slice are sorted together. So a source that holds a third of all rows is
-spread over many tasks.
+summed by slice, the running totals of slices are added up, and only the keys of
+the slice in which the budget ends are sorted. All other documents are taken or
+not by their slice alone, so no text is shuffled and a source that holds a third
+of all rows is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -72,7 +73,7 @@ def targets(sources: DataFrame, most: int = MOST_EPOCHS) -> DataFrame:
     return free.select(*sources.columns, share.alias("target"))
 
 
-@sets_aside("_key", "_slice", "_source", "_before", "_budget", "_inner")
+@sets_aside("_key", "_slice", "_source", "_row", "_cut", "_cut_slice")
 def mix(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with size, source_size, target, epochs, sampled and taken.
 
@@ -94,13 +95,20 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def take(measured: DataFrame) -> DataFrame:
-    """What ``mix`` gives, for measured documents."""
+    """What ``mix`` gives, for measured documents.
+
+    The rows are stored once and stay where they are: only sums by slice, and the
+    keys of the one slice of each source in which its budget ends, are shuffled.
+    Every row is then judged by its own key against that of the last one taken.
+    """
     store = Store(measured.sparkSession, "mixing")
     own = [c for c in measured.columns if c not in ("size", "_key")]
     slot = F.least(F.lit(SLICES - 1), F.floor((1.0 - F.exp(-F.col("_key"))) * SLICES)).cast("int")
     # a text for every source, null too, so that plain equality serves all joins
     named = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
-    sized = store.keep(measured.withColumns({"_slice": slot, "_source": named}))
+    # the row's number orders rows with equal id and text, of which the budget may take some
+    numbered = measured.withColumns({"_slice": slot, "_source": named, "_row": F.monotonically_increasing_id()})
+    sized = store.keep(numbered, compression="zstd")
     slices = store.keep(
         sized.groupBy("_source", "_slice").agg(F.sum("size").alias("slice_size"), F.first("source").alias("source"))
     )
@@ -111,26 +119,30 @@ def take(measured: DataFrame) -> DataFrame:
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     goal = goal.withColumn("epochs", F.least(F.lit(MOST_EPOCHS), epochs).cast("bigint"))
     goal = goal.withColumn("_budget", F.col("target") - F.col("epochs") * F.col("source_size"))
+    goal = store.keep(goal.select("_source", "source_size", F.col("target").cast("double").alias("target"), "epochs", "_budget"))
     upto = Window.partitionBy("_source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = slices.withColumn("_before", F.coalesce(F.sum("slice_size").over(upto), F.lit(0)))
-    plan = store.keep(
-        offsets.join(goal.drop("source"), "_source").select(
-            "_source", "_slice", "_before", "source_size", "target", "epochs", "_budget"
-        )
-    )
-    within = Window.partitionBy("_source", "_slice").orderBy("_key", "doc_id", "size").rowsBetween(
-        Window.unboundedPreceding, -1
+    ends_here = (F.col("_before") <= F.col("_budget")) & (F.col("_budget") < F.col("_before") + F.col("slice_size"))
+    last = offsets.join(goal, "_source").filter(ends_here).select("_source", "_slice", "_before", "_budget")
+    order = ["_key", "doc_id", "size", "_row"]
+    within = Window.partitionBy("_source", "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ending = sized.select("_source", "_slice", *order).join(last, ["_source", "_slice"])
+    ending = ending.withColumn("_inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    fits = (F.col("size") > 0) & (F.col("_before") + F.col("_inner") + F.col("size") / 2 <= F.col("_budget"))
+    cuts = ending.groupBy("_source").agg(
+        F.first("_slice").alias("_cut_slice"), F.max(F.when(fits, F.struct(*order))).alias("_cut")
     )
-    placed = sized.withColumn("_inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    clash = [c for c in own if c in plan.columns and c not in ("_source", "_slice")]
-    placed = placed.drop(*clash).join(plan, ["_source", "_slice"])
-    middle = F.col("_before") + F.col("_inner") + F.col("size") / 2
-    sampled = (F.col("size") > 0) & (middle <= F.col("_budget"))
+    goal = store.keep(goal.join(cuts, "_source", "left").drop("_budget"))
+    clash = [c for c in own if c in ("source_size", "target", "epochs")]
+    placed = sized.drop(*clash).join(goal, "_source")
+    early = F.col("_slice") < F.col("_cut_slice")
+    taken_in_slice = (F.col("_slice") == F.col("_cut_slice")) & (F.struct(*order) <= F.col("_cut"))
+    sampled = F.coalesce((F.col("size") > 0) & (early | taken_in_slice), F.lit(False))
     return placed.select(
         *[c for c in own if c not in clash],
         "size",
         "source_size",
-        F.col("target").cast("double").alias("target"),
+        "target",
         "epochs",
         sampled.alias("sampled"),
         ((F.col("epochs") + sampled.cast("int")) * F.col("size")).alias("taken"),

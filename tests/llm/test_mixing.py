@@ -89,3 +89,42 @@ def test_empty_tables(spark):
     assert mixed(spark.createDataFrame([], DOC)) == []
     lone = mixed(spark.createDataFrame([(1, None, None, ""), (2, "", None, "")], DOC))
     assert [r["taken"] for r in lone] == [0, 0] and lone[0]["target"] == 0
+
+
+def plain_mix(rows, targets_of):
+    """Words taken of each row, by one sorted pass over each source."""
+    order = sorted(rows, key=lambda r: (r["key"], r["doc_id"], r["size"]))
+    taken, upto = {}, {}
+    for r in order:
+        size, target = r["source_size"], targets_of[r["source"]]
+        epochs = min(3, int(target // size)) if size else 0
+        budget, before = target - epochs * size, upto.get(r["source"], 0)
+        picked = r["size"] > 0 and before + r["size"] / 2 <= budget
+        upto[r["source"]] = before + r["size"]
+        taken[r["doc_id"]] = (epochs + picked) * r["size"]
+    return taken
+
+
+def test_equals_one_sorted_pass(spark):
+    rng = random.Random(12)
+    rows = [(i, "w " * rng.randint(0, 30) + "%" * rng.randint(0, 40), rng.choice("aabbbbc"), "") for i in range(900)]
+    measured = mixing.measure(spark.createDataFrame(rows, DOC).drop("size"))
+    keys = {r.doc_id: r._key for r in measured.collect()}
+    out = [r.asDict() | {"key": keys[r.doc_id]} for r in mixing.take(measured).collect()]
+    targets_of = {r["source"]: r["target"] for r in out}
+    assert {r["doc_id"]: r["taken"] for r in out} == plain_mix(out, targets_of)
+    assert all(any(r["sampled"] != first["sampled"] for r in out if r["source"] == first["source"]) for first in out if first["target"] % first["source_size"])
+
+
+def test_a_source_of_one_repeated_row_meets_its_target(spark):
+    """Equal keys: as many of the copies are taken as the budget holds."""
+    rows = [(7, "same words here", "a", "")] * 3000 + [(i, "one two three four", "b", "") for i in range(1000)]
+    out = mixed(spark.createDataFrame(rows, DOC))
+    for source in "ab":
+        mine = [r for r in out if r["source"] == source]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 4
+
+
+def test_texts_stay_where_they_are(spark, frame):
+    plan = mixing.mix(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Relation") <= 4
