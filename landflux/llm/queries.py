@@ -140,7 +140,12 @@ def op8_html_extraction(spark, folder):
 def op9_repeated_passages(spark, folder):
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     return repeats.without_repeats(docs).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        "n_spans",
+        F.sha2("kept", 256).alias("kept_sha256"),
+        F.octet_length("kept").cast("bigint").alias("n_kept"),
     )
 
 
