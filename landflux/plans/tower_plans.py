@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import functions as F
 
 from landflux.functions import amount
 from landflux.plans.registry import query
 from landflux.session import run_dir
 from landflux.streaming import live, towers
+from landflux.streaming.budget import budget_schema
 
 _MEANS = "tower_id:i start:m end:m n:i total_flux:d mean_flux:r6"
 
@@ -176,21 +175,57 @@ def late_readings(t):
     """Every seventh reading is held back until all others are through, and so comes too late."""
     events = t.stored("events")
     last = events.agg(F.max("ts")).scalar()
-    late = (F.col("event_id") % 7 == 0) & (F.col("ts") < F.col("last_ts") - F.expr("INTERVAL 1 HOUR"))
-    marked = events.withColumn("last_ts", last).withColumn("late", F.coalesce(late, F.lit(False)))
-    source, out = run_dir(t.spark, "late-source"), run_dir(t.spark, "late")
-    # the first file moves the watermark, two batches later the late ones meet it; files are taken by age
-    first = (F.col("event_id") % 2 == 0) | (F.col("ts") == F.col("last_ts"))
-    for n, part in enumerate((~F.col("late") & first, ~F.col("late") & ~first, F.col("late"))):
-        time.sleep(1.1 if n else 0)
-        marked.filter(part).drop("late", "last_ts").repartition(1).write.mode("append").parquet(source)
+    late = (F.col("event_id") % 7 == 0) & (F.col("ts") < last - F.expr("INTERVAL 1 HOUR"))
+    marked = events.withColumn("late", F.coalesce(late, F.lit(False)))
+    parts = [marked.filter(part).drop("late") for part in ("not late", "late")]
+    source, out, progress = (run_dir(t.spark, name) for name in ("late-source", "late", "progress"))
     counter = live.LateReadings()
+
+    def start():
+        readings = towers.with_lateness(live.stream_readings(t.spark, source), "10 minutes")
+        return live.ledger_sink(towers.unique_readings(readings), out, progress)
+
     t.spark.streams.addListener(counter)
     try:
-        readings = towers.with_lateness(live.stream_readings(t.spark, source, files_per_batch=1), "10 minutes")
-        query = live.ledger_sink(towers.unique_readings(readings), out, run_dir(t.spark, "progress"))
-        query.awaitTermination()
-        n_late = counter.count(query)
+        n_late = sum(counter.count(query) for query in live.run_in_parts(parts, source, start))
     finally:
         t.spark.streams.removeListener(counter)
     return t.spark.read.parquet(out).agg(F.lit(n_late).alias("n_late"), F.count("*").alias("n_kept"))
+
+
+_DAYS = """SELECT *, sum(day_flux) OVER w AS budget, sum(n) OVER w AS n_so_far FROM (
+             SELECT *, sum(CASE WHEN day - last_day > {idle} THEN 1 ELSE 0 END) OVER (PARTITION BY tower_id ORDER BY day) AS stretch
+             FROM (SELECT *, lag(day) OVER (PARTITION BY tower_id ORDER BY day) AS last_day FROM (
+               SELECT tower_id, CAST(ts AS DATE) AS day, sum(CAST(flux AS DECIMAL(18,4))) AS day_flux, count(*) AS n
+               FROM readings GROUP BY ALL)))
+           WINDOW w AS (PARTITION BY tower_id, stretch ORDER BY day)"""
+
+
+@query("tower_id:i day:t day_flux:d n:i budget:d n_so_far:i", _DAYS.format(idle=3))
+def budget_after_silence(t):
+    """Budgets that start anew after more than three days without readings."""
+    return towers.running_budget(t.tower_reading, idle_days=3)
+
+
+@query(
+    "tower_id:i day:t day_flux:d n:i budget:d n_so_far:i",
+    f"""SELECT * FROM ({_DAYS.format(idle=3)})
+        WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM readings) - INTERVAL 3 DAY""",
+)
+def streamed_budget_days(t):
+    """The same from a stream: every fifth reading comes two days late, in three runs on one checkpoint."""
+    events = t.stored("events")
+    comes = F.col("ts") + F.when(F.col("event_id") % 5 == 0, F.expr("INTERVAL 2 DAYS")).otherwise(F.expr("INTERVAL 0 DAYS"))
+    first, last = events.agg(F.min("ts")).scalar(), events.agg(F.max("ts")).scalar()
+    third = (F.unix_micros(last.cast("timestamp")) - F.unix_micros(first.cast("timestamp"))) / 3
+    place = F.floor((F.unix_micros(comes.cast("timestamp")) - F.unix_micros(first.cast("timestamp"))) / third)
+    marked = events.withColumn("part", F.least(place, F.lit(2)))
+    parts = [marked.filter(F.col("part") == k).drop("part") for k in range(3)]
+    source, out, progress = (run_dir(t.spark, name) for name in ("budget-source", "budget-days", "progress"))
+
+    def start():
+        readings = towers.with_lateness(live.stream_readings(t.spark, source), "3 days")
+        return live.ledger_sink(towers.running_budget(readings, idle_days=3), out, progress)
+
+    live.run_in_parts(parts, source, start)
+    return t.spark.read.schema(budget_schema()).parquet(out)

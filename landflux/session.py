@@ -23,6 +23,8 @@ RUNTIME = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # texts are long: smaller batches keep Python workers small
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    # state of streams lies on the executors' disks, not in their heaps; keyed state with timers needs it
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # sessions of one tower are merged before the shuffle
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }

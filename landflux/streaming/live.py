@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 from threading import Event
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,6 +79,21 @@ def latest_budgets(updates: DataFrame) -> DataFrame:
     )
 
 
+def run_in_parts(parts: list[DataFrame], source: str, start: Callable[[], StreamingQuery]) -> list[StreamingQuery]:
+    """Append the parts to the folder ``source`` one after the other, and run a stream to its end after each.
+
+    ``start`` starts the stream on the same checkpoint each time, so that all but
+    the first run go on from the state and watermark the one before has left.
+    """
+    queries = []
+    for part in parts:
+        part.write.mode("append").parquet(source)
+        query = start()
+        query.awaitTermination()
+        queries.append(query)
+    return queries
+
+
 def ledger_sink(
     closed: DataFrame, path: str, checkpoint: str, available_now: bool = True
 ) -> StreamingQuery:

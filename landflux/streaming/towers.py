@@ -144,18 +144,37 @@ def readings_after_alert(readings: DataFrame, alerts: DataFrame, hours: int) ->
     )
 
 
-def running_budget(readings: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Cumulative flux of each tower at the end of each day with readings (batch)."""
+def running_budget(readings: DataFrame, digits: int = DIGITS, idle_days: int | None = None) -> DataFrame:
+    """Cumulative flux of each tower at the end of each day with readings.
+
+    With ``idle_days``, a gap of more days without readings starts the budget
+    anew. A stream gives every day once, after its end has passed the watermark.
+    """
+    if readings.isStreaming:
+        from landflux.streaming.budget import budget_days
+
+        return budget_days(readings, digits, idle_days)
+    by_tower = Window.partitionBy("tower_id").orderBy("day")
+    days = readings.groupBy("tower_id", F.to_date("ts").alias("day")).agg(
+        F.sum(fixed_flux(digits)).alias("day_flux"), F.count("flux").alias("n")
+    )
+    stretch = F.lit(0)
+    if idle_days is not None:
+        gap = F.date_diff("day", F.lag("day").over(by_tower)) > idle_days
+        days = days.withColumn("_new", F.coalesce(gap, F.lit(False)).cast("int"))
+        stretch = F.sum("_new").over(by_tower)
     window = (
-        Window.partitionBy("tower_id")
+        Window.partitionBy("tower_id", "_stretch")
         .orderBy("day")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return (
-        readings.groupBy("tower_id", F.to_date("ts").alias("day"))
-        .agg(F.sum(fixed_flux(digits)).alias("day_flux"), F.count("flux").alias("n"))
-        .withColumn("budget", F.sum("day_flux").over(window))
-        .withColumn("n_so_far", F.sum("n").over(window))
+    return days.withColumn("_stretch", stretch).select(
+        "tower_id",
+        "day",
+        "day_flux",
+        "n",
+        F.sum("day_flux").over(window).alias("budget"),
+        F.sum("n").over(window).alias("n_so_far"),
     )
 
 

@@ -113,6 +113,72 @@ def test_running_budget(spark, files, batch, tmp_path):
     assert updates.groupBy("tower_id").count().agg(F.max("count")).first()[0] > 1
 
 
+def budget_rows(df):
+    return {tuple(r) for r in df.select("tower_id", "day", "day_flux", "n", "budget", "n_so_far").collect()}
+
+
+@pytest.mark.parametrize("idle_days", [None, 0, 2])
+def test_budget_days(spark, files, batch, tmp_path, idle_days):
+    """Closed days of four batches, each given out once, equal the batch rows."""
+    got, _ = drain(spark, towers.running_budget(stream(spark, files), idle_days=idle_days), tmp_path)
+    last = batch.agg(F.max("ts")).first()[0] - dt.timedelta(minutes=10)
+    want = towers.running_budget(batch, idle_days=idle_days).filter(F.date_add("day", 1).cast("timestamp") <= F.lit(last))
+    assert budget_rows(got) == budget_rows(want) and got.count() == want.count() > 0
+    if idle_days is not None:
+        assert budget_rows(want) != budget_rows(towers.running_budget(batch).join(want.select("tower_id", "day"), ["tower_id", "day"]))
+
+
+def test_budget_days_over_restarts_with_late_days(spark, tmp_path):
+    """Days that come out of order, one too late, a null flux, and a tower that falls silent and comes back."""
+
+    def reading(i, tower, day, flux):
+        return (i, T0 + dt.timedelta(days=day, hours=i % 24), tower, "purchase", flux, '{"k": 5}')
+
+    parts = [
+        [reading(1, 1, 0, 2.0), reading(2, 1, 2, 4.0), reading(3, 2, 0, 1.5), reading(4, 2, 1, None)],
+        [reading(5, 1, 1, 8.0), reading(6, 1, 4, 16.0), reading(7, 2, 2, 3.0), reading(8, 1, 0, 32.0)],
+        [reading(9, 1, 3, 64.0), reading(10, 3, 20, 1.0)],
+        [reading(11, 1, 19, 128.0), reading(12, 2, 5, 99.0), reading(13, 2, 30, 7.0)],
+        [reading(14, 3, 60, 1.0)],
+    ]
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    frames = [spark.createDataFrame(part, schema) for part in parts]
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def start():
+        readings = towers.with_lateness(live.stream_readings(spark, source), "2 days")
+        return live.ledger_sink(towers.running_budget(readings, idle_days=10), out, str(tmp_path / "progress"))
+
+    live.run_in_parts(frames, source, start)
+    got = sorted((r.tower_id, (r.day - T0.date()).days, r.n, r.budget, r.n_so_far) for r in spark.read.parquet(out).collect())
+    # readings 12 (day 5) comes after day 20 has been seen, by more than two days: it is left out
+    assert [tuple(float(x) if x is not None else None for x in r) for r in got] == [
+        (1, 0, 2, 34, 2), (1, 1, 1, 42, 3), (1, 2, 1, 46, 4), (1, 3, 1, 110, 5), (1, 4, 1, 126, 6), (1, 19, 1, 128, 1),
+        (2, 0, 1, 1.5, 1), (2, 1, 0, 1.5, 1), (2, 2, 1, 4.5, 2), (2, 30, 1, 7, 1),
+        (3, 20, 1, 1, 1),
+    ]
+    kept = [r for k, part in enumerate(parts) for r in part if r[0] != 12]
+    batch = towers.running_budget(live_readings(spark, kept, schema), idle_days=10).filter(F.col("day") < T0.date() + dt.timedelta(days=58))
+    assert budget_rows(batch) == budget_rows(spark.read.parquet(out))
+
+
+def live_readings(spark, rows, schema):
+    from landflux.sources.tables import readings_from_events
+
+    return readings_from_events(spark.createDataFrame(rows, schema))
+
+
+def test_a_repeated_budget_batch_changes_nothing(spark, files, tmp_path):
+    got, _ = drain(spark, towers.running_budget(stream(spark, files)), tmp_path)
+    before = budget_rows(got)
+    folder = tmp_path / "progress" / "commits"
+    last = max(int(p.name) for p in folder.iterdir() if p.name.isdigit())
+    for name in (f"{last}", f".{last}.crc"):
+        (folder / name).unlink(missing_ok=True)
+    again, _ = drain(spark, towers.running_budget(stream(spark, files)), tmp_path)
+    assert budget_rows(again) == before and again.count() == len(before)
+
+
 @pytest.fixture
 def untidy(spark, tmp_path):
     """Three files: in order; repeated and out of order; far too late."""
