@@ -107,9 +107,14 @@ def harvest_loss(disturbance: DataFrame, units: DataFrame, factor: DataFrame) ->
     )
 
 
-def burned_units(disturbance: DataFrame, state: DataFrame, units: DataFrame) -> DataFrame:
-    """Unit-years with fire; severities of one year add up to at most 1."""
-    fires = (
+def entries(df: DataFrame, process: str, parts: list[tuple[str, str]]) -> DataFrame:
+    """Ledger rows of carbon from columns: (pool, expression) for each row of ``df``."""
+    return _entries(df, process, [_part(pool, value) for pool, value in parts])
+
+
+def fire_severity(disturbance: DataFrame) -> DataFrame:
+    """Severity of all fires of a unit and year, which add up to at most 1."""
+    return (
         disturbance.filter("kind = 'fire'")
         .selectExpr("unit_id", "year(event_date) as year", f"cast(severity as {MONEY}) as severity")
         .groupBy("unit_id", "year")
@@ -117,7 +122,11 @@ def burned_units(disturbance: DataFrame, state: DataFrame, units: DataFrame) ->
         .filter("total is not null")
         .selectExpr("unit_id", "year", "least(total, 1D) as severity")
     )
-    return unit_years(state, units).join(fires, ["unit_id", "year"])
+
+
+def burned_units(disturbance: DataFrame, state: DataFrame, units: DataFrame) -> DataFrame:
+    """Unit-years with fire; severities of one year add up to at most 1."""
+    return unit_years(state, units).join(fire_severity(disturbance), ["unit_id", "year"])
 
 
 _BURNT = "-(area * biomass * severity)"
@@ -263,7 +272,11 @@ def soil_n2o_direct(
 
 
 # Share of a year's inflow that still stands at that year's end.
-_STANDING = "(case when product_decay = 0 then 1D else (1 - exp(-product_decay)) / product_decay end)"
+STANDING = "(case when product_decay = 0 then 1D else (1 - exp(-product_decay)) / product_decay end)"
+
+
+# Share of debris that is left after a year; debris that lasts no time is gone.
+LEFT_A_YEAR = "(case when debris_years = 0 then 0D else exp(-1 / debris_years) end)"
 
 
 def hwp_pool(harvest: DataFrame, until: int, by: str = "country_id") -> DataFrame:
@@ -274,7 +287,7 @@ def hwp_pool(harvest: DataFrame, until: int, by: str = "country_id") -> DataFram
     it still stands in. Without decay an inflow stands for ever.
     """
     k = "product_decay"
-    left = f"cast(inflow as double) * exp(-{k} * (year - from_year)) * {_STANDING}"
+    left = f"cast(inflow as double) * exp(-{k} * (year - from_year)) * {STANDING}"
     window = Window.partitionBy(by).orderBy("year")
     return (
         harvest.filter(F.col("year") <= until)
@@ -291,13 +304,13 @@ def hwp_pool(harvest: DataFrame, until: int, by: str = "country_id") -> DataFram
 def harvest_gains(harvest: DataFrame) -> DataFrame:
     """Ledger rows: what a harvest moves on, to dead wood (debris) and to products.
 
-    The other side of ``harvest_loss``; what neither gains is emitted at once.
+    The other side of ``harvest_loss``; what neither gains is emitted at once. A
+    pool gains only what it can lose again: without a factor for its decay there
+    is no row, and ``missing_factors`` lists the key.
     """
-    return _entries(
-        harvest,
-        "harvest",
-        [_part("DW", "carbon * debris_share"), _part("HWP", "carbon * product_share")],
-    )
+    debris = "case when debris_years is not null then carbon * debris_share end"
+    products = "case when product_decay is not null then carbon * product_share end"
+    return _entries(harvest, "harvest", [_part("DW", debris), _part("HWP", products)])
 
 
 def product_decay(harvest: DataFrame, until: int) -> DataFrame:
@@ -305,8 +318,8 @@ def product_decay(harvest: DataFrame, until: int) -> DataFrame:
     k = "product_decay"
     age = "(year - from_year)"
     lost = (
-        f"case when {age} = 0 then 1 - {_STANDING} "
-        f"else {_STANDING} * (exp(-{k} * ({age} - 1)) - exp(-{k} * {age})) end"
+        f"case when {age} = 0 then 1 - {STANDING} "
+        f"else {STANDING} * (exp(-{k} * ({age} - 1)) - exp(-{k} * {age})) end"
     )
     df = harvest.filter(F.col("year") <= until).selectExpr(
         "unit_id", "carbon * product_share as inflow", k, "year as from_year", f"explode(sequence(year, {until})) as year"
@@ -317,8 +330,9 @@ def product_decay(harvest: DataFrame, until: int) -> DataFrame:
 def harvest_stocks(harvest: DataFrame, until: int) -> DataFrame:
     """Stocks of harvested carbon per unit and year up to ``until``: debris in DW, products in HWP."""
     age = "(year - from_year)"
-    debris = amount_sql(f"carbon * debris_share * exp(-({age} + 1) / debris_years)")
-    products = amount_sql(f"carbon * product_share * exp(-product_decay * {age}) * {_STANDING}")
+    left = f"case when debris_years = 0 then 0D else exp(-({age} + 1) / debris_years) end"
+    debris = amount_sql(f"carbon * debris_share * ({left})")
+    products = amount_sql(f"carbon * product_share * exp(-product_decay * {age}) * {STANDING}")
     return (
         harvest.filter(F.col("year") <= until)
         .selectExpr("*", "year as from_year")
@@ -361,7 +375,8 @@ def delayed_decay(harvest: DataFrame, until: int) -> DataFrame:
         f"explode(sequence(year, {until})) as year",
     )
     share = (
-        "(exp(-(year - from_year) / debris_years) - exp(-(year - from_year + 1) / debris_years))"
+        "case when debris_years = 0 then if(year = from_year, 1D, 0D) "
+        "else exp(-(year - from_year) / debris_years) - exp(-(year - from_year + 1) / debris_years) end"
     )
     return _sum_entries(_entries(df.withColumn("share", F.expr(share)), "decay", [_part("DW", "-(debris * share)")]))
 

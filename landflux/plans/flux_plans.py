@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from landflux.operators import checks, fluxes
+from landflux.operators import checks, fluxes, stocks
 from landflux.plans import inputs
 from landflux.plans.check_sql import Y1, YEARS, amt, both, entry, fx
 from landflux.plans.registry import REGISTRY, query
@@ -297,3 +297,80 @@ def transfer_check(t):
     )
     checked = checks.all_carbon_check(flows, fluxes.harvest_stocks(cut, until=t.years[1]), tolerance=0.01)
     return checked.groupBy("pool", "status").agg(F.count("*").alias("n_rows"))
+
+
+def _fix(expr: str) -> str:
+    """Whole ten-thousandths, 0 for null."""
+    return f"coalesce(CAST(floor(({expr}) * 1e4 + 0.5) AS BIGINT), 0)"
+
+
+_ROLLED = f"""
+    WITH RECURSIVE cells AS (
+      SELECT b.unit_id, b.year, b.land_use, area, {fx('biomass')} AS biomass, {fx('growth')} AS growth,
+             {fx('carbon_fraction')} AS cf, {fx('root_ratio')} AS root_ratio FROM uy b
+    ), asked AS (
+      SELECT c.unit_id, c.year, c.land_use, c.root_ratio, {_fix('c.area * c.biomass')} AS full_stock,
+             {_fix('c.area * c.growth * c.cf')} AS growth, {_fix('h.carbon')} AS cut,
+             {_fix('c.area * c.biomass * s.severity')} AS fire,
+             row_number() OVER (PARTITION BY c.unit_id ORDER BY c.year) AS place
+      FROM cells c LEFT JOIN (SELECT unit_id, year, carbon FROM harvest_f) h USING (unit_id, year)
+      LEFT JOIN (SELECT unit_id, year, severity FROM burn) s USING (unit_id, year)
+    ), moved AS (
+      SELECT a.*, a.growth + CASE WHEN b.land_use <> a.land_use THEN a.full_stock - b.full_stock ELSE 0 END AS come
+      FROM asked a LEFT JOIN asked b ON b.unit_id = a.unit_id AND b.place = a.place - 1
+    ), rolled AS (
+      SELECT *, full_stock AS start_stock, least(greatest(full_stock + come, 0), full_stock) AS standing FROM moved WHERE place = 1
+      UNION ALL
+      SELECT m.*, r.stock, least(greatest(r.stock + m.come, 0), m.full_stock) FROM moved m JOIN (
+        SELECT unit_id, place,
+               standing - least(cut, standing) - least(fire, standing - least(cut, standing)) AS stock FROM rolled) r
+        ON m.unit_id = r.unit_id AND m.place = r.place + 1
+    )
+    SELECT unit_id, year, root_ratio, (standing - start_stock) / 1e4 AS gained, least(cut, standing) / 1e4 AS harvested,
+           least(fire, standing - least(cut, standing)) / 1e4 AS burned,
+           (standing - least(cut, standing) - least(fire, standing - least(cut, standing))) / 1e4 AS stock,
+           cut / 1e4 AS asked_harvest, fire / 1e4 AS asked_fire FROM rolled"""
+
+
+@query("unit_id:i year:i gained:d harvested:d burned:d stock:d asked_harvest:d asked_fire:d", _ROLLED)
+def biomass_stocks(t):
+    """Stocks that no series of fires and harvests takes below zero."""
+    return stocks.biomass_stocks(inputs.state(t), t.disturbance, t.land_unit, t.factor, t.years)
+
+
+@query(
+    ROWS,
+    " UNION ALL ".join(
+        entry(pool, process, "CO2", expr, f"(SELECT * FROM ({_ROLLED}) WHERE {column} > 0)")
+        for process, column in (("harvest", "harvested"), ("fire", "burned"))
+        for pool, expr in (("AGB", f"-{column}"), ("BGB", f"-{column} * root_ratio"))
+    ),
+)
+def capped_losses(t):
+    return stocks.capped_losses(stocks.biomass_stocks(inputs.state(t), t.disturbance, t.land_unit, t.factor, t.years))
+
+
+_AHEAD = 100
+_POOLS = " UNION ALL ".join(
+    f"""SELECT country_id, '{pool}' AS pool, y.year, sum(CASE WHEN y.year = h.year THEN carbon * {share} ELSE 0 END) AS inflow,
+               sum(carbon * {share} * {left}) AS stock,
+               sum(carbon * {share} * (CASE WHEN y.year = h.year THEN 1 ELSE {left_before} END - {left})) AS lost
+        FROM harvest_f h, (SELECT unnest(range(y0, y1 + {_AHEAD} + 1)) AS year FROM span) y
+        WHERE y.year >= h.year GROUP BY country_id, y.year"""
+    for pool, share, left, left_before in (
+        ("DW", "debris_share", f"exp(-({_SINCE} + 1) / debris_years)", f"exp(-{_SINCE} / debris_years)"),
+        (
+            "HWP",
+            "product_share",
+            f"(exp(-product_decay * {_SINCE}) * {_LEFT})",
+            f"(exp(-product_decay * ({_SINCE} - 1)) * {_LEFT})",
+        ),
+    )
+)
+
+
+@query("country_id:i pool:s year:i inflow:r4 stock:r4 lost:r4", _POOLS)
+def decaying_pools(t):
+    """Products and debris of all harvests, a hundred years ahead."""
+    first, last = t.years
+    return stocks.decaying_pools(inputs.harvest(t), ["country_id"], (first, last + _AHEAD))
