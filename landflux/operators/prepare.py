@@ -111,34 +111,43 @@ def grid_aggregate(df: DataFrame, degrees: float, value: str) -> DataFrame:
     )
 
 
-def zones_of_points(points: DataFrame, boxes: DataFrame, cell: float = 10.0) -> DataFrame:
+FINEST = 26  # level of the smallest cells, five millionths of a degree wide
+
+
+def zones_of_points(points: DataFrame, boxes: DataFrame) -> DataFrame:
     """Which boxes hold each point; west and south edges belong to a box.
 
     A box whose west edge lies east of its east edge goes over the date line.
 
-    Boxes are listed under every grid cell they touch and points under the one
-    they lie in, so the join is on equal cells and the exact test comes after.
+    Cells come in levels, each half as wide as those of the level above. A box is
+    listed at the level whose cells are as large as the box, less than twice, so
+    under four cells at most; a point is looked up under its one cell of every
+    level that a box is listed at. The join is on equal cells, the exact test
+    comes after: a point meets no box more than two cells of its size away.
     """
-
-    def cells(low: str, high: str) -> Column:
-        return F.explode(
-            F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell))
-        )
-
     over = F.col("lon0") > F.col("lon1")
     west, east = F.struct("lon0", F.lit(180.0).alias("lon1")), F.struct(F.lit(-180.0).alias("lon0"), "lon1")
     parts = F.when(over, F.array(west, east)).otherwise(F.array(F.struct("lon0", "lon1")))
     boxes = boxes.select("*", F.explode(parts).alias("_part")).withColumns(
         {"lon0": F.col("_part.lon0"), "lon1": F.col("_part.lon1")}
     )
-    listed = boxes.withColumn("_cx", cells("lon0", "lon1")).withColumn("_cy", cells("lat0", "lat1"))
-    placed = points.withColumn("_cx", F.floor(F.col("lon") / cell)).withColumn(
-        "_cy", F.floor(F.col("lat") / cell)
-    )
+    extent = F.greatest(F.col("lon1") - F.col("lon0"), F.col("lat1") - F.col("lat0"))
+    level = F.floor(F.log2(F.lit(360.0) / extent)).cast("int")
+    boxes = boxes.filter(extent > 0).withColumn("_level", F.greatest(F.lit(0), F.least(F.lit(FINEST), level)))
+
+    def cell(degrees: str) -> Column:
+        return F.floor((F.col(degrees) + 180.0) * F.pow(F.lit(2.0), F.col("_level")) / 360.0)
+
+    listed = boxes.withColumn("_cx", F.explode(F.sequence(cell("lon0"), cell("lon1"))))
+    listed = listed.withColumn("_cy", F.explode(F.sequence(cell("lat0"), cell("lat1"))))
+    used = boxes.agg(F.collect_set("_level")).scalar()
+    placed = points.withColumn("_level", F.explode(used))
+    placed = placed.withColumn("_cx", cell("lon")).withColumn("_cy", cell("lat"))
     inside = (
         (F.col("lon") >= F.col("lon0"))
         & (F.col("lon") < F.col("lon1"))
         & (F.col("lat") >= F.col("lat0"))
         & (F.col("lat") < F.col("lat1"))
     )
-    return placed.join(listed, ["_cx", "_cy"]).filter(inside).select(*points.columns, "box_id")
+    found = placed.join(listed, ["_level", "_cx", "_cy"]).filter(inside)
+    return found.select(*points.columns, "box_id")
