@@ -1,8 +1,8 @@
 """Reports over the ledger.
 
 Each report first sums the ledger to the report's own keys, so windows run over
-regions, countries, categories and years. Where a window spans all keys, the
-keys must come from ``REPORT_COLUMNS``, whose values are few whatever the data.
+regions, countries, categories and years. Sums over all keys are kept in ranges
+(``scans.running_total``) or as one number, so keys may be as many as they like.
 
 Amounts are added within one unit only: a sum over two units stops the job.
 Bring a ledger of several gases to one by ``fluxes.in_co2e``, or filter one gas.
@@ -14,29 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landflux.operators.quantiles import exact_quantiles
+from landflux.operators.scans import ranged, running_total
 from landflux.session import keep
 from landflux.sources.schemas import MONEY
 
-REPORT_COLUMNS = {
-    "region_id",
-    "region",
-    "country_id",
-    "country",
-    "zone",
-    "land_use",
-    "year",
-    "pool",
-    "process",
-    "gas",
-}
-
-
-def _few(columns: list[str]) -> None:
-    many = set(columns) - REPORT_COLUMNS
-    if many:
-        raise ValueError(f"not a report column: {', '.join(sorted(many))}")
-
-
 def with_region(entries: DataFrame, units: DataFrame, country: DataFrame) -> DataFrame:
     """Ledger rows with country, zone and region; a unit without them keeps its rows."""
     place = units.join(country, "country_id", "left").select(
@@ -60,13 +41,15 @@ def totals(entries: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _all_totals(entries: DataFrame, by: list[str]) -> DataFrame:
-    """Totals that are compared with each other, so that all groups must have one unit."""
-    sums = entries.groupBy(*by).agg(F.sum("amount").alias("amount"), F.min("unit").alias("_l"), F.max("unit").alias("_h"))
-    everything = Window.partitionBy()
-    low, high = F.min("_l").over(everything), F.max("_h").over(everything)
-    return sums.withColumn("_low", low).withColumn("_high", high).select(
-        *by, _one_unit(F.col("amount"), F.col("_low"), F.col("_high")).alias("amount")
-    )
+    """Totals that are compared with each other, written once in descending order of size.
+
+    All groups must have one unit.
+    """
+    sums = entries.groupBy(*by).agg(F.sum("amount").alias("_amount"), F.min("unit").alias("_l"), F.max("unit").alias("_h"))
+    sums = sums.withColumn("size", F.abs("_amount"))
+    placed = ranged(sums, [F.col("size").desc(), *[F.col(c) for c in by]], "totals")
+    low, high = placed.agg(F.min("_l")).scalar(), placed.agg(F.max("_h")).scalar()
+    return placed.select(*by, _one_unit(F.col("_amount"), low, high).alias("amount"), "size", "_pos")
 
 
 def report_rollup(entries: DataFrame, dims: list[str]) -> DataFrame:
@@ -147,19 +130,14 @@ def top_emitters(
 
 def key_categories(entries: DataFrame, by: list[str], share: float = 0.95) -> DataFrame:
     """Largest categories by absolute amount that together reach ``share`` of the total."""
-    _few(by)
-    everything = Window.partitionBy()
-    order = Window.orderBy(F.col("size").desc(), *by).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("size").over(everything).cast("double")
-    upto = F.sum("size").over(order).cast("double")
+    placed = _all_totals(entries, by)
+    total = placed.agg(F.sum("size")).scalar().cast("double")
     return (
-        _all_totals(entries, by)
-        .withColumn("size", F.abs("amount"))
-        .withColumn("cumulative_share", F.try_divide(upto, total))
+        running_total(placed, "size", "_upto")
+        .withColumn("cumulative_share", F.try_divide(F.col("_upto").cast("double"), total))
         .withColumn("own_share", F.try_divide(F.col("size").cast("double"), total))
-        .withColumn("_before", F.col("cumulative_share") - F.col("own_share"))
-        .filter(F.col("_before") < share - 1e-9)
-        .drop("_before")
+        .filter(F.col("cumulative_share") - F.col("own_share") < share - 1e-9)
+        .drop("_upto", "_pos")
     )
 
 
@@ -222,13 +200,13 @@ def coverage(obs: DataFrame) -> DataFrame:
 
 def share_of_total(entries: DataFrame, by: str, within: str) -> DataFrame:
     """Share of each ``by`` in its ``within`` and in the whole."""
-    _few([by, within])
-
-    def share(window) -> Column:
-        return F.try_divide(F.col("amount").cast("double"), F.sum("amount").over(window).cast("double"))
-
+    placed = _all_totals(entries, [within, by])
+    whole = placed.agg(F.sum("amount")).scalar().cast("double")
+    part = placed.groupBy(F.col(within).alias("_within")).agg(F.sum("amount").cast("double").alias("_part"))
+    amount = F.col("amount").cast("double")
     return (
-        _all_totals(entries, [within, by])
-        .withColumn("share_within", share(Window.partitionBy(within)))
-        .withColumn("share_world", share(Window.partitionBy()))
+        placed.join(part, F.col(within).eqNullSafe(F.col("_within")))
+        .withColumn("share_within", F.try_divide(amount, F.col("_part")))
+        .withColumn("share_world", F.try_divide(amount, whole))
+        .select(within, by, "amount", "share_within", "share_world")
     )

@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from landflux.session import keep
+
 Step = dict[str, Column]
 
 
@@ -62,3 +64,28 @@ def compose_linear(earlier: Step, later: Step) -> Step:
         "keep": earlier["keep"] * later["keep"],
         "come": earlier["come"] * later["keep"] + later["come"],
     }
+
+
+def ranged(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` written once in the given order, with a number ``_pos`` that ascends in it.
+
+    Partitions hold neighbouring ranges, so no task sorts more than its share.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return keep(dealt.withColumn("_pos", F.monotonically_increasing_id()), name)
+
+
+def running_total(placed: DataFrame, value: str, into: str) -> DataFrame:
+    """Running sums of ``value`` over a whole ``ranged`` table, in its order.
+
+    Each range is summed on its own, the ranges' sums are added up, one row a
+    range, and every row adds what lies before its range to the sum within it.
+    """
+    part = F.shiftright("_pos", 33)
+    numbered = placed.withColumn("_range", part)
+    sums = numbered.groupBy("_range").agg(F.sum(value).alias("_sum"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_range", F.sum("_sum").over(earlier).alias("_before"))
+    within = Window.partitionBy("_range").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    summed = numbered.withColumn(into, F.sum(value).over(within)).join(offsets, "_range")
+    return summed.withColumn(into, F.col(into) + F.coalesce("_before", F.lit(0))).drop("_range", "_before")
