@@ -4,7 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from landflux.functions import amount, fit_per_group, map_factor, response_curve_rows, to_unit, user_curve_rows
+from landflux.functions import (
+    amount,
+    fit_per_group,
+    fit_rows,
+    map_factor,
+    response_curve_rows,
+    saturating,
+    to_unit,
+    user_curve_rows,
+)
 from landflux.operators import factors, fluxes, land, prepare
 from landflux.plans import inputs
 from landflux.plans.registry import query
@@ -205,6 +214,21 @@ def fitted_growth(t):
     return fit_per_group(surveys, ["unit_id"], "year", "c_density", line, schema)
 
 
+@query(
+    "zone:s n:i level:r1 speed:r3 converged:b",
+    """SELECT zone, count(*) AS n, 50 + 10 * length(zone) AS level, 0.05 + 0.01 * (length(zone) % 4) AS speed,
+              true AS converged FROM stock_obs JOIN land_unit USING (unit_id) GROUP BY zone""",
+)
+def saturating_growth(t):
+    """Curves found again: growth of known level and speed in each zone, at the age of every survey."""
+    surveys = t.stock_obs.join(t.land_unit.select("unit_id", "zone"), "unit_id")
+    age = F.datediff("survey_date", F.lit("1990-01-01").cast("date")) / 365.25
+    level, speed = 50 + 10 * F.length("zone"), 0.05 + 0.01 * (F.length("zone") % 4)
+    grown = surveys.select("zone", age.alias("age"), (level * (1 - F.exp(-speed * age))).alias("density"))
+    fitted = fit_rows(grown, ["zone"], "density", saturating("age"), {"a": F.max("density"), "b": F.lit(0.2)})
+    return fitted.withColumnsRenamed({"a": "level", "b": "speed"})
+
+
 @query(
     "plot_obs_id:i unit_id:i saturated:r6",
     "SELECT plot_obs_id, unit_id, 300 * (1 - exp(-c_density / 300)) AS saturated FROM stock_obs",
