@@ -76,7 +76,7 @@ def runs(html: str) -> list[tuple[str, bool, str]]:
 
     A tolerant reading: unknown end tags are ignored, missing ones are implied
     by the end of an outer element. Inline elements neither divide blocks nor
-    have a place of their own.
+    have a place of their own, but for those that are noise, up to their end tag.
     """
     found: list[tuple[str, bool, str]] = []
     stack: list[tuple[str, str, bool, bool]] = []  # name, label, noise, main part
@@ -107,7 +107,7 @@ def runs(html: str) -> list[tuple[str, bool, str]]:
         if token[1]:
             if name == "p" and not any(s[0] == "p" for s in stack):
                 flush()
-            elif name not in INLINE:
+            elif name not in INLINE or any(s[0] == name for s in stack):
                 close(name)
             continue
         if name in RAW:
@@ -126,7 +126,7 @@ def runs(html: str) -> list[tuple[str, bool, str]]:
         noise = name in NOISE or name == "header" and not inside or "hidden" in attributes
         noise |= attributes.get("role", "").lower() in NOISE_ROLES
         noise |= name not in ("html", "body", "article", "main") and not NOISE_NAMES.isdisjoint(_names(label))
-        if name in INLINE and not noise:
+        if name in INLINE and not noise and not any(s[0] in INLINE for s in stack):
             continue
         flush()
         if name not in INLINE:

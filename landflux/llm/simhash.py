@@ -4,8 +4,8 @@ Two fingerprints within three differing bits agree on five of their eight bytes
 at least. The index lists, for eight choices of three byte positions, the
 fingerprints by the bytes at those positions: of any five positions, three lie
 in one half of the fingerprint, so a pair that agrees on five bytes meets in the
-index. For each pair that meets the shared bytes are tallied, pairs under five
-are dropped, and the rest is verified by counting differing bits.
+index. Pairs that meet are verified by counting differing bits; the count of
+shared bytes, which the bits imply, never decides.
 """
 
 from __future__ import annotations
@@ -217,13 +217,3 @@ def near_copies(docs: DataFrame) -> DataFrame:
     return rows.join(labels, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without those whose component has a smaller doc_id.
-
-    A doc_id stands for one document: rows that repeat it stay or go together.
-    Rows without an id stay.
-    """
-    copies = near_copies(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)

@@ -5,6 +5,8 @@ import re
 import sys
 from pathlib import Path
 
+import pytest
+
 sys.path.insert(0, str(Path(__file__).parent))
 
 from landflux.llm import html_main  # noqa: E402
@@ -70,3 +72,20 @@ def test_copies_of_a_page_keep_their_article(spark):
 
 def test_empty_table(spark):
     assert texts(spark, []) == []
+
+
+@pytest.mark.parametrize("tag", sorted(html_main.INLINE - html_main.VOID))
+def test_inline_noise_ends_with_its_tag(tag):
+    """Only what stands inside an inline element that is noise is left out, elements of its name within it included."""
+    page = f'<article>one <{tag} class="ad">x <{tag}>y</{tag}> z</{tag}> two <p>three</p></article>'
+    assert " ".join(t for _, _, t in html_main.runs(page)) == "one two three"
+    plain = "<article>one <i>x</i> two</article>"
+    assert [t for _, _, t in html_main.runs(plain)] == ["one x two"]
+
+
+def test_labels_take_nothing_with_them():
+    texts = lambda page: " ".join(t for _, _, t in html_main.runs(page))
+    assert texts("<article><label>L</label> text <p>more</p></article>") == "text more"
+    assert texts("<body><p>x</p><label>N</label><p>y</p>") == "x y"
+    assert texts("<body><p>x <span class=ad>a<p>b</p></span></p><p>y</p>") == "x y"
+    assert texts("<body><label>open<p>b</p>") == ""
