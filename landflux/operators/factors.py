@@ -16,6 +16,73 @@ SCOPES = [list(keys) for n in (3, 2, 1, 0) for keys in combinations(SCOPE, n)]
 TIER_OF = {tuple(keys): number for number, keys in enumerate(SCOPES, start=1)}
 
 
+# Years 1500 to 2523 lie in a tree of cells: level l has cells of 4**l years, the
+# top level one cell for all. Years outside, and no year, have a cell each.
+FIRST, LEVELS = 1500, 6
+SPAN = 4 ** (LEVELS - 1)
+BELOW, ABOVE, NO_YEAR = -1, -2, -3
+
+
+def _cells_of_year(year: Column) -> Column:
+    """The cells a year is looked up under: one of each level."""
+    at = year.cast("int") - FIRST
+    inside = F.array(*[F.lit(level * SPAN) + F.shiftright(at, 2 * level) for level in range(LEVELS)])
+    return (
+        F.when(year.isNull(), F.array(F.lit(NO_YEAR)))
+        .when(at < 0, F.array(F.lit(BELOW)))
+        .when(at >= SPAN, F.array(F.lit(ABOVE)))
+        .otherwise(inside)
+    )
+
+
+def _cells_of_range(low: Column, high: Column) -> Column:
+    """The fewest cells that make up a range of years, at most six a level; a null end is open."""
+    start = F.greatest(F.coalesce(low.cast("int") - FIRST, F.lit(0)), F.lit(0))
+    stop = F.least(F.coalesce(high.cast("int") - FIRST, F.lit(SPAN - 1)), F.lit(SPAN - 1)) + 1
+
+    def whole(level: int) -> tuple[Column, Column]:
+        """First and last cell of a level that lie within the range."""
+        return F.shiftright(start + (4**level - 1), 2 * level), F.shiftright(stop, 2 * level) - 1
+
+    def listed(condition: Column, cells: Column) -> Column:
+        return F.when(condition, cells).otherwise(F.array().cast("array<int>"))
+
+    def upto(level: int, first: Column, last: Column) -> Column:
+        return listed(first <= last, F.sequence(first + level * SPAN, last + level * SPAN))
+
+    parts = []
+    for level in range(LEVELS):
+        first, last = whole(level)
+        up_first, up_last = whole(level + 1)
+        # what no cell of the level above holds: all, or the two edges
+        edges = F.concat(upto(level, first, up_first * 4 - 1), upto(level, up_last * 4 + 4, last))
+        parts.append(F.when(up_first <= up_last, edges).otherwise(upto(level, first, last)))
+    below = listed(low.isNull() | (low < FIRST), F.array(F.lit(BELOW)))
+    above = listed(high.isNull() | (high >= FIRST + SPAN), F.array(F.lit(ABOVE)))
+    return F.concat(*parts, below, above, F.array(F.lit(NO_YEAR)))
+
+
+def _indexed(factor: DataFrame, params: list[str]) -> DataFrame:
+    """The best factor of every parameter for each scope and cell of years, as structs ``_<param>``.
+
+    However many validities a scope has, a cell keeps one choice. Only the cells
+    outside the tree keep the ends apart, since they hold years that differ.
+    """
+    began = F.coalesce(-F.col("valid_from").cast("bigint"), F.lit(1 << 40))
+    ended = F.coalesce(F.col("valid_to").cast("bigint"), F.lit(1 << 40))
+    choice = F.struct(began.alias("b"), ended.alias("e"), "value", F.col("rel_unc").alias("unc"))
+    outside = F.col("_cell").isin(BELOW, ABOVE)
+    cells = factor.filter(F.col("param").isin(params)).withColumn(
+        "_cell", F.explode(_cells_of_range(F.col("valid_from"), F.col("valid_to")))
+    )
+    return cells.groupBy(
+        *[F.col(k).alias(f"_f_{k}") for k in SCOPE],
+        "_cell",
+        F.when(outside, F.col("valid_from")).alias("_from"),
+        F.when(outside, F.col("valid_to")).alias("_to"),
+    ).agg(*[F.min(F.when(F.col("param") == p, choice)).alias(f"_{p}") for p in params])
+
+
 def tiers_with(key: str) -> list[int]:
     """Tiers whose scope names ``key``."""
     return [number for keys, number in TIER_OF.items() if key in keys]
@@ -24,11 +91,13 @@ def tiers_with(key: str) -> list[int]:
 def _best(keys: DataFrame, factor: DataFrame, params: list[str], have: list[str]) -> DataFrame:
     """For distinct keys the factor of each parameter, as one struct column ``_<param>``.
 
-    A key is listed once under every scope it can be found by, and meets the
-    factors of that scope in one null-safe join on equal keys. Validity is
-    settled first; an open end holds always. Then the lowest tier wins, then the
-    range that began last. Rows that tie in both are told apart by their end,
-    value and uncertainty, so that value and uncertainty come from one row.
+    A key is listed once under every scope it can be found by and every cell of
+    years that holds its year, and meets the factors of that scope and cell in
+    one null-safe join on equal keys: at most ``len(SCOPES) * LEVELS`` candidates,
+    however many validities there are. An open end holds always. Then the lowest
+    tier wins, then the range that began last. Rows that tie in both are told
+    apart by their end, value and uncertainty, so that value and uncertainty come
+    from one row. A null year finds the range that began last of all.
     """
     scopes = []
     for scope, tier in TIER_OF.items():
@@ -44,19 +113,17 @@ def _best(keys: DataFrame, factor: DataFrame, params: list[str], have: list[str]
                 known = known & F.col(f"_k_{k}").isNotNull()
             scopes.append(F.when(known, F.struct(F.lit(tier).alias("_tier"), *fields)))
     listed = keys.withColumn("_scope", F.explode(F.array_compact(F.array(*scopes))))
-    listed = listed.select(*keys.columns, "_scope.*")
-    rows = factor.filter(F.col("param").isin(params)).select(
-        *[F.col(k).alias(f"_f_{k}") for k in SCOPE], "param", "valid_from", "valid_to", "value", "rel_unc"
-    )
-    match = F.coalesce(F.col("_k_year") >= F.col("valid_from"), F.lit(True))
-    match &= F.coalesce(F.col("_k_year") <= F.col("valid_to"), F.lit(True))
+    listed = listed.select(*keys.columns, "_scope.*", F.explode(_cells_of_year(F.col("_k_year"))).alias("_at"))
+    match = F.col("_at") == F.col("_cell")
+    match &= F.coalesce(F.col("_k_year") >= F.col("_from"), F.lit(True))
+    match &= F.coalesce(F.col("_k_year") <= F.col("_to"), F.lit(True))
     for k in SCOPE:
         match &= F.col(f"_s_{k}").eqNullSafe(F.col(f"_f_{k}"))
-    began = F.coalesce(-F.col("valid_from").cast("bigint"), F.lit(1 << 40))
-    ended = F.coalesce(F.col("valid_to").cast("bigint"), F.lit(1 << 40))
-    choice = F.struct(F.col("_tier").alias("tier"), began.alias("b"), ended.alias("e"), "value", F.col("rel_unc").alias("unc"))
-    picks = [F.min(F.when(F.col("param") == p, choice)).alias(f"_{p}") for p in params]
-    return listed.join(rows, match).groupBy(*keys.columns).agg(*picks)
+    picks = []
+    for p in params:
+        found = F.struct(F.col("_tier").alias("tier"), *[F.col(f"_{p}.{c}").alias(c) for c in ("b", "e", "value", "unc")])
+        picks.append(F.min(F.when(F.col(f"_{p}").isNotNull(), found)).alias(f"_{p}"))
+    return listed.join(_indexed(factor, params), match).groupBy(*keys.columns).agg(*picks)
 
 
 def resolve_factors(
