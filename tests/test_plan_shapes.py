@@ -14,7 +14,7 @@ from landflux.sources import LandTables
 
 SMALL = SF.format("0.001")
 # these run jobs or streams while they are built
-EAGER = {"ledger_store", "saturating_growth", "streamed_budget_days", "factors_from_file", "streamed_half_hours", "streamed_budget", "late_readings"}
+EAGER = {"ledger_store", "coverage_of_spans", "distribution_of_spans", "full_report", "saturating_growth", "streamed_budget_days", "factors_from_file", "streamed_half_hours", "streamed_budget", "late_readings"}
 
 
 def plan_of(df) -> str:
