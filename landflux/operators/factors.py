@@ -35,31 +35,36 @@ def _cells_of_year(year: Column) -> Column:
     )
 
 
-def _cells_of_range(low: Column, high: Column) -> Column:
-    """The fewest cells that make up a range of years, at most six a level; a null end is open."""
-    start = F.greatest(F.coalesce(low.cast("int") - FIRST, F.lit(0)), F.lit(0))
-    stop = F.least(F.coalesce(high.cast("int") - FIRST, F.lit(SPAN - 1)), F.lit(SPAN - 1)) + 1
+def _with_cells_of_range(rows: DataFrame, low: str, high: str) -> DataFrame:
+    """``rows`` once for each of the fewest cells, ``_cell``, that make up a range of years.
 
-    def whole(level: int) -> tuple[Column, Column]:
-        """First and last cell of a level that lie within the range."""
-        return F.shiftright(start + (4**level - 1), 2 * level), F.shiftright(stop, 2 * level) - 1
-
-    def listed(condition: Column, cells: Column) -> Column:
-        return F.when(condition, cells).otherwise(F.array().cast("array<int>"))
-
-    def upto(level: int, first: Column, last: Column) -> Column:
-        return listed(first <= last, F.sequence(first + level * SPAN, last + level * SPAN))
-
-    parts = []
-    for level in range(LEVELS):
-        first, last = whole(level)
-        up_first, up_last = whole(level + 1)
-        # what no cell of the level above holds: all, or the two edges
-        edges = F.concat(upto(level, first, up_first * 4 - 1), upto(level, up_last * 4 + 4, last))
-        parts.append(F.when(up_first <= up_last, edges).otherwise(upto(level, first, last)))
-    below = listed(low.isNull() | (low < FIRST), F.array(F.lit(BELOW)))
-    above = listed(high.isNull() | (high >= FIRST + SPAN), F.array(F.lit(ABOVE)))
-    return F.concat(*parts, below, above, F.array(F.lit(NO_YEAR)))
+    At most six cells a level; a null end is open.
+    """
+    last = FIRST + SPAN - 1
+    listed = rows.selectExpr(
+        "*",
+        f"greatest(coalesce(cast({low} as int), {FIRST}), {FIRST}) - {FIRST} as _start",
+        f"least(coalesce(cast({high} as int), {last}), {last}) - {FIRST} + 1 as _stop",
+        f"explode(sequence({NO_YEAR}, {LEVELS - 1})) as _level",
+    )
+    # first and last cell of the level, and of the one above, that lie within the range
+    bits, up = "2 * _level", "2 * _level + 2"
+    listed = listed.selectExpr(
+        "*",
+        f"shiftright(_start + shiftleft(1, {bits}) - 1, {bits}) as _a",
+        f"shiftright(_stop, {bits}) - 1 as _b",
+        f"shiftright(_start + shiftleft(1, {up}) - 1, {up}) * 4 as _c",
+        f"shiftright(_stop, {up}) * 4 - 1 as _d",
+    )
+    cells = f"""case
+        when _level = {NO_YEAR}
+          or _level = {BELOW} and ({low} is null or {low} < {FIRST})
+          or _level = {ABOVE} and ({high} is null or {high} > {last}) then array(_level)
+        when _level < 0 then null
+        when _c > _d then if(_a <= _b, transform(sequence(_a, _b), x -> x + _level * {SPAN}), null)
+        else transform(filter(sequence(_a, _b), x -> x < _c or x > _d), x -> x + _level * {SPAN})
+    end"""
+    return listed.withColumn("_cell", F.explode(F.expr(cells))).drop("_start", "_stop", "_level", "_a", "_b", "_c", "_d")
 
 
 def _indexed(factor: DataFrame, params: list[str]) -> DataFrame:
@@ -72,9 +77,7 @@ def _indexed(factor: DataFrame, params: list[str]) -> DataFrame:
     ended = F.coalesce(F.col("valid_to").cast("bigint"), F.lit(1 << 40))
     choice = F.struct(began.alias("b"), ended.alias("e"), "value", F.col("rel_unc").alias("unc"))
     outside = F.col("_cell").isin(BELOW, ABOVE)
-    cells = factor.filter(F.col("param").isin(params)).withColumn(
-        "_cell", F.explode(_cells_of_range(F.col("valid_from"), F.col("valid_to")))
-    )
+    cells = _with_cells_of_range(factor.filter(F.col("param").isin(params)), "valid_from", "valid_to")
     return cells.groupBy(
         *[F.col(k).alias(f"_f_{k}") for k in SCOPE],
         "_cell",

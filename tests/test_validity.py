@@ -52,13 +52,15 @@ def test_any_validity_and_any_year(spark):
 
 def test_cells_make_up_their_range_once(spark):
     rng = random.Random(5)
-    ranges = [(1500, 2523), (1500, 1500), (2523, 2523), (1999, 1998), *[tuple(sorted(rng.choices(range(1500, 2524), k=2))) for _ in range(60)]]
+    ranges = [(1500, 2523), (1500, 1500), (2523, 2523), (1999, 1998), *{tuple(sorted(rng.choices(range(1500, 2524), k=2))) for _ in range(60)}]
     df = spark.createDataFrame(ranges, "low int, high int")
-    cells = df.select("low", "high", factors._cells_of_range(df.low, df.high).alias("cells")).collect()
+    cells = {}
+    for r in factors._with_cells_of_range(df, "low", "high").collect():
+        cells.setdefault((r.low, r.high), []).append(r._cell)
     year = spark.range(1500, 2524).selectExpr("cast(id as int) as year")
     under = {r.year: set(r.cells) for r in year.select("year", factors._cells_of_year(year.year).alias("cells")).collect()}
-    for low, high, listed in cells:
-        inside = [c for c in listed if c >= 0]
+    for low, high in ranges:
+        inside = [c for c in cells[low, high] if c >= 0]
         assert len(inside) <= 6 * factors.LEVELS
         for y in under:
             assert len(under[y] & set(inside)) == (1 if low <= y <= high else 0)
