@@ -3,10 +3,11 @@
 Supported are models of kind BPE with the identity normaliser, a dummy space in
 front, kept spaces and byte fallback. All symbols of all distinct words of a
 batch lie in one array. A round ranks every adjacent pair of a word, takes the
-segmented minimum over each word, and merges in every word its best pair, the
-leftmost among equals; then the array is compacted. A word without a pair in the
-vocabulary is done and leaves the array. One merge in a word and round keeps the
-order of the sequential algorithm, in which a new pair may outrank old ones.
+segmented minimum over each word, and merges in every word all pairs of its best
+rank at once, from the left, up to the first that makes a new pair which the
+sequential algorithm would take before the next; then the array is compacted. A
+word without a pair in the vocabulary is done and leaves the array. So a very
+long word takes a round per rank, not one per merge.
 """
 
 from __future__ import annotations
@@ -151,12 +152,7 @@ class Vocabulary:
                 done_symbol.append(symbol)
                 done_place.append(place)
                 break
-            # the smallest of rank, then place, within each segment
-            order = self.pair_ranks[at] * (len(symbol) + 1) + left
-            starts = np.flatnonzero(np.concatenate(([True], segment[left][1:] != segment[left][:-1])))
-            best = np.minimum.reduceat(order, starts)
-            chosen = best % (len(symbol) + 1)
-            merged = self.pair_ids[at[np.searchsorted(left, chosen)]]
+            chosen, merged = self._merges(symbol, segment, left, at)
             symbol[chosen] = merged
             stays = np.ones(len(symbol), bool)
             stays[chosen + 1] = False
@@ -187,6 +183,46 @@ class Vocabulary:
         ends = np.searchsorted(word, np.arange(len(words)), side="right")
         return np.split(symbol.astype(np.int32), ends[:-1])
 
+    def _ranks(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of symbols; a pair that makes no piece ranks last."""
+        key = first * self.base + second
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], np.iinfo(np.int64).max)
+
+    def _merges(
+        self, symbol: np.ndarray, segment: np.ndarray, left: np.ndarray, at: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Places to merge in this round, and the pieces they become.
+
+        Of all pairs (``left`` places, ``at`` in the vocabulary) those of the best
+        rank of their segment, from the left and without overlaps, as far as the
+        sequential order would take them one after another: up to and with the
+        first whose merge makes a neighbour pair of that rank or a better one.
+        """
+        ranks = self.pair_ranks[at]
+        new = np.concatenate(([True], segment[left][1:] != segment[left][:-1]))
+        best = np.minimum.reduceat(ranks, np.flatnonzero(new))[np.cumsum(new) - 1]
+        left, at, best = (a[ranks == best] for a in (left, at, best))
+        # in a chain of pairs that overlap every second one is left
+        number = np.arange(len(left))
+        chain = np.concatenate(([True], left[1:] != left[:-1] + 1))
+        free = (number - np.maximum.accumulate(np.where(chain, number, 0))) % 2 == 0
+        left, at, best = left[free], at[free], best[free]
+        merged, own = self.pair_ids[at], segment[left]
+        spoils = np.zeros(len(left), bool)
+        inner = np.flatnonzero((left > 0) & (segment[left - 1] == own))
+        before = symbol[left[inner] - 1]
+        touches = (inner > 0) & (left[inner - 1] + 2 == left[inner])
+        before[touches] = merged[inner[touches] - 1]
+        spoils[inner] = self._ranks(before, merged[inner]) <= best[inner]
+        after = np.minimum(left + 2, len(symbol) - 1)
+        inner = np.flatnonzero((left + 2 < len(symbol)) & (segment[after] == own))
+        spoils[inner] |= self._ranks(merged[inner], symbol[after[inner]]) <= best[inner]
+        earlier = np.cumsum(spoils) - spoils
+        starts = np.concatenate(([True], own[1:] != own[:-1]))
+        taken = earlier == np.maximum.accumulate(np.where(starts, earlier, 0))
+        return left[taken], merged[taken]
+
     def decode(self, ids: np.ndarray) -> str:
         """Text of one sequence of ids; bytes that are no UTF-8 become U+FFFD each."""
         parts, run, dummy = [], b"", True

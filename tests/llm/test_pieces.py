@@ -74,3 +74,26 @@ def test_words_are_forgotten_in_time(vocabulary, library, monkeypatch):
         texts = odd_texts()[at : at + 40]
         flat, ends = encoder.encode(texts)
         assert flat.tolist() == [i for ids in library.encode(texts) for i in ids]
+
+
+def test_many_merges_of_a_round_equal_the_sequential_order(library, vocabulary):
+    """Few letters make many equal and overlapping pairs, joined words many new ones."""
+    rng = random.Random(7)
+    encoder = pieces.Encoder(vocabulary)
+    letters = ["ab", "abc", "aeinst", "=-", "01", "abcdefghijklmnopqrstuvwxyz", "aA1_ ", "é世 a\n", "th e"]
+    texts = ["".join(rng.choices(some, k=rng.randint(0, 300))) for some in letters for _ in range(100)]
+    texts += ["".join(rng.choices(["the", "ing", "tion", "un", "and", "in"], k=rng.randint(1, 60))) for _ in range(200)]
+    flat, ends = encoder.encode(texts)
+    for text, start, end in zip(texts, [0, *ends[:-1]], ends, strict=True):
+        assert flat[start:end].tolist() == library.encode(text)
+
+
+@pytest.mark.parametrize("unit", ["a", "ab", "=", "the"])
+def test_a_very_long_word_takes_few_rounds(library, vocabulary, unit, monkeypatch):
+    rounds = []
+    merges = pieces.Vocabulary._merges
+    monkeypatch.setattr(pieces.Vocabulary, "_merges", lambda *given: rounds.append(1) or merges(*given))
+    word = unit * 50_000
+    flat, _ = pieces.Encoder(vocabulary).encode([word])
+    assert flat.tolist() == library.encode(word)
+    assert len(rounds) < 50
