@@ -120,9 +120,6 @@ def op6_url_filters(spark, folder):
 
 SQL["op6_url_filters"] = sql.url_filters(
     URL_RULES,
-    urls.DEPTH,
-    urls.MANY,
-    urls.RARE,
     urls.Z,
     urls.LEAST_LABELS,
     urls.SMOOTHING,

@@ -106,8 +106,8 @@ FROM vectors v LEFT JOIN smallest s ON s.a = v.vec_id LEFT JOIN counted c ON c.a
 """
 
 
-def url_filters(rules, depth, many, rare, z, least_labels, smoothing, reject, identifier) -> str:
-    """Rules first, then the template trees, one set of subqueries for each level."""
+def url_filters(rules, z, least_labels, smoothing, reject, identifier) -> str:
+    """Rules first, then the template trees, one step of a recursion for each level."""
     ordered = sorted(rules, key=lambda r: (-len(r.text), r.text))
     fits = [
         f"(host = '{r.host}' OR suffix(host, '.{r.host}')) AND starts_with(path, '{r.path}')" for r in ordered
@@ -115,62 +115,42 @@ def url_filters(rules, depth, many, rare, z, least_labels, smoothing, reject, id
     rule = " ".join(f"WHEN {f} THEN '{r.text}'" for f, r in zip(fits, ordered, strict=True))
     verdict = " ".join(f"WHEN {f} THEN '{r.verdict}'" for f, r in zip(fits, ordered, strict=True))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    parts = [
-        f"""WITH split AS (
+    return f"""WITH RECURSIVE split AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{upper}', '{lower}') AS host,
     regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
   FROM pages
-), ruled AS (
+), shaped AS (
   SELECT *, CASE {rule} END AS rule, CASE {verdict} END AS known,
     list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''),
-      lambda s: regexp_replace(s, '{identifier}', '*\1')) AS general
+      lambda s: regexp_replace(s, '{identifier}', '*\1')) AS shape
   FROM split
-), shaped AS (
-  SELECT *, CASE WHEN len(general) > {depth} THEN list_concat(general[1:{depth}], ['**']) ELSE general END AS shape
-  FROM ruled
 ), prior AS (
   SELECT (count(*) FILTER (known = 'block') + 1.0::DOUBLE) / (count(known) + 2.0::DOUBLE) AS prior FROM shaped
-), shapes0 AS (
-  SELECT host, shape, count(*) AS n, count(*) FILTER (known = 'block') AS bad, count(known) AS labels, '' AS template
+), grown(level, host, shape, bad, labels, template) AS (
+  SELECT 0, host, shape, CAST(count(*) FILTER (known = 'block') AS DOUBLE), CAST(count(known) AS DOUBLE), ''
   FROM shaped GROUP BY host, shape
-)"""
-    ]
-    for k in range(depth + 1):
-        parts.append(
-            f"""children{k} AS (
-  SELECT host, template, shape[{k + 1}] AS segment, sum(n) AS n, CAST(sum(bad) AS DOUBLE) AS bad,
-    CAST(sum(labels) AS DOUBLE) AS labels
-  FROM shapes{k} WHERE len(shape) > {k} GROUP BY ALL
-), compared{k} AS (
-  SELECT *, count(*) OVER w AS children, bad + 0.5::DOUBLE AS a, sum(bad) OVER w - bad + 0.5::DOUBLE AS b,
-    labels + 1.0::DOUBLE AS an, sum(labels) OVER w - labels + 1.0::DOUBLE AS bn
-  FROM children{k} WINDOW w AS (PARTITION BY host, template)
-), judged{k} AS (
-  SELECT host, template, segment, CASE WHEN starts_with(segment, '*') OR (children >= {many} AND n <= {rare})
-    OR NOT (labels > 0 AND abs(a / an - b / bn) > {z}::DOUBLE * sqrt((a + b) / (an + bn) * (1 - (a + b) / (an + bn)) * (1 / an + 1 / bn)))
-    THEN '*' ELSE segment END AS branch
-  FROM compared{k}
-), shapes{k + 1} AS (
-  SELECT s.host, s.shape, s.n, s.bad, s.labels,
-    CASE WHEN branch IS NULL THEN s.template ELSE s.template || '/' || branch END AS template
-  FROM shapes{k} s LEFT JOIN judged{k} j
-    ON s.host = j.host AND s.template = j.template AND s.shape[{k + 1}] = j.segment
-)"""
-        )
-    last = f"shapes{depth + 1}"
-    parts.append(
-        f"""sums AS (
-  SELECT host, template, sum(bad) AS t_bad, sum(labels) AS t_labels FROM {last} GROUP BY host, template
+  UNION ALL
+  SELECT level + 1, host, shape, bad, labels, template || '/' ||
+    CASE WHEN starts_with(segment, '*') OR NOT (an > 1 AND abs(a / an - b / bn)
+        > {z}::DOUBLE * sqrt((a + b) / (an + bn) * (1 - (a + b) / (an + bn)) * (1 / an + 1 / bn)))
+      THEN '*' ELSE segment END
+  FROM (
+    SELECT *, sum(bad) OVER child + 0.5::DOUBLE AS a, sum(bad) OVER node - sum(bad) OVER child + 0.5::DOUBLE AS b,
+      sum(labels) OVER child + 1.0::DOUBLE AS an, sum(labels) OVER node - sum(labels) OVER child + 1.0::DOUBLE AS bn
+    FROM (SELECT *, shape[level + 1] AS segment FROM grown WHERE len(shape) > level)
+    WINDOW child AS (PARTITION BY host, template, segment), node AS (PARTITION BY host, template)
+  )
+), leaves AS (
+  SELECT * FROM grown WHERE len(shape) = level
+), sums AS (
+  SELECT host, template, sum(bad) AS t_bad, sum(labels) AS t_labels FROM leaves GROUP BY host, template
 ), known_templates AS (
-  SELECT s.host, s.shape, s.template, t_labels,
-    (CAST(t_bad AS DOUBLE) + {smoothing}::DOUBLE * prior) / (CAST(t_labels AS DOUBLE) + {smoothing}::DOUBLE) AS purity
-  FROM {last} s JOIN sums USING (host, template), prior
+  SELECT s.host, s.shape, s.template, t_labels, (t_bad + {smoothing}::DOUBLE * prior) / (t_labels + {smoothing}::DOUBLE) AS purity
+  FROM leaves s JOIN sums USING (host, template), prior
 )
 SELECT page_id, p.host, path, rule, coalesce(known, CASE WHEN t_labels >= {least_labels} AND purity >= {reject}::DOUBLE
     THEN 'block' ELSE 'allow' END) AS verdict, template, purity
 FROM shaped p JOIN known_templates t ON p.host = t.host AND p.shape = t.shape"""
-    )
-    return ",\n".join(parts)
 
 
 def quality_rules(common, guard_chars, guard_words, guard_reference, class_distance, word_distance) -> str:
@@ -344,9 +324,11 @@ WITH RECURSIVE told AS (
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i
   FROM damaged
 ), judged AS (
-  SELECT *, NOT regexp_matches(text, '[^ 	-]') AS blank,
+  SELECT *, NOT regexp_matches(text, '[^ 	-
+]') AS blank,
     row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
-    NOT regexp_matches(text, '[.!?][ 	-]*$') AS open,
+    NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS open,
     lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair
   FROM placed
 ), faulted AS (

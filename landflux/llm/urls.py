@@ -4,9 +4,9 @@ Paths of a host form a tree of segments. A segment that looks like an identifier
 becomes a wildcard at once. Going down the tree, a node's children are compared
 with their siblings by the labels of their URLs (the verdicts of the rules): a
 child stays a branch of its own if its share of blocked URLs differs from its
-siblings' by a two-proportion test; all others, and those of a node with very
-many rare children, are merged into one wildcard branch. The leaves of the merged
-tree are templates. A template is rejected if its smoothed share of blocked
+siblings' by a two-proportion test; all others are merged into one wildcard
+branch, however rare or many. The leaves of the merged tree are templates, as
+deep as the paths are. A template is rejected if its smoothed share of blocked
 labels reaches the bound; without labels it only has the prior, and passes.
 """
 
@@ -19,9 +19,6 @@ from pyspark.sql import functions as F
 
 from landflux.llm.store import Store, other_columns, sets_aside
 
-DEPTH = 6  # levels of a tree; what lies deeper is one wildcard
-MANY = 50  # children of a node from which rare ones count as variable
-RARE = 2  # URLs of a rare child
 Z = 2.58  # for the test between a child and its siblings
 LEAST_LABELS = 5  # labelled URLs of a template that may be rejected
 SMOOTHING = 4.0  # weight of the prior in labels
@@ -62,11 +59,9 @@ def matching_rule(rules: list[Rule]) -> Column:
 
 
 def shape(path: Column) -> Column:
-    """Segments of a path, identifiers replaced by a wildcard with their extension, at most ``DEPTH``."""
+    """All segments of a path, identifiers replaced by a wildcard with their extension."""
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    general = F.transform(segments, lambda s: F.when(s.rlike(IDENTIFIER), F.regexp_replace(s, IDENTIFIER, "*$1")).otherwise(s))
-    deep = F.concat(F.slice(general, 1, DEPTH), F.array(F.lit("**")))
-    return F.when(F.size(general) > DEPTH, deep).otherwise(general)
+    return F.transform(segments, lambda s: F.when(s.rlike(IDENTIFIER), F.regexp_replace(s, IDENTIFIER, "*$1")).otherwise(s))
 
 
 def _different(bad: Column, all_: Column, other_bad: Column, other_all: Column) -> Column:
@@ -77,44 +72,65 @@ def _different(bad: Column, all_: Column, other_bad: Column, other_all: Column)
     return F.abs(a / n - b / m) > Z * F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m))
 
 
+def _branch(segment: Column, apart: Column) -> Column:
+    return F.when(apart & ~segment.startswith("*"), segment).otherwise(F.lit("*"))
+
+
 def templates(urls: DataFrame, store: Store) -> DataFrame:
     """(host, shape, template, purity, n_labels) for every shape in ``urls`` (host, path, verdict).
 
     One row a distinct shape is carried down the levels; a node's children are
-    only ever summed, so a host with a third of all URLs is spread over tasks.
+    only ever summed, so a host with a third of all URLs is spread over tasks. A
+    round passes the segments that all shapes of a node share, then one level
+    where they part: rounds follow the branchings on the way to the deepest
+    leaf, not the length of paths.
     """
     bad = (F.col("verdict") == "block").cast("long")
     labelled = F.col("verdict").isNotNull().cast("long")
-    shapes = urls.groupBy("host", "shape").agg(
-        F.count("*").alias("n"), F.sum(F.coalesce(bad, F.lit(0))).alias("bad"), F.sum(labelled).alias("labels")
-    )
-    shapes = store.keep(shapes.withColumn("template", F.lit("")))
-    total = shapes.agg(F.sum("bad").alias("bad"), F.sum("labels").alias("labels")).first()
+    counts = [F.sum(c).alias(c) for c in ("bad", "labels")]
+    shapes = urls.groupBy("host", "shape").agg(F.sum(F.coalesce(bad, F.lit(0))).alias("bad"), F.sum(labelled).alias("labels"))
+    shapes = store.keep(shapes.withColumns({"template": F.lit(""), "level": F.lit(0)}))
+    total = shapes.agg(*counts).first()
     prior = ((total.bad or 0) + 1.0) / ((total.labels or 0) + 2.0)
-    for level in range(DEPTH + 1):
-        segment = F.try_element_at("shape", F.lit(level + 1))
-        here = shapes.withColumn("segment", segment)
-        children = here.filter("segment IS NOT NULL").groupBy("host", "template", "segment").agg(
-            *[F.sum(c).alias(c) for c in ("n", "bad", "labels")]
+    going = F.size("shape") > F.col("level")
+    while not shapes.filter(going).isEmpty():
+        rest = F.slice("shape", F.col("level") + 1, F.size("shape"))
+        nodes = shapes.filter(going).withColumn("rest", rest).groupBy("host", "template", "level").agg(
+            *counts, F.min("rest").alias("least"), F.max("rest").alias("most")
         )
-        children = store.keep(children)
-        parents = children.groupBy("host", "template").agg(
-            F.count("*").alias("children"), F.sum("bad").alias("all_bad"), F.sum("labels").alias("all_labels")
+        parted = F.array_position(F.zip_with("least", "most", lambda a, b: a.eqNullSafe(b)), False)
+        shared = F.when(parted > 0, parted - 1).otherwise(F.size("least")).cast("int")
+        alone = (F.col("labels") > 0) & _different(F.col("bad"), F.col("labels"), F.lit(0), F.lit(0))
+        nodes = nodes.withColumns({"shared": shared, "alone": alone})
+        passed = F.transform(
+            F.slice("least", F.lit(1), F.col("shared")), lambda s: F.concat(F.lit("/"), _branch(s, F.col("alone")))
         )
-        judged = children.join(parents, ["host", "template"])
+        nodes = nodes.select("host", "template", "shared", F.array_join(passed, "").alias("passed"))
+        found = shapes.withColumn("going", going).join(nodes, ["host", "template"], "left")
+        here = store.keep(
+            found.select(
+                "host", "shape", "bad", "labels",
+                F.when(F.col("going"), F.concat("template", "passed")).otherwise(F.col("template")).alias("template"),
+                F.when(F.col("going"), F.col("level") + F.col("shared")).otherwise(F.col("level")).alias("level"),
+            )
+        )
+        parting = here.filter(going).withColumn("segment", F.try_element_at("shape", F.col("level") + 1))
+        children = store.keep(parting.groupBy("host", "template", "segment").agg(*counts))
+        parents = children.groupBy("host", "template").agg(F.sum("bad").alias("all_bad"), F.sum("labels").alias("all_labels"))
         apart = (F.col("labels") > 0) & _different(
             F.col("bad"), F.col("labels"), F.col("all_bad") - F.col("bad"), F.col("all_labels") - F.col("labels")
         )
-        variable = F.col("segment").startswith("*") | ((F.col("children") >= MANY) & (F.col("n") <= RARE))
-        branch = F.when(variable | ~apart, F.lit("*")).otherwise(F.col("segment"))
-        judged = judged.select("host", "template", "segment", branch.alias("branch"))
-        lower = here.join(judged, ["host", "template", "segment"], "left")
-        grown = F.when(F.col("branch").isNotNull(), F.concat("template", F.lit("/"), "branch")).otherwise(F.col("template"))
-        following = store.keep(lower.select("host", "shape", "n", "bad", "labels", grown.alias("template")))
-        store.drop(shapes)
+        judged = children.join(parents, ["host", "template"]).select(
+            "host", "template", "segment", _branch(F.col("segment"), apart).alias("branch")
+        )
+        grown = parting.join(judged, ["host", "template", "segment"]).select(
+            "host", "shape", "bad", "labels", F.concat("template", F.lit("/"), "branch").alias("template"),
+            (F.col("level") + 1).alias("level"),
+        )
+        following = store.keep(here.filter(~going).unionByName(grown))
+        for done in (shapes, here, children):
+            store.drop(done)
         shapes = following
-        if shapes.filter(F.size("shape") > level + 1).isEmpty():
-            break
     sums = shapes.groupBy("host", "template").agg(F.sum("bad").alias("t_bad"), F.sum("labels").alias("t_labels"))
     purity = (F.col("t_bad") + SMOOTHING * prior) / (F.col("t_labels") + SMOOTHING)
     return store.keep(
@@ -131,7 +147,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url") -> DataFra
     A null url or one without ``://`` has empty host and path and is judged like
     any other, by its empty template. Columns named like a result are replaced.
     Equal URLs get equal verdicts; no row is dropped; an empty table stays
-    empty.
+    empty. Paths of any depth are told apart to their last segment.
     """
     results = ["host", "path", "rule", "verdict", "template", "purity"]
     own = other_columns(pages, results)

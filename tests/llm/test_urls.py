@@ -31,8 +31,7 @@ def plain_templates(rows):
     prior = (sum(r[2] == "block" for r in labelled) + 1) / (len(labelled) + 2)
 
     def shape(path):
-        parts = [re.sub(urls.IDENTIFIER, r"*\1", s) if re.search(urls.IDENTIFIER, s) else s for s in path.split("/") if s]
-        return tuple(parts[: urls.DEPTH] + (["**"] if len(parts) > urls.DEPTH else []))
+        return tuple(re.sub(urls.IDENTIFIER, r"*\1", s) if re.search(urls.IDENTIFIER, s) else s for s in path.split("/") if s)
 
     def counts(members):
         return len(members), sum(m[2] == "block" for m in members), sum(m[2] is not None for m in members)
@@ -44,7 +43,7 @@ def plain_templates(rows):
 
     state = {i: "" for i in range(len(rows))}
     shapes = [shape(r[1]) for r in rows]
-    for level in range(urls.DEPTH + 1):
+    for level in range(max(map(len, shapes), default=0)):
         nodes = defaultdict(lambda: defaultdict(list))
         for i, r in enumerate(rows):
             if len(shapes[i]) > level:
@@ -52,9 +51,9 @@ def plain_templates(rows):
         for (_, template), children in nodes.items():
             total = [sum(x) for x in zip(*(counts([rows[i] for i in c]) for c in children.values()), strict=True)]
             for segment, members in children.items():
-                n, bad, labels = counts([rows[i] for i in members])
+                _, bad, labels = counts([rows[i] for i in members])
                 apart = labels > 0 and differ(bad, labels, total[1] - bad, total[2] - labels)
-                variable = segment.startswith("*") or len(children) >= urls.MANY and n <= urls.RARE
+                variable = segment.startswith("*")
                 for i in members:
                     state[i] = f"{template}/{'*' if variable or not apart else segment}"
     sums = defaultdict(lambda: [0, 0])
@@ -108,5 +107,19 @@ def test_a_blocked_template_spreads_to_unruled_pages(spark):
     assert got[-1].verdict == "allow"
 
 
+def test_branches_that_part_deep_down(spark):
+    """Paths that part at the ninth segment, some of them shorter than what others share, and rare children with labels."""
+    deep = "/a/b/c/d/e/f/g/h"
+    rules = [urls.Rule("block", "t.test", f"{deep}/bad/x"), urls.Rule("allow", "t.test", f"{deep}/good/x")]
+    rules += [urls.Rule("block", "r.test", "/rare/"), urls.Rule("allow", "r.test", "/n")]
+    addresses = [f"http://t.test{deep}/{kind}/{sub}{i}" for kind in ("bad", "good") for sub in ("x", "y") for i in "abcdefghijklmnopqrstuvwxyz"]
+    addresses += ["http://t.test/a/b/c", f"http://t.test{deep}", "http://t.test/"]
+    addresses += [f"http://r.test/n{chr(97 + i // 26)}{chr(97 + i % 26)}/p" for i in range(100)] + ["http://r.test/rare/p"] * 2
+    got = check(spark, addresses, rules)
+    assert {r.verdict for r in got if r.path.startswith(f"{deep}/bad/y")} == {"block"}
+    assert {r.verdict for r in got if r.path.startswith(f"{deep}/good/y")} == {"allow"}
+    assert got[-1].template == "/rare/*"
+
+
 def test_empty_table(spark):
     assert check(spark, []) == []
