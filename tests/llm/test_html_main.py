@@ -1,8 +1,11 @@
 from __future__ import annotations
 
 import html
+import math
+import random
 import re
 import sys
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import pytest
@@ -21,6 +24,83 @@ def texts(spark, pages, host="h.test"):
     return [r.text for r in got]
 
 
+def plain_texts(pages):
+    """The method over pages of one host by plain counts: nodes are tuples of names, digests the things themselves."""
+    read = []
+    for page in pages:
+        found = html_main.runs(page or "")
+        found = [r for r in found if r[1]] or found
+        blocks = []
+        for place, main, text in found:
+            names = tuple(place.split("/")) if place else ()
+            while names and names[-1] in {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"}:
+                names = names[:-1]
+            kinds = [n.split(".")[0] for n in names]
+            fixed = max((k + 1 for k, n in enumerate(kinds) if n in (("article", "main") if main else ("html", "body"))), default=0)
+            blocks.append((names, fixed, text))
+        read.append(blocks)
+    layouts, contents, features, places = defaultdict(Counter), defaultdict(Counter), Counter(), Counter()
+    for blocks in read:
+        nodes = {names[:k] for names, fixed, _ in blocks for k in range(fixed + 1, len(names) + 1)}
+        for node in nodes:
+            below = [(names[len(node) :] + ("#",))[0] for names, fixed, _ in blocks if names[: len(node)] == node and len(node) > fixed]
+            layouts[node][tuple(b for k, b in enumerate(below) if k == 0 or below[k - 1] != b)] += 1
+            contents[node][tuple(t for names, fixed, t in blocks if names[: len(node)] == node and len(node) > fixed)] += 1
+        features.update({(names, text) for names, _, text in blocks})
+        places.update({names for names, _, _ in blocks})
+
+    def share(counts):
+        m = sum(counts.values())
+        return -sum(c / m * math.log(c / m) for c in counts.values()) / math.log(m)
+
+    low = {n for n, c in contents.items() if sum(c.values()) >= 8 and 0.1 * share(layouts[n]) + 0.9 * share(c) < 0.3}
+    often = {(n, t) for (n, t), c in features.items() if c >= 8 and 1 - math.log(c) / math.log(places[n]) < 0.05}
+    out = []
+    for blocks in read:
+        left = [b for b in blocks if not any(b[0][:k] in low for k in range(b[1] + 1, len(b[0]) + 1))] or blocks
+        fewer = [b for b in left if (b[0], b[2]) not in often]
+        if 2 * sum(len(b[2]) for b in fewer) >= sum(len(b[2]) for b in left):
+            left = fewer
+        out.append(" ".join(b[2] for b in left))
+    return out
+
+
+@pytest.mark.parametrize("marked", [True, False])
+def test_style_tree_against_plain_counts(spark, marked):
+    """Random pages of one template: constant, rarely changing and changing parts at several depths."""
+    rng = random.Random(7)
+    word = lambda n: f"w{rng.randrange(n)}"
+
+    def page(i):
+        parts = [f"<h1>Title {i}</h1><p>story {i} {word(10**6)} {word(10**6)} {word(10**6)}</p>"]
+        parts += [f"<div class=k{k}><p>{word(n)}</p>" + f"<ul><li>{word(n)}<li>{word(2)}</ul>" * rng.randrange(3) + "</div>" for k, n in enumerate((1, 2, 3, 50))]
+        parts += ["<p>Write to us at the desk.</p>"] * (rng.random() < 0.97)
+        parts += ["<section class=deep><div><div><span>x</span><b>same</b></div><div>" + word(2) + "</div></div></section>"] * (i % 3 > 0)
+        rng.shuffle(parts)
+        return "<body>" + ("<article>{}</article>" if marked else "{}").format("".join(parts)) + "</body>"
+
+    pages = [page(i) for i in range(60)] + [None, "", "<p>Write to us at the desk.</p>"]
+    pages += [pages[0]] * 5
+    got = texts(spark, pages)
+    assert got == plain_texts(pages)
+    assert any(g != " ".join(t for _, _, t in html_main.runs(p or "")) for g, p in zip(got, pages, strict=True))
+
+
+def test_a_notice_repeated_in_articles_goes(spark):
+    page = "<article><h1>Title {0}</h1><p>The story {0} of the day, long enough to read.</p><p>Subscribe to us.</p><p>End {0}</p></article>"
+    got = texts(spark, [page.format(i) for i in range(20)])
+    assert got == [f"Title {i} The story {i} of the day, long enough to read. End {i}" for i in range(20)]
+    near = "<article><h1>Title</h1><p>" + "A story. " * 9 + "</p><p>Subscribe to us.</p><p>End {0}</p></article>"
+    got = texts(spark, [near.format(i) for i in range(20)])  # near copies of one article lose nothing
+    assert got == ["Title " + "A story. " * 9 + f"Subscribe to us. End {i}" for i in range(20)]
+
+
+def test_names_decide_nothing_on_paragraphs_and_headings_of_a_marked_part():
+    page = '<article><h2 id="related-work">Related work</h2><p class="notice-period">Notice period</p><div class="ad">x</div></article>'
+    assert [t for _, _, t in html_main.runs(page)] == ["Related work", "Notice period"]
+    assert html_main.runs('<body><p class="cookie-notice">x</p></body>') == []
+
+
 def test_whole_table_against_a_plain_reading(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     want = {}
