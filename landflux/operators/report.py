@@ -185,15 +185,25 @@ def unit_quartiles(entries: DataFrame, by: list[str]) -> DataFrame:
     return unit_totals.join(cuts, match).select(*by, "unit_id", "amount", quartile.alias("quartile"))
 
 
+def _seen(obs: DataFrame) -> DataFrame:
+    """The distinct units and providers of each year, each in rows of its own."""
+    of_unit = F.col("_of_unit")
+    year = F.year("obs_date").alias("year")
+    listed = obs.select(year, "unit_id", "provider_id", F.explode(F.array(F.lit(True), F.lit(False))).alias("_of_unit"))
+    unit, provider = F.when(of_unit, F.col("unit_id")), F.when(~of_unit, F.col("provider_id"))
+    return listed.select("year", "_of_unit", unit.alias("unit_id"), provider.alias("provider_id")).distinct()
+
+
 def coverage(obs: DataFrame) -> DataFrame:
     """Units and providers seen in each year, exactly and approximately.
 
-    Repeats are dropped first, so the three counts expand distinct pairs only.
+    Repeats are dropped by hash, units and providers apart; then each year is
+    counted in one pass, so a sketch is held per year and task, never per unit.
     """
-    seen = obs.select(F.year("obs_date").alias("year"), "unit_id", "provider_id").distinct()
+    seen = _seen(obs)
     return seen.groupBy("year").agg(
-        F.countDistinct("unit_id").alias("n_units"),
-        F.countDistinct("provider_id").alias("n_providers"),
+        F.count("unit_id").alias("n_units"),
+        F.count("provider_id").alias("n_providers"),
         F.approx_count_distinct("unit_id", APPROX_ERROR).alias("approx_units"),
     )
 
