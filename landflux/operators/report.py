@@ -208,6 +208,28 @@ def coverage(obs: DataFrame) -> DataFrame:
     )
 
 
+def counts_of_spans(obs: DataFrame, spans: DataFrame) -> DataFrame:
+    """Units and providers seen in each span (first_year, last_year), exactly.
+
+    A span counts a unit at the first of its years that lies within: the one
+    whose year before it, ``_before``, lies ahead of the span or is not there.
+    So the rows are summed to pairs of years before they meet any span. A span
+    without a row has none here.
+    """
+    seen = _seen(obs).filter("year is not null")
+    before = F.lag("year").over(Window.partitionBy("_of_unit", "unit_id", "provider_id").orderBy("year"))
+    pairs = seen.withColumn("_before", before).groupBy("year", "_before").agg(
+        F.count("unit_id").alias("_units"), F.count("provider_id").alias("_providers")
+    )
+    years = spans.distinct().withColumn("year", F.explode(F.sequence("first_year", "last_year")))
+    return (
+        years.join(pairs, "year")
+        .filter("_before is null or _before < first_year")
+        .groupBy("first_year", "last_year")
+        .agg(F.sum("_units").alias("n_units"), F.sum("_providers").alias("n_providers"))
+    )
+
+
 def share_of_total(entries: DataFrame, by: str, within: str) -> DataFrame:
     """Share of each ``by`` in its ``within`` and in the whole."""
     placed = _all_totals(entries, [within, by])

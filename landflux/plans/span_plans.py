@@ -42,11 +42,7 @@ def coverage_of_spans(t):
     """Counts of every span from the sketches, beside the exact ones: within four standard errors."""
     spans = _spans(t)
     found = sketches.coverage_of_spans(_stored(t, sketches.coverage_sketches(t.land_obs), "seen"), spans)
-    seen = t.land_obs.select(F.year("obs_date").alias("year"), "unit_id", "provider_id").distinct()
-    years = spans.withColumn("year", F.explode(F.sequence("first_year", "last_year")))
-    exact = seen.join(years, "year").groupBy("first_year", "last_year").agg(
-        F.countDistinct("unit_id").alias("n_units"), F.countDistinct("provider_id").alias("n_providers")
-    )
+    exact = report.counts_of_spans(t.land_obs, spans)
 
     def within(approx: str, n: str):
         return F.abs(F.col(approx) - F.col(n)) <= 4 * sketches.COUNT_ERROR * F.col(n)

@@ -39,3 +39,20 @@ def test_no_sketch_beside_distinct_rows(spark, rows):
     """Counting several distinct columns beside a sketch gives every distinct row a sketch of its own."""
     plan = plan_of(report.coverage(spark.createDataFrame(rows, OBS)))
     assert "approx_count_distinct" in plan and "Expand" not in plan
+
+
+def test_spans_with_nulls_and_gaps(spark, rows):
+    asked = [(a, b) for a in range(1998, 2007) for b in range(a, 2007)]
+    spans = spark.createDataFrame([*asked, asked[0]], "first_year int, last_year int")
+    found = report.counts_of_spans(spark.createDataFrame(rows, OBS), spans).collect()
+    got = {(r.first_year, r.last_year): (r.n_units, r.n_providers) for r in found}
+    seen = {day.year for _, day, _ in rows if day}
+    want = {(a, b): counts(rows, lambda y, a=a, b=b: y and a <= y <= b) for a, b in asked if seen & set(range(a, b + 1))}
+    assert got == want and len(found) == len(want) and want[2004, 2006] == (0, 0)
+
+
+def test_spans_meet_sums_only(spark, rows):
+    spans = spark.createDataFrame([(1999, 2001)], "first_year int, last_year int")
+    plan = plan_of(report.counts_of_spans(spark.createDataFrame(rows, OBS), spans))
+    join = plan.index("Join")
+    assert "count(unit_id" in plan[join:] and "count(" not in plan[:join] and "Expand" not in plan
