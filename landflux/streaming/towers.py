@@ -206,12 +206,19 @@ def despike(readings: DataFrame, k: float, digits: int = DIGITS) -> DataFrame:
     )
 
 
+BLOCK = 64  # days whose half hours one row holds in gap_fill
+
+
 def gap_fill(means: DataFrame, first_day: str | None = None, last_day: str | None = None, days: int = 7) -> DataFrame:
     """Every half hour of every tower; empty ones take the mean of that time of day nearby.
 
     ``means`` is ``half_hour_means``. Without days given, the range is that of
-    the data. A half hour with nothing nearby keeps a null flux. The window
-    holds one row per day.
+    the data. A half hour with nothing nearby keeps a null flux.
+
+    Only what was measured is shuffled: a tower's half hours are gathered by
+    blocks of ``BLOCK`` days, those within ``days`` of a block's ends in both
+    blocks, and the empty ones are listed where their block lies. All rows of a
+    tower stay in one task, so sums by tower and day need no further shuffle.
     """
     stamps = means.select(
         "tower_id",
@@ -222,22 +229,40 @@ def gap_fill(means: DataFrame, first_day: str | None = None, last_day: str | Non
     given = [F.lit(d).cast("date") for d in (first_day, last_day)]
     ends = [F.coalesce(given[0], F.min("day")), F.coalesce(given[1], F.max("day"))]
     from_day, to_day = (stamps.agg(end).scalar() for end in ends)
-    grid = (
-        stamps.select("tower_id")
-        .distinct()
-        .select("tower_id", from_day.alias("from_day"), to_day.alias("to_day"))
-        .filter("from_day <= to_day")
-        .select("tower_id", F.explode(F.sequence("from_day", "to_day")).alias("day"))
-        .withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(47))))
+
+    def with_range(rows: DataFrame) -> DataFrame:
+        rows = rows.select("*", from_day.alias("from_day"), to_day.alias("to_day")).filter("from_day <= to_day")
+        return rows.withColumn("last", F.expr(f"datediff(to_day, from_day) div {BLOCK}"))
+
+    at = "datediff(day, from_day)"
+    # a null tower has no stamps of its own
+    near = with_range(stamps.filter("tower_id is not null")).filter("day between from_day and to_day").selectExpr(
+        "tower_id",
+        f"explode(sequence(greatest({at} - {days}, 0) div {BLOCK}, least(({at} + {days}) div {BLOCK}, last))) as block",
+        "named_struct('day', day, 'slot', slot, 'mean_flux', mean_flux) as stamp",
     )
-    near = (
-        Window.partitionBy("tower_id", "slot")
-        .orderBy(F.unix_date("day"))
-        .rangeBetween(-days, days)
+    listed = with_range(stamps.select("tower_id").distinct()).selectExpr("tower_id", "explode(sequence(0L, last)) as block")
+    blocks = (
+        near.unionByName(listed, allowMissingColumns=True)
+        .repartition("tower_id")
+        .groupBy("tower_id", "block")
+        .agg(F.array_sort(F.collect_list("stamp")).alias("stamps"))
+    )
+    slots = with_range(blocks).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(47))))
+    slots = slots.withColumn("stamps", F.expr("filter(stamps, s -> s.slot = slot)"))
+    begin = f"date_add(from_day, cast(block * {BLOCK} as int))"
+    grid = slots.selectExpr(
+        "tower_id", "slot", "stamps", f"explode(sequence({begin}, least(date_add({begin}, {BLOCK - 1}), to_day))) as day"
     )
     return (
-        grid.join(stamps, ["tower_id", "day", "slot"], "left")
-        .withColumn("nearby", F.avg("mean_flux").over(near))
+        grid.selectExpr(
+            "tower_id",
+            "day",
+            "slot",
+            f"filter(stamps, s -> s.mean_flux is not null and abs(datediff(s.day, day)) <= {days}).mean_flux as near",
+            "explode_outer(filter(stamps, s -> s.day = day).mean_flux) as mean_flux",
+        )
+        .withColumn("nearby", F.expr("try_divide(aggregate(near, 0D, (sum, flux) -> sum + flux), size(near))"))
         .select(
             "tower_id",
             "day",
