@@ -31,13 +31,24 @@ def _one_unit(value: Column, low: Column, high: Column) -> Column:
     return F.when(low.eqNullSafe(high), value).otherwise(mixed.cast(MONEY))
 
 
-def _sum() -> Column:
-    """The sum of the amounts, if all have one unit."""
-    return _one_unit(F.sum("amount"), F.min("unit"), F.max("unit")).alias("amount")
+def _by_unit(entries: DataFrame, by: list[str]) -> DataFrame:
+    """The amounts summed to ``by`` and their unit, as ``_amount`` and ``_unit``.
+
+    The unit is a key here, so the rows are summed by hash within each task; the
+    least and greatest unit, which would sort them, are taken of the sums.
+    """
+    return entries.groupBy(*by, F.col("unit").alias("_unit")).agg(F.sum("amount").alias("_amount"))
+
+
+def _sum(sums: DataFrame) -> Column:
+    """The sum of ``_by_unit``'s amounts, if all have one unit."""
+    total = F.sum("_amount").cast(sums.schema["_amount"].dataType)
+    return _one_unit(total, F.min("_unit"), F.max("_unit")).alias("amount")
 
 
 def totals(entries: DataFrame, by: list[str]) -> DataFrame:
-    return entries.groupBy(*by).agg(_sum())
+    sums = _by_unit(entries, by)
+    return sums.groupBy(*by).agg(_sum(sums))
 
 
 def _all_totals(entries: DataFrame, by: list[str]) -> DataFrame:
@@ -45,7 +56,9 @@ def _all_totals(entries: DataFrame, by: list[str]) -> DataFrame:
 
     All groups must have one unit.
     """
-    sums = entries.groupBy(*by).agg(F.sum("amount").alias("_amount"), F.min("unit").alias("_l"), F.max("unit").alias("_h"))
+    sums = _by_unit(entries, by)
+    total = F.sum("_amount").cast(sums.schema["_amount"].dataType).alias("_amount")
+    sums = sums.groupBy(*by).agg(total, F.min("_unit").alias("_l"), F.max("_unit").alias("_h"))
     sums = sums.withColumn("size", F.abs("_amount"))
     placed = ranged(sums, [F.col("size").desc(), *[F.col(c) for c in by]], "totals")
     low, high = placed.agg(F.min("_l")).scalar(), placed.agg(F.max("_h")).scalar()
@@ -53,17 +66,20 @@ def _all_totals(entries: DataFrame, by: list[str]) -> DataFrame:
 
 
 def report_rollup(entries: DataFrame, dims: list[str]) -> DataFrame:
-    return entries.rollup(*dims).agg(F.grouping_id().alias("level"), _sum())
+    sums = _by_unit(entries, dims)
+    return sums.rollup(*dims).agg(F.grouping_id().alias("level"), _sum(sums))
 
 
 def report_cube(entries: DataFrame, dims: list[str]) -> DataFrame:
-    return entries.cube(*dims).agg(F.grouping_id().alias("level"), _sum())
+    sums = _by_unit(entries, dims)
+    return sums.cube(*dims).agg(F.grouping_id().alias("level"), _sum(sums))
 
 
 def report_sets(entries: DataFrame, sets: list[list[str]], dims: list[str]) -> DataFrame:
     """Subtotals for the named sets of ``dims`` only."""
+    sums = _by_unit(entries, dims)
     columns = [[F.col(c) for c in s] for s in sets]
-    return entries.groupingSets(columns, *dims).agg(F.grouping_id().alias("level"), _sum())
+    return sums.groupingSets(columns, *dims).agg(F.grouping_id().alias("level"), _sum(sums))
 
 
 def cumulative_flux(entries: DataFrame, by: list[str], first_year: int) -> DataFrame:
