@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +57,12 @@ def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
         at += length
 
 
+def _among(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the sorted ``keys``, and whether each wanted key is there."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
 class Vocabulary:
     """Pieces of a model file, what they decode to, and for encoding the ranks of all pairs."""
 
@@ -121,32 +129,29 @@ class Vocabulary:
         stop = "" if lines else "\n"
         self.words = re.compile("(?s).+" if inner else f"{SPACE}*[^{SPACE}{stop}]+|{SPACE}+" + ("" if lines else "|\n"))
         # adjacent characters that some piece holds; a word splits exactly between all others
-        self.joined = {p[i : i + 2] for p in normal_ids for i in range(len(p) - 1)}
-
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of every word, by merge rounds over all of them."""
-        segments, owners = [], []
-        for n, word in enumerate(words):
-            start = 0
-            for i in range(1, len(word)):
-                if word[i - 1 : i + 1] not in self.joined:
-                    segments.append(word[start:i])
-                    owners.append(n)
-                    start = i
-            segments.append(word[start:])
-            owners.append(n)
-        text = "".join(segments)
-        unknown = self.base - 1
-        symbol = np.fromiter((self.symbols.get(c, unknown) for c in text), np.int64, len(text))
-        lengths = np.array([len(s) for s in segments], np.int64)
+        joined = {p[i : i + 2] for p in normal_ids for i in range(len(p) - 1)}
+        self.joined_keys = np.array(sorted(self.symbols[a] * self.base + self.symbols[b] for a, b in joined), np.int64)
+        # the symbol of every code point
+        self.symbol_of = np.full(sys.maxunicode + 1, self.base - 1, np.int32)
+        self.symbol_of[[ord(c) for c in self.symbols]] = list(self.symbols.values())
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words laid end to end, and where each word ends, by merge rounds over all of them."""
+        text = "".join(words)
+        if not text:
+            return np.empty(0, np.int32), np.zeros(len(words), np.int64)
+        symbol = self.symbol_of[np.frombuffer(text.encode("utf-32-le"), "<u4")].astype(np.int64)
         place = np.arange(len(text))
-        segment = np.repeat(np.arange(len(segments)), lengths)
+        word_ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        starts = np.ones(len(text), bool)
+        starts[1:] = ~_among(self.joined_keys, symbol[:-1] * self.base + symbol[1:])[1]
+        starts[word_ends[word_ends < len(text)]] = True
+        segment = np.cumsum(starts) - 1
+        segments = int(segment[-1]) + 1
         done_symbol, done_place = [], []
         while len(symbol):
             left = np.flatnonzero(segment[:-1] == segment[1:])
-            key = symbol[left] * self.base + symbol[left + 1]
-            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-            known = self.pair_keys[at] == key
+            at, known = _among(self.pair_keys, symbol[left] * self.base + symbol[left + 1])
             left, at = left[known], at[known]
             if not len(left):
                 done_symbol.append(symbol)
@@ -156,7 +161,7 @@ class Vocabulary:
             symbol[chosen] = merged
             stays = np.ones(len(symbol), bool)
             stays[chosen + 1] = False
-            active = np.zeros(len(segments), bool)
+            active = np.zeros(segments, bool)
             active[segment[chosen]] = True
             active = active[segment]
             finished = stays & ~active
@@ -164,30 +169,25 @@ class Vocabulary:
             done_place.append(place[finished])
             going = stays & active
             symbol, place, segment = symbol[going], place[going], segment[going]
-        if not done_symbol:
-            return [np.empty(0, np.int32) for _ in words]
         symbol, place = np.concatenate(done_symbol), np.concatenate(done_place)
         sort = np.argsort(place)
         symbol, place = symbol[sort], place[sort]
-        word_of_segment = np.array(owners, np.int64)
-        word = word_of_segment[np.searchsorted(np.cumsum(lengths), place, side="right")]
+        ends = np.searchsorted(place, word_ends)
         fallback = symbol >= len(self.pieces)
         if fallback.any():
             encoded = [text[p].encode() for p in place[fallback].tolist()]
             counts = np.ones(len(symbol), np.int64)
             counts[fallback] = [len(e) for e in encoded]
             wide = np.repeat(fallback, counts)
-            word = np.repeat(word, counts)
             symbol = np.repeat(symbol, counts)
             symbol[wide] = self.byte_ids[np.frombuffer(b"".join(encoded), np.uint8)]
-        ends = np.searchsorted(word, np.arange(len(words)), side="right")
-        return np.split(symbol.astype(np.int32), ends[:-1])
+            ends = np.concatenate(([0], np.cumsum(counts)))[ends]
+        return symbol.astype(np.int32), ends
 
     def _ranks(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """Ranks of pairs of symbols; a pair that makes no piece ranks last."""
-        key = first * self.base + second
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], np.iinfo(np.int64).max)
+        at, known = _among(self.pair_keys, first * self.base + second)
+        return np.where(known, self.pair_ranks[at], np.iinfo(np.int64).max)
 
     def _merges(
         self, symbol: np.ndarray, segment: np.ndarray, left: np.ndarray, at: np.ndarray
@@ -266,28 +266,46 @@ def _slices(batch: pa.RecordBatch, sizes: pa.Array, most: int) -> Iterator[pa.Re
         start = stop
 
 
+class Numbers(dict):
+    """Words in the order they were first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 class Encoder:
     """Encoding of whole texts that remembers its words."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         vocabulary.load_merges()
         self.vocabulary = vocabulary
-        self.known: dict[str, np.ndarray] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = Numbers()
+        self.ids = np.empty(0, np.int32)  # of all known words, laid end to end
+        self.ends = np.empty(0, np.int64)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts laid end to end, and where each text ends."""
+        if not texts:
+            return np.empty(0, np.int32), np.empty(0, np.int64)
         words = [self.vocabulary.words.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        fresh = list({w for row in words for w in row if w not in self.known})
-        if len(self.known) + len(fresh) > MOST_WORDS:
-            self.known = {}
-            fresh = list({w for row in words for w in row})
-        if fresh:
-            self.known.update(zip(fresh, self.vocabulary.encode_words(fresh), strict=True))
-        parts = [self.known[w] for row in words for w in row]
-        flat = np.concatenate(parts) if parts else np.empty(0, np.int32)
-        lengths = np.fromiter((len(p) for p in parts), np.int64, len(parts))
-        upto = np.concatenate(([0], np.cumsum(lengths)))
-        return flat, upto[np.cumsum([len(row) for row in words])] if words else np.empty(0, np.int64)
+        if len(self.known) > MOST_WORDS:
+            self.forget()
+        before = len(self.known)
+        counts = np.fromiter(map(len, words), np.int64, len(words))
+        number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, counts.sum())
+        if len(self.known) > before:
+            ids, ends = self.vocabulary.encode_words(list(islice(self.known, before, None)))
+            self.ends = np.concatenate([self.ends, ends + len(self.ids)])
+            self.ids = np.concatenate([self.ids, ids])
+        starts = np.concatenate(([0], self.ends[:-1]))
+        lengths = (self.ends - starts)[number]
+        upto = np.cumsum(lengths)
+        flat = self.ids[np.repeat(starts[number] - upto + lengths, lengths) + np.arange(lengths.sum())]
+        return flat, np.concatenate(([0], upto))[np.cumsum(counts)]
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], text: str, ids: str, model) -> Iterator[pa.RecordBatch]:

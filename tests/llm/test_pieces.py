@@ -97,3 +97,24 @@ def test_a_very_long_word_takes_few_rounds(library, vocabulary, unit, monkeypatc
     flat, _ = pieces.Encoder(vocabulary).encode([word])
     assert flat.tolist() == library.encode(word)
     assert len(rounds) < 50
+
+
+def test_no_python_call_for_each_character(vocabulary, library):
+    """Characters and remembered words are handled by arrays; only a new word takes a call of its own."""
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdehinorst", k=30)) for _ in range(2000)]
+    texts = [" ".join(words), " ".join(words[::-1])] * 2
+    encoder, calls = pieces.Encoder(vocabulary), []
+    sys.setprofile(lambda frame, event, arg: event == "call" and calls.append(1))
+    try:
+        flat, ends = encoder.encode(texts)
+    finally:
+        sys.setprofile(None)
+    assert len(calls) < 3 * len(words)
+    assert [flat[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends, strict=True)] == library.encode(texts)
+
+
+def test_nothing_to_encode(vocabulary):
+    for texts in ([], [None], ["", None]):
+        flat, ends = pieces.Encoder(vocabulary).encode(texts)
+        assert len(flat) == 0 and ends.tolist() == [0] * len(texts)
