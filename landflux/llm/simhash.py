@@ -10,7 +10,7 @@ shared bytes, which the bits imply, never decides.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -46,6 +46,11 @@ def fingerprint(text: bytes | None) -> int:
         starts, ends = starts[:-2], ends[2:]
     digest = xxhash.xxh64_intdigest
     hashes = [digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return majority(hashes)
+
+
+def majority(hashes: Sequence[int]) -> int:
+    """The bits set in over half of some 64-bit hashes, as a signed number."""
     tally = np.zeros(64, np.int64)
     for at in range(0, len(hashes), BLOCK):
         part = np.array(hashes[at : at + BLOCK], dtype=">u8")

@@ -1,12 +1,14 @@
 """Near copies by the Jaccard similarity of word shingles.
 
 Two texts are linked if their sets of 5-word shingles have a Jaccard similarity
-of 0.8 or more. Candidates share a band of MinHash values: with 25 bands of 4
-values a pair at 0.8 meets in none with a chance of 2 in a million, a closer
+of 0.8 or more. Candidates come in two ways. SimHash prints of the sets go
+through op1's index of bytes and its count of differing bits; this finds the
+closest pairs, but at 0.8 about ten of 64 bits differ, more than the index can
+bridge. So pairs also meet that share a band of MinHash values: with 25 bands of
+4 values a pair at 0.8 meets in none with a chance of 2 in a million, a closer
 pair with less. Texts that meet, directly or through others, form a candidate
 group; within a group the sets themselves are compared until its groups of
-linked texts are known. Single-bit prints do not reach that far: at 0.8 about
-ten of 64 bits differ, more than an index of their bytes can bridge.
+linked texts are known, so neither way links what is under 0.8.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from landflux.llm import simhash
 from landflux.llm.components import components
 from landflux.llm.store import Store
 
@@ -65,14 +68,16 @@ def _node(found: np.ndarray) -> int:
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        nodes, keys = [], []
+        nodes, prints, keys = [], [], []
         for text in batch.column("text"):
             found = shingles(text.as_py())
             nodes.append(_node(found))
+            prints.append(simhash.majority(found))
             keys.append(bands(found))
+        sketches = [pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("text_key"), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-            names=["doc_id", "text_key", "node", "bands"],
+            [batch.column("doc_id"), batch.column("text_key"), *sketches],
+            names=["doc_id", "text_key", "node", "print", "bands"],
         )
 
 
@@ -140,6 +145,25 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found()
 
 
+def near_prints(nodes: DataFrame, store: Store) -> DataFrame:
+    """(a, b) nodes whose SimHash prints differ in ``simhash.BITS`` bits at most, enough to connect every group.
+
+    ``nodes`` needs node and print, each node once.
+    """
+    firsts = store.keep(nodes.groupBy(F.col("print").alias("fp")).agg(F.min("node").alias("first")))
+    equal = nodes.join(firsts, F.col("print") == F.col("fp")).filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    found = simhash.links(firsts.select("fp")).withColumnsRenamed({"a": "fp", "b": "other"})
+    found = found.join(firsts.withColumnRenamed("first", "a"), "fp").drop("fp").withColumnRenamed("other", "fp")
+    return equal.unionByName(found.join(firsts.withColumnRenamed("first", "b"), "fp").select("a", "b"))
+
+
+def shared_bands(nodes: DataFrame) -> DataFrame:
+    """(a, b) nodes that share a band of MinHash values, enough to connect every group."""
+    entries = nodes.select("node", F.explode("bands").alias("key"))
+    firsts = entries.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return entries.join(firsts, "key").filter("node <> b").select(F.col("node").alias("a"), "b")
+
+
 def similar_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) for every row of ``docs``, component_id being the smallest doc_id linked to it.
 
@@ -153,13 +177,12 @@ def similar_copies(docs: DataFrame) -> DataFrame:
     store = Store(docs.sparkSession, "similar")
     plain = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary").alias("text"))
     plain = plain.withColumn("text_key", F.xxhash64("text"))
-    kinds = "doc_id bigint, text_key bigint, node bigint, bands array<bigint>"
+    kinds = "doc_id bigint, text_key bigint, node bigint, print bigint, bands array<bigint>"
     rows = store.keep(plain.mapInArrow(_sketched, kinds))
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key"), F.min("bands").alias("bands"))
-    nodes = store.keep(nodes)
-    entries = nodes.select("node", F.explode("bands").alias("key"))
-    firsts = entries.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    meets = entries.join(firsts, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    # print and bands follow from the node
+    kept = [F.min(c).alias(c) for c in ("text_key", "print", "bands")]
+    nodes = store.keep(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), *kept))
+    meets = near_prints(nodes, store).unionByName(shared_bands(nodes)).distinct()
     candidates = store.keep(components(store.keep(meets), store).withColumnRenamed("component", "candidates"))
     wanted = store.keep(nodes.select("node", "text_key").join(candidates, "node"))
     store.release()

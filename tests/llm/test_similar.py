@@ -12,7 +12,7 @@ from plain import docs_of, smallest_reachable  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 
-from landflux.llm import similar  # noqa: E402
+from landflux.llm import simhash, similar  # noqa: E402
 
 
 def plain_sets(texts):
@@ -57,3 +57,28 @@ def test_groups_within_candidates_equal_all_pairs():
     got = similar.linked_groups([np.array(sorted(s), np.uint64) for s in sets])
     want = smallest_reachable(range(len(sets)), plain_links(sets))
     assert {i: int(r) for i, r in enumerate(got)} == want
+
+
+def test_simhash_prints_are_a_step_beside_the_bands(spark, monkeypatch):
+    """Without bands the prints alone find close pairs, and what they find is still compared as sets."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    short = "a b c d e f".split()
+    texts = [" ".join(w) for w in (base, [*base[:200], "other", *base[201:]], base[:240], short, [*short, *short])] + [None, ""]
+    sets = plain_sets(texts)
+    want = smallest_reachable(range(len(texts)), plain_links(sets))
+    prints = [simhash.majority(similar.shingles((t or "").encode())) for t in texts]
+    assert 0 < (prints[0] ^ prints[1]).bit_count() <= simhash.BITS
+    none = spark.createDataFrame([], "a bigint, b bigint")
+    monkeypatch.setattr(similar, "shared_bands", lambda nodes: none)
+    got = {r.doc_id: r.component_id for r in similar.similar_copies(docs_of(spark, texts)).collect()}
+    assert got == want and got[1] == 0 and got[2] == 2 and got[6] == 5
+
+
+def test_prints_that_meet_do_not_link_by_themselves(spark, monkeypatch):
+    """Any candidates, here all texts at once, are told apart by their sets."""
+    texts = ["one two three four five six", "one two three four five six", "one two three four five seven", "other words"]
+    nodes = lambda given, store: given.selectExpr("node as a", f"{min(map(similar._node, map(similar.shingles, map(str.encode, texts))))}L as b")
+    monkeypatch.setattr(similar, "near_prints", nodes)
+    got = {r.doc_id: r.component_id for r in similar.similar_copies(docs_of(spark, texts)).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3}
