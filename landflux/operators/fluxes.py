@@ -23,12 +23,21 @@ def _unit_columns(units: DataFrame) -> DataFrame:
 
 
 def unit_years(state: DataFrame, units: DataFrame) -> DataFrame:
-    """Unit-years with a class, with the unit's country, zone and area."""
+    """Unit-years with a class, with the unit's country, zone and area.
+
+    What this function gave before may stand for ``state``: it is taken as it is.
+    So several operators can read it stored.
+    """
+    if "area" in state.columns:
+        return state
     known = state.filter("land_use is not null").select("unit_id", "year", "land_use")
     return known.join(_unit_columns(units), "unit_id")
 
 
 def unit_changes(state: DataFrame, units: DataFrame) -> DataFrame:
+    """Changes of class with the unit's country, zone and area; its own result is taken as it is."""
+    if "next_change" in state.columns:
+        return state
     return changes(state).join(_unit_columns(units), "unit_id")
 
 
@@ -74,7 +83,9 @@ def biomass_gain(state: DataFrame, units: DataFrame, factor: DataFrame) -> DataF
 
 
 def harvest_carbon(disturbance: DataFrame, units: DataFrame, factor: DataFrame) -> DataFrame:
-    """Carbon above ground in the wood cut per unit and year, with its factors."""
+    """Carbon above ground in the wood cut per unit and year, with its factors; its own result is taken as it is."""
+    if "carbon" in disturbance.columns:
+        return disturbance
     cut = (
         disturbance.filter("kind = 'harvest'")
         .selectExpr("unit_id", "year(event_date) as year", "volume_m3")

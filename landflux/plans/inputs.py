@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landflux.operators import fluxes, land, prepare, report
+from landflux.session import keep
 from landflux.sources.tables import LandTables
 
 
@@ -50,20 +51,23 @@ def full_ledger(t: LandTables) -> DataFrame:
 
     Conversions move biomass at once (``conversion_biomass``); response curves
     (``bookkeeping``) say the same another way and are never added to it.
+    States, unit-years, changes and harvests are stored, as several parts read each.
     """
-    st, cut = state(t), harvest(t)
+    st, cut = keep(state(t), "states"), keep(harvest(t), "harvests")
+    years = keep(fluxes.unit_years(st, t.land_unit), "unit-years")
+    changed = keep(fluxes.unit_changes(st, t.land_unit), "changes")
     return fluxes.ledger(
-        fluxes.biomass_gain(st, t.land_unit, t.factor),
-        fluxes.harvest_loss(t.disturbance, t.land_unit, t.factor),
+        fluxes.biomass_gain(years, t.land_unit, t.factor),
+        fluxes.harvest_loss(cut, t.land_unit, t.factor),
         fluxes.harvest_gains(cut),
         fluxes.product_decay(cut, until=t.years[1]),
         fluxes.delayed_decay(cut, until=t.years[1]),
-        fluxes.fire_fluxes(t.disturbance, st, t.land_unit, t.factor),
-        fluxes.conversion_biomass(st, t.land_unit, t.factor),
-        fluxes.dom_conversion(st, t.land_unit, t.factor, period=4, until=t.years[1]),
-        fluxes.soil_mineral(st, t.land_unit, t.factor, until=t.years[1]),
-        fluxes.soil_organic(st, t.land_unit, t.factor),
-        fluxes.soil_n2o_direct(t.n_input, st, t.land_unit, t.factor),
+        fluxes.fire_fluxes(t.disturbance, years, t.land_unit, t.factor),
+        fluxes.conversion_biomass(changed, t.land_unit, t.factor),
+        fluxes.dom_conversion(changed, t.land_unit, t.factor, period=4, until=t.years[1]),
+        fluxes.soil_mineral(changed, t.land_unit, t.factor, until=t.years[1]),
+        fluxes.soil_organic(years, t.land_unit, t.factor),
+        fluxes.soil_n2o_direct(t.n_input, years, t.land_unit, t.factor),
         fluxes.rewetting_ch4(st, t.land_unit, t.factor),
     )
 

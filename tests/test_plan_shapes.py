@@ -9,7 +9,7 @@ import pytest
 from conftest import ROOT, SF
 
 from landflux.operators import land
-from landflux.plans import REGISTRY
+from landflux.plans import REGISTRY, inputs
 from landflux.sources import LandTables
 
 SMALL = SF.format("0.001")
@@ -52,6 +52,16 @@ def test_dominant_class_shuffles_once(spark):
     assert exchanges == 1
 
 
+def test_full_ledger_reads_its_parents_stored(spark):
+    """Observations are read for the states alone, events once a part that books them; changes are found once."""
+    plan = plan_of(inputs.full_ledger(LandTables(spark, SMALL)))
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert not any("p_type" in line for line in scans)
+    # fires and nitrogen, for their keys and for their rows
+    assert sum("l_shipdate" in line for line in scans) <= 4
+    assert "lead(" not in plan
+
+
 def test_top_one_is_cut_before_the_shuffle(spark):
     plan = plan_of(REGISTRY["latest_survey_per_day"].run(spark, SMALL))
     partial = plan.index("Partial")
